@@ -16,7 +16,7 @@ PROCESSING_TIME = "2024-01-02 00:00:00"
 _BANNED_SQL = ", ".join(sql_str(c) for c in R.BANNED_COUNTRIES)
 
 
-def _dec_sql(strict: bool) -> str:
+def dec_sql(strict: bool) -> str:
     found = "f.file_name IS NOT NULL" + (" AND r.country IS NOT NULL" if strict else "")
     return f"""SELECT r.*,
        CASE WHEN coalesce(r.method, '') <> 'GET' THEN 501
@@ -29,7 +29,7 @@ LEFT JOIN (SELECT DISTINCT file_name FROM files) f ON r.file_name = f.file_name"
 
 
 def _with_dec(body: str, strict: bool = False) -> str:
-    return T.with_views(body, "requests_raw", "files", ctes=[("dec", _dec_sql(strict))])
+    return T.with_views(body, "requests_raw", "files", ctes=[("dec", dec_sql(strict))])
 
 
 _REASON_SQL = """CASE status WHEN 501 THEN 'Not Implemented' WHEN 400 THEN 'Permission Denied'
@@ -107,11 +107,11 @@ def banned_messages(spark, sf_dir):
     return D.banned_messages(_decided(spark, sf_dir))
 
 
-FACT_REQUESTS_SQL = _with_dec(
-    """SELECT request_id, x_gender AS gender, x_age AS age, x_income AS income,
-              CAST(x_time AS TIMESTAMP) AS time, x_client_ip AS ip_address, file_name,
-              country, status = 400 AS is_banned
-       FROM dec WHERE status IN (200, 400)""", strict=True)
+FACT_REQUESTS_BODY = """SELECT request_id, x_gender AS gender, x_age AS age, x_income AS income,
+       CAST(x_time AS TIMESTAMP) AS time, x_client_ip AS ip_address, file_name,
+       country, status = 400 AS is_banned
+FROM dec WHERE status IN (200, 400)"""
+FACT_REQUESTS_SQL = _with_dec(FACT_REQUESTS_BODY, strict=True)
 
 
 @register("fact_requests", FACT_REQUESTS_SQL)

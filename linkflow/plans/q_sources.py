@@ -1 +1,44 @@
-"""Queries (filled in below)."""
+"""Source queries: corpus from the pages table, its lines, the requests table."""
+
+from __future__ import annotations
+
+from linkflow.operators import decision as D
+from linkflow.plans.catalog import register
+from linkflow.plans.q_requests import FACT_REQUESTS_SQL, PROCESSING_TIME  # noqa: F401
+from linkflow.session import scratch_path
+from linkflow.sources import corpus as C
+from linkflow.sources import tables as T
+from linkflow.sources.sinks import write_table
+
+FIRST_N = 500
+
+
+@register("src_corpus_whole", T.with_views(
+    "SELECT file_name, content FROM files WHERE file_name LIKE '%.html'", "files"))
+def src_corpus_whole(spark, sf_dir):
+    return C.corpus_from_table(T.files(spark, sf_dir))
+
+
+@register("src_corpus_lines", T.with_views(
+    r"""SELECT file_name, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line
+FROM (SELECT file_name,
+             string_split_regex(regexp_replace(content, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS parts
+      FROM files WHERE file_name LIKE '%.html' AND length(content) > 0)""", "files"))
+def src_corpus_lines(spark, sf_dir):
+    return C.lines_of(C.corpus_from_table(T.files(spark, sf_dir)))
+
+
+@register("pages_first_n", T.with_views(
+    f"SELECT file_name, content FROM files WHERE file_name LIKE '%.html' "
+    f"ORDER BY file_name LIMIT {FIRST_N}", "files"))
+def pages_first_n(spark, sf_dir):
+    return C.first_n(C.corpus_from_table(T.files(spark, sf_dir)), FIRST_N)
+
+
+@register("src_requests", FACT_REQUESTS_SQL)
+def src_requests(spark, sf_dir):
+    """Fact rows appended to a Parquet table in the shared folder, read back."""
+    decided = D.decide(T.requests_raw(spark, sf_dir), T.files(spark, sf_dir),
+                       missing_country="not_found")
+    path = write_table(D.fact_requests(decided), scratch_path(spark, "requests"))
+    return C.read_requests(spark, path)

@@ -1 +1,58 @@
-"""Queries (filled in below)."""
+"""Streaming queries: each runs to the end of its input (availableNow), and the
+registered callable returns the sink table read back as a batch DataFrame."""
+
+from __future__ import annotations
+
+from linkflow.plans.catalog import register
+from linkflow.plans.q_requests import FACT_REQUESTS_SQL, dec_sql
+from linkflow.session import scratch_path
+from linkflow.sources import tables as T
+from linkflow.streaming import requests_stream as S
+
+
+def _requests(spark, sf_dir):
+    schema = T.table(spark, sf_dir, "events").schema
+    return S.request_stream(spark, sf_dir, schema)
+
+
+def _with_dec(body: str, strict: bool = False) -> str:
+    return T.with_views(body, "requests_raw", "files", ctes=[("dec", dec_sql(strict))])
+
+
+@register("stream_decision", _with_dec(
+    """SELECT request_id, method, file_name, country, status,
+              CASE status WHEN 501 THEN 'Not Implemented' WHEN 400 THEN 'Permission Denied'
+                   WHEN 404 THEN 'No such object: ' || file_name ELSE 'OK' END AS reason
+       FROM dec"""))
+def stream_decision(spark, sf_dir):
+    base = scratch_path(spark, "stream-decision")
+    S.wait(S.decision_stream(_requests(spark, sf_dir), T.files(spark, sf_dir),
+                             f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_facts", FACT_REQUESTS_SQL)
+def stream_facts(spark, sf_dir):
+    base = scratch_path(spark, "stream-facts")
+    S.wait(S.facts_stream(_requests(spark, sf_dir), T.files(spark, sf_dir),
+                          f"{base}/requests", f"{base}/failed_requests", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/requests").drop("batch_id")
+
+
+@register("stream_banned", _with_dec("SELECT request_id, country FROM dec WHERE status = 400"))
+def stream_banned(spark, sf_dir):
+    base = scratch_path(spark, "stream-topic")
+    S.wait(S.publish_banned(_requests(spark, sf_dir), T.files(spark, sf_dir),
+                            f"{base}/topic", f"{base}/publisher"))
+    S.wait(S.subscribe_banned(spark, f"{base}/topic", f"{base}/received",
+                              f"{base}/subscriber"))
+    return spark.read.parquet(f"{base}/received")
+
+
+@register("stream_vm_counts", T.with_views(
+    "SELECT coalesce(vm_name, 'Unknown') AS vm_name, count(*) AS responses "
+    "FROM requests_raw GROUP BY 1", "requests_raw"))
+def stream_vm_counts(spark, sf_dir):
+    base = scratch_path(spark, "stream-vm")
+    S.wait(S.vm_counts_stream(_requests(spark, sf_dir), f"{base}/counts", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/counts")

@@ -9,19 +9,20 @@ Steps, in this order:
 3. The remaining string columns (by schema: ``gender``, ``age``) are one-hot
    encoded as ``<col>_<value>`` booleans, values sorted; NULL gives all false.
 
-Codes: one aggregate per column gives each distinct value its first id; the
-values are then numbered in that order (:func:`dense_index`, distributed past
-a size bound) and joined back, broadcast only behind a bounded count.
+Codes: one aggregate over all coded columns gives each distinct value its
+first id; the values are then numbered in that order (:func:`dense_index`,
+distributed past a size bound) and joined back, broadcast only when the
+counted size of the code table is under the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from linkflow.plans.indexing import dense_index
-from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, has_at_most
+from linkflow.plans.indexing import SMALL_ROWS, dense_index
+from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS
 
 CODED_COLUMNS = ("country", "file_name", "time", "income")
 MAX_ONEHOT_LEVELS = 1024
@@ -29,18 +30,40 @@ MAX_ONEHOT_LEVELS = 1024
 
 def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id",
               broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Replace each of ``cols`` by its first-appearance code (BIGINT)."""
-    tables = {}
-    for c in cols:  # every code table is built from the input, not from earlier joins
-        # One row per distinct value, written once: the size checks and the
-        # numbering below then read it instead of re-aggregating the input.
-        firsts = (df.groupBy(F.col(c).alias("_v")).agg(F.min(order_col).alias("_first"))
-                  .checkpoint())
-        codes = dense_index(firsts, "_first", "_code").select("_v", "_code")
-        tables[c] = bounded_broadcast(codes, broadcast_rows)
+    """Replace each of ``cols`` by its first-appearance code (BIGINT).
+
+    One aggregate over the input finds the first id of every value of every
+    column (values compared as text, NULL kept); the result is written once.
+    Its per-column sizes decide how each column is numbered (one window per
+    column when small, :func:`dense_index` when large) and whether its code
+    table is broadcast.
+    """
+    cols = list(cols)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v"))
+        for i, c in enumerate(cols)]))
+    firsts = (df.select(order_col, pairs.alias("_p"))
+              .groupBy(F.col("_p._c").alias("_c"), F.col("_p._v").alias("_v"))
+              .agg(F.min(order_col).alias("_first"))
+              .checkpoint())
+    sizes = {r["_c"]: r["n"] for r in firsts.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [i for i in range(len(cols)) if sizes.get(i, 0) <= SMALL_ROWS]
+    numbered = {}
+    if small:
+        by_col = Window.partitionBy("_c").orderBy("_first")
+        codes = firsts.where(F.col("_c").isin(small)).withColumn(
+            "_code", (F.row_number().over(by_col) - 1).cast("bigint"))
+        for i in small:
+            numbered[i] = codes.where(F.col("_c") == i)
+    for i in range(len(cols)):
+        if i not in numbered:
+            numbered[i] = dense_index(firsts.where(F.col("_c") == i), "_first", "_code")
     out = df
-    for c in cols:
-        out = (out.join(tables[c], F.col(c).eqNullSafe(F.col("_v")), "left")
+    for i, c in enumerate(cols):
+        table = numbered[i].select("_v", "_code")
+        if sizes.get(i, 0) <= broadcast_rows:
+            table = F.broadcast(table)
+        out = (out.join(table, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
                .drop(c, "_v").withColumnRenamed("_code", c))
     return out
 
@@ -73,28 +96,41 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def onehot(df: DataFrame, cols: list[str] | None = None,
-           max_levels: int = MAX_ONEHOT_LEVELS) -> DataFrame:
+           max_levels: int = MAX_ONEHOT_LEVELS,
+           levels_from: DataFrame | None = None) -> DataFrame:
     """One boolean column per distinct value of each of ``cols``; drops ``cols``.
 
-    The value list defines the output schema, so it is read to the driver,
-    after a bounded check that it has at most ``max_levels`` entries.
+    The value lists define the output schema, so they are read to the driver:
+    one distinct pass over all columns, stopped after ``max_levels`` values
+    per column plus one (more than that is an error, not a silent cut).
+    ``levels_from`` reads the values from another frame with the same columns
+    (e.g. the input before expensive joins).
     """
-    cols = string_columns(df) if cols is None else cols
+    cols = string_columns(df) if cols is None else list(cols)
+    if not cols:
+        return df
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))
+    source = df if levels_from is None else levels_from
+    found = (source.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+             .distinct().limit(len(cols) * (max_levels + 1)).collect())
+    levels: dict[str, list[str]] = {c: [] for c in cols}
+    for row in found:
+        levels[row["c"]].append(row["v"])
     for c in cols:
-        levels = df.select(c).where(F.col(c).isNotNull()).distinct()
-        if not has_at_most(levels, max_levels):
+        if len(levels[c]) > max_levels:
             raise ValueError(f"column {c!r} has more than {max_levels} distinct values")
-        values = sorted(r[0] for r in levels.collect())
-        df = df.select("*", *[F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")
-                              for v in values]).drop(c)
-    return df
+    dummies = [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")
+               for c in cols for v in sorted(levels[c])]
+    return df.select("*", *dummies).drop(*cols)
 
 
 def prepare_features(requests: DataFrame, order_col: str = "request_id") -> DataFrame:
     """The model frame: codes, IP octets, one-hot columns."""
     coded = factorize(requests, CODED_COLUMNS, order_col)
     octets = ip_octets(coded, "ip_address")
-    return onehot(octets, [c for c in string_columns(octets)])
+    rest = [c for c in string_columns(requests) if c not in CODED_COLUMNS and c != "ip_address"]
+    return onehot(octets, rest, levels_from=requests)
 
 
 def split_flag(id_col: str = "request_id", seed: int = 0,

@@ -31,11 +31,16 @@ class ModelRun:
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str, num_trees: int,
-               seed: int = 0, max_depth: int = 15, max_bins: int = 256) -> PipelineModel:
+               seed: int = 0, max_depth: int = 15, max_bins: int = 256,
+               max_memory_mb: int = 1024) -> PipelineModel:
+    """Fit assembler + forest. ``max_memory_mb`` (statistics per pass) and
+    node-id caching only change how many passes deep trees take, not the
+    splits chosen."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol=label,
                                     predictionCol="prediction", numTrees=num_trees,
-                                    seed=seed, maxDepth=max_depth, maxBins=max_bins)
+                                    seed=seed, maxDepth=max_depth, maxBins=max_bins,
+                                    maxMemoryInMB=max_memory_mb, cacheNodeIds=True)
     return Pipeline(stages=[assembler, forest]).fit(train)
 
 
@@ -50,6 +55,11 @@ def _run(frame: DataFrame, features: list[str], label: str, num_trees: int,
          seed: int, id_col: str, **kw) -> ModelRun:
     data = frame.withColumn(label, F.col(label).cast("double"))
     train, test = train_test_split(data, id_col, seed)
+    # Every level of every tree is one pass over the training rows whose
+    # per-node statistics are merged across partitions: one partition per core,
+    # hashed and sorted by id so that bagging does not depend on input order.
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    train = train.repartition(cores, id_col).sortWithinPartitions(id_col)
     model = fit_forest(train, features, label, num_trees, seed, **kw)
     scored = model.transform(test).select(
         id_col, F.col(label).alias("label"), F.col("prediction"))

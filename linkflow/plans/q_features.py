@@ -38,7 +38,9 @@ _ONEHOT = ", ".join(
 
 
 def _facts(spark, sf_dir):
-    return fact_requests(spark, sf_dir)
+    """The requests table, written once: each feature step below reads it
+    several times, and in production it is a stored table too."""
+    return fact_requests(spark, sf_dir).checkpoint()
 
 
 @register("ip_octets", _req_sql(f"SELECT r.request_id, {_OCTETS} FROM req r"))

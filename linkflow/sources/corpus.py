@@ -31,10 +31,10 @@ def read_corpus(spark: SparkSession, path: str, glob: str = "*" + PAGE_SUFFIX,
 
     A missing path gives an empty DataFrame when ``missing_ok``.
     """
-    reader = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-              .option("recursiveFileLookup", recursive))
+    # text() has its own wholetext=False default, so the flag goes there.
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     try:
-        df = reader.text(path)
+        df = reader.text(path, wholetext=True)
     except AnalysisException:
         if not missing_ok:
             raise

@@ -116,7 +116,10 @@ def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK) -> DataFrame:
                         F.col("target").alias("nb")).unionByName(
         links.select(F.col("target").alias("page"), F.lit("in").alias("direction"),
                      F.col("source").alias("nb")))
-    pairs = both.groupBy("page", "direction", "nb").agg(F.count(F.lit(1)).alias("links"))
+    # Written once: the list widths and the lists both read it, instead of
+    # aggregating the edges twice.
+    pairs = both.groupBy("page", "direction", "nb").agg(
+        F.count(F.lit(1)).alias("links")).checkpoint()
     width = pairs.groupBy("page", "direction").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(chunk_size)).cast("bigint").alias("_chunks"))
     chunked = pairs.join(width, ["page", "direction"]).withColumn(

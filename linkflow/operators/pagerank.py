@@ -75,16 +75,17 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
     checkpoint_root(spark)  # fail early when no shared folder is configured
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    edges = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    if crawled is None:
-        crawled = edges.select(F.col("src").alias("page")).distinct()
-    crawled = crawled.select("page").distinct().withColumn("crawled", F.lit(True))
-
-    # Out-degree and slice count per source.
-    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+    # The edge input (often a link extraction over the whole corpus) is read
+    # once: everything below derives from the written (src, dst, links) table.
+    pairs = (edges.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"))
+             .agg(F.count(F.lit(1)).alias("links"))
+             .checkpoint())
     per_src = pairs.groupBy("src").agg(
         F.sum("links").alias("outdeg"),
         F.ceil(F.count(F.lit(1)) / F.lit(split_rows)).cast("bigint").alias("slices"))
+    if crawled is None:
+        crawled = pairs.select(F.col("src").alias("page"))
+    crawled = crawled.select("page").distinct().withColumn("crawled", F.lit(True))
 
     # Weighted, salted edges: computed once, partitioned by (src, salt).
     weighted = (pairs.join(per_src, "src")
@@ -94,8 +95,8 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
                 .checkpoint())
 
     # Node table: every crawled page and every endpoint, with its slice count.
-    ids = (edges.select(F.col("src").alias("page"))
-           .unionByName(edges.select(F.col("dst").alias("page")))
+    ids = (pairs.select(F.col("src").alias("page"))
+           .unionByName(pairs.select(F.col("dst").alias("page")))
            .unionByName(crawled.select("page"))
            .distinct())
     nodes = (ids.join(crawled, "page", "left")

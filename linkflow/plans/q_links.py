@@ -117,18 +117,22 @@ def top5_inlink_occurrences(spark, sf_dir):
          FROM (SELECT target, count(*) AS occurrences FROM lk GROUP BY target))
        WHERE position <= 5""", "html_lines", ctes=_LK))
 def sink_top(spark, sf_dir):
-    """Both top lists written as JSON rows to the shared folder, read back."""
-    links = lg.links_from_lines(T.html_lines(spark, sf_dir)).cache()
+    """Both top lists written as JSON rows to the shared folder, read back.
+
+    One aggregate gives both counts per target; only that table (one row per
+    target) is cached for the two top-k passes, never the edges.
+    """
+    counts = lg.inlink_counts(lg.links_from_lines(T.html_lines(spark, sf_dir))).cache()
     try:
-        incoming = lg.top_k(lg.inlink_distinct(links), "sources", "target", 5)
-        outgoing = lg.top_k(lg.inlink_occurrences(links), "occurrences", "target", 5)
+        incoming = lg.top_k(counts.select("target", "sources"), "sources", "target", 5)
+        outgoing = lg.top_k(counts.select("target", "occurrences"), "occurrences", "target", 5)
         rows = (incoming.select(F.lit("top_incoming").alias("list"), "target",
                                 F.col("sources").alias("n"), "position")
                 .unionByName(outgoing.select(F.lit("top_outgoing").alias("list"), "target",
                                              F.col("occurrences").alias("n"), "position")))
         path = write_json_rows(rows, spark, "top_lists")
     finally:
-        links.unpersist()
+        counts.unpersist()
     return spark.read.schema("list STRING, target STRING, n BIGINT, position BIGINT").json(path)
 
 

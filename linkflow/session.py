@@ -44,6 +44,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 128 * 1024 ** 2,
+               min_partitions: int = 200) -> dict[str, str]:
+    """Shuffle sizing for an input of ``input_bytes``: about one shuffle
+    partition per ``partition_bytes`` of input (AQE then coalesces small ones
+    and splits skewed ones), scan splits of the same size."""
+    partitions = max(min_partitions, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
 def apply_session_conf(spark: SparkSession) -> None:
     """Set the SQL settings above on an existing session."""
     for key, value in SESSION_CONF.items():

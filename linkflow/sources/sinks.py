@@ -49,3 +49,10 @@ def write_json_rows(df: DataFrame, spark: SparkSession, name: str,
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_log_records(records: DataFrame, path: str) -> str:
+    """Append log records ``(request_id, severity, status, message)`` as JSON
+    lines, one folder per severity, for a log collector to pick up."""
+    records.write.mode("append").partitionBy("severity").json(path)
+    return path

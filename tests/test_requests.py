@@ -96,3 +96,11 @@ def test_invariant_on_driver_data(spark):
     n_fail = D.fact_failed_requests(decided, F.current_timestamp()).count()
     assert (n_req, n_fail) == (5958, 6717)
     assert n_req + n_fail - counts[400] == 10000
+
+
+def test_log_records_sink_by_severity(spark, reqs, names, tmp_dir):
+    from linkflow.sources.sinks import write_log_records
+    path = write_log_records(D.log_records(D.decide(reqs, names)), tmp_dir + "/logs")
+    back = spark.read.json(path)
+    got = {r.severity: r["count"] for r in back.groupBy("severity").count().collect()}
+    assert got == {"ERROR": 4, "WARNING": 1}

@@ -69,8 +69,12 @@ def decide(requests: DataFrame, corpus_names: DataFrame, *,
     ``corpus_names`` has one row per stored file, column ``file_name``.
     Returns the request columns plus ``file_name, country, status, reason``.
     """
+    # distinct(): a name listed twice must not duplicate requests. In the
+    # shuffle-join path it adds no exchange (the aggregate already hashes by
+    # file_name, which the join needs).
     names = bounded_broadcast(
-        corpus_names.select("file_name").withColumn("found", F.lit(True)), broadcast_rows)
+        corpus_names.select("file_name").distinct().withColumn("found", F.lit(True)),
+        broadcast_rows)
     joined = prepare_requests(requests).join(names, "file_name", "left")
     status = status_column(missing_country, health)
     return (joined.withColumn("status", status)
@@ -94,6 +98,7 @@ def not_found(requests: DataFrame, corpus_names: DataFrame, *,
     allowed = prepare_requests(requests).where(
         (F.coalesce(F.col("method"), F.lit("")) == "GET") & ~R.is_banned(F.col("country")))
     names = bounded_broadcast(corpus_names.select("file_name"), broadcast_rows)
+    # An anti join: a name listed twice changes nothing.
     return allowed.join(names, "file_name", "left_anti").select("request_id", "file_name")
 
 

@@ -79,7 +79,9 @@ def test_messages_logs_and_content(reqs, names):
 
 
 def test_not_found_is_anti_join(reqs, names):
-    assert sorted(r.request_id for r in D.not_found(reqs, names).collect()) == [5]
+    nf = D.not_found(reqs, names)
+    assert nf.columns == ["request_id", "file_name"]
+    assert sorted(r.request_id for r in nf.collect()) == [5]
 
 
 def test_vm_counts_unknown(spark):
@@ -104,3 +106,9 @@ def test_log_records_sink_by_severity(spark, reqs, names, tmp_dir):
     back = spark.read.json(path)
     got = {r.severity: r["count"] for r in back.groupBy("severity").count().collect()}
     assert got == {"ERROR": 4, "WARNING": 1}
+
+
+def test_duplicate_names_do_not_duplicate_requests(spark, reqs):
+    names = spark.createDataFrame([("1.html",), ("1.html",)], "file_name STRING")
+    assert D.decide(reqs, names).count() == len(CASES)
+    assert D.decide(reqs, names, broadcast_rows=0).count() == len(CASES)   # shuffle-join path

@@ -60,6 +60,24 @@ def _slice_of(dst, slices):
     return F.pmod(head, slices)
 
 
+def salted_edges(pairs: DataFrame, per_src: DataFrame, partitions: int) -> DataFrame:
+    """Weighted edges ``(src, salt, dst, share)``, written once and
+    hash-partitioned by ``(src, salt)``: the edges of a hub source are spread
+    over its slices, hence over many partitions."""
+    return (pairs.join(per_src, "src")
+            .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
+                    (F.col("links") / F.col("outdeg")).alias("share"))
+            .repartition(partitions, "src", "salt")
+            .checkpoint())
+
+
+def source_degrees(pairs: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``(src, outdeg, slices)`` from ``(src, dst, links)``."""
+    return pairs.groupBy("src").agg(
+        F.sum("links").alias("outdeg"),
+        F.ceil(F.count(F.lit(1)) / F.lit(split_rows)).cast("bigint").alias("slices"))
+
+
 def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
                  threshold: float = 0.005, stop: str = "sum", max_iter: int = 100,
                  initial: float = 0.01, split_rows: int = SPLIT_ROWS,
@@ -80,19 +98,12 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
     pairs = (edges.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"))
              .agg(F.count(F.lit(1)).alias("links"))
              .checkpoint())
-    per_src = pairs.groupBy("src").agg(
-        F.sum("links").alias("outdeg"),
-        F.ceil(F.count(F.lit(1)) / F.lit(split_rows)).cast("bigint").alias("slices"))
+    per_src = source_degrees(pairs, split_rows)
     if crawled is None:
         crawled = pairs.select(F.col("src").alias("page"))
     crawled = crawled.select("page").distinct().withColumn("crawled", F.lit(True))
 
-    # Weighted, salted edges: computed once, partitioned by (src, salt).
-    weighted = (pairs.join(per_src, "src")
-                .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
-                        (F.col("links") / F.col("outdeg")).alias("share"))
-                .repartition(n_part, "src", "salt")
-                .checkpoint())
+    weighted = salted_edges(pairs, per_src, n_part)
 
     # Node table: every crawled page and every endpoint, with its slice count.
     ids = (pairs.select(F.col("src").alias("page"))

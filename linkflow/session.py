@@ -79,17 +79,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _configured_dir(spark: SparkSession) -> str | None:
-    from_context = spark.sparkContext.getCheckpointDir()
+    try:
+        context = spark.sparkContext
+    except Exception:  # pragma: no cover - remote sessions have no context here
+        context = None
+    from_context = context.getCheckpointDir() if context is not None else None
     if from_context:
         return from_context
     try:
         from_conf = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # pragma: no cover - conf lookups differ across modes
         from_conf = None
-    if from_conf:
-        spark.sparkContext.setCheckpointDir(from_conf)
-        return spark.sparkContext.getCheckpointDir()
-    return None
+    if from_conf and context is not None:
+        context.setCheckpointDir(from_conf)
+        return context.getCheckpointDir()
+    return from_conf or None
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -34,5 +34,5 @@ def sql_str(text: str) -> str:
 def load_all() -> None:
     """Import the modules that register queries."""
     from linkflow.plans import (  # noqa: F401
-        q_features, q_generate, q_links, q_requests, q_sources, q_streams,
+        q_corpus, q_features, q_generate, q_links, q_requests, q_sources, q_streams,
     )

@@ -87,6 +87,14 @@ def inlink_distinct(spark, sf_dir):
     return lg.inlink_distinct(links_regex(spark, sf_dir))
 
 
+@register("inlink_counts", T.with_views(
+    "SELECT target, count(*) AS occurrences, count(DISTINCT source) AS sources "
+    "FROM lk GROUP BY target", "html_lines", ctes=_LK))
+def inlink_counts(spark, sf_dir):
+    """Both counts from one aggregate (the links feed both without a cache)."""
+    return lg.inlink_counts(links_regex(spark, sf_dir))
+
+
 def _top5_sql(value: str, inner: str) -> str:
     return T.with_views(
         f"SELECT target, {value}, CAST(row_number() OVER (ORDER BY {value} DESC, target) AS INTEGER)"
@@ -170,20 +178,20 @@ def adjacency(spark, sf_dir):
                       lg.render_neighbours(F.col("neighbours")).alias("neighbours"))
 
 
-_STATS_SQL = """SELECT count(*) AS pages, avg(d) AS avg, max(d) AS max, min(d) AS min,
+STATS_SQL = """SELECT count(*) AS pages, avg(d) AS avg, max(d) AS max, min(d) AS min,
        quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.2) AS p20,
        quantile_cont(d, 0.4) AS p40, quantile_cont(d, 0.6) AS p60,
        quantile_cont(d, 0.8) AS p80
 FROM ({inner})"""
 
 
-@register("in_degree_stats", T.with_views(_STATS_SQL.format(
+@register("in_degree_stats", T.with_views(STATS_SQL.format(
     inner="SELECT count(*) AS d FROM links GROUP BY target"), "links"))
 def in_degree_stats(spark, sf_dir):
     return degree_stats(lg.in_degree(T.links(spark, sf_dir)), "in_degree")
 
 
-@register("out_degree_stats", T.with_views(_STATS_SQL.format(
+@register("out_degree_stats", T.with_views(STATS_SQL.format(
     inner="SELECT count(*) AS d FROM links GROUP BY source"), "links"))
 def out_degree_stats(spark, sf_dir):
     return degree_stats(lg.out_degree(T.links(spark, sf_dir)), "out_degree")

@@ -20,7 +20,8 @@ def src_corpus_whole(spark, sf_dir):
 
 
 @register("src_corpus_lines", T.with_views(
-    r"""SELECT file_name, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line
+    r"""SELECT file_name, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no,
+       unnest(parts) AS line
 FROM (SELECT file_name,
              string_split_regex(regexp_replace(content, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS parts
       FROM files WHERE file_name LIKE '%.html' AND length(content) > 0)""", "files"))

@@ -2,10 +2,15 @@
 
 Two models: IP octets -> country code (50 trees) and every feature but
 income -> income code (55 trees). The reference's trees are unbounded, so the
-trees here grow to Spark's deepest setting (``max_depth=30``) with 256 bins
-(exact thresholds for octets): an octet triple names a CIDR block, and
-depth-15 trees cannot tell a thousand blocks apart (0.67 accuracy at sf 0.1
-against 0.99 at depth 30). Codes are used as plain numbers, so no
+trees here grow to Spark's deepest setting (``max_depth=30``): an octet
+triple names a CIDR block, and depth-15 trees cannot tell a thousand blocks
+apart (0.67 accuracy at sf 0.1, against 1.00 at depth 30).
+
+Features are cut into at most 64 bins. Spark grows trees level by level and,
+per pass, merges one statistics array per node across partitions; its size
+is features x bins x classes, so deep trees over many classes pay for bins in
+shuffle volume. At sf 0.1, 64 bins scored 1.00 (country) and 0.84 (income)
+against 0.99 and 0.85 with 256 bins. Codes are used as plain numbers, so no
 categorical arity limit applies.
 """
 
@@ -33,7 +38,7 @@ class ModelRun:
 
 
 MAX_DEPTH = 30   # Spark's limit; the reference's trees have none
-MAX_BINS = 256
+MAX_BINS = 64
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str, num_trees: int,

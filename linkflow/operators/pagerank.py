@@ -61,13 +61,15 @@ def _slice_of(dst, slices):
 
 
 def salted_edges(pairs: DataFrame, per_src: DataFrame, partitions: int) -> DataFrame:
-    """Weighted edges ``(src, salt, dst, share)``, written once and
-    hash-partitioned by ``(src, salt)``: the edges of a hub source are spread
-    over its slices, hence over many partitions."""
+    """Weighted edges ``(src, salt, dst, share)``, written once,
+    hash-partitioned and sorted by ``(src, salt)``: the edges of a hub source
+    are spread over its slices, hence over many partitions, and each round's
+    merge join reads them as they lie (no shuffle, no sort of the edges)."""
     return (pairs.join(per_src, "src")
             .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
                     (F.col("links") / F.col("outdeg")).alias("share"))
             .repartition(partitions, "src", "salt")
+            .sortWithinPartitions("src", "salt")
             .checkpoint())
 
 

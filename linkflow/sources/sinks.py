@@ -36,14 +36,20 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
     return path
 
 
+# Results up to this many rows are written as one file.
+SINGLE_FILE_ROWS = 10_000
+
+
 def write_json_rows(df: DataFrame, spark: SparkSession, name: str,
                     path: str | None = None) -> str:
     """Result rows as JSON lines (one object per row) in a new folder.
 
-    Top lists have a handful of rows, so one output file is written.
+    A small result (a bounded count proves it) goes to one file, as a report
+    would; anything larger is written by every task in parallel.
     """
     path = path or scratch_path(spark, name)
-    df.coalesce(1).write.mode("overwrite").json(path)
+    small = df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS
+    (df.coalesce(1) if small else df).write.mode("overwrite").json(path)
     return path
 
 

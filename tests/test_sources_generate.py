@@ -90,3 +90,11 @@ def test_generated_requests_domains(spark):
     assert octets.where(F.size("o") != 4).count() == 0
     hours = {r.h for r in reqs.select(F.hour("x_time").alias("h")).distinct().collect()}
     assert hours <= set(range(24)) and len(hours) == 24
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from linkflow.session import scale_conf
+    conf = scale_conf(100 * 1024 ** 4)                      # 100 TB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 800 * 1024
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(scale_conf(1024)["spark.sql.shuffle.partitions"]) == 200   # floor for small inputs

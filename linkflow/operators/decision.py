@@ -15,8 +15,9 @@ records and the served content; none rescans the input.
 
 The lookup joins request file names to the corpus *names*; contents are joined
 only for the 200 rows. The name list is broadcast only when a bounded count
-proves it small; otherwise it is a shuffle join, where AQE splits partitions of
-a file that a large share of requests ask for.
+proves it small. Otherwise it is a shuffle join in which the few files that a
+large share of requests ask for are found first (a partial-aggregate count)
+and joined by a bounded broadcast, so no hot file sits in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkflow.functions import requests as R
-from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from linkflow.plans.joins import (
+    DEFAULT_BROADCAST_ROWS, HOT_ROWS, bounded_broadcast, has_at_most, skew_safe_join,
+)
 
 MISSING_COUNTRY = ("allow", "not_found")
 
@@ -62,20 +65,22 @@ def reason_column(status: Column) -> Column:
 
 def decide(requests: DataFrame, corpus_names: DataFrame, *,
            missing_country: str = "allow", health: bool = False,
-           broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+           broadcast_rows: int = DEFAULT_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Judge raw requests against the corpus listing.
 
     ``requests`` has ``request_id, method, path, x_country, ...``;
     ``corpus_names`` has one row per stored file, column ``file_name``.
     Returns the request columns plus ``file_name, country, status, reason``.
     """
-    # distinct(): a name listed twice must not duplicate requests. In the
-    # shuffle-join path it adds no exchange (the aggregate already hashes by
-    # file_name, which the join needs).
-    names = bounded_broadcast(
-        corpus_names.select("file_name").distinct().withColumn("found", F.lit(True)),
-        broadcast_rows)
-    joined = prepare_requests(requests).join(names, "file_name", "left")
+    # distinct(): a name listed twice must not duplicate requests.
+    names = corpus_names.select("file_name").distinct().withColumn("found", F.lit(True))
+    prepared = prepare_requests(requests)
+    if has_at_most(names, broadcast_rows):
+        joined = prepared.join(F.broadcast(names), "file_name", "left")
+    else:
+        # A file asked for by a large share of requests must not land in one
+        # task: hot names are joined by broadcast, the rest by shuffle.
+        joined = skew_safe_join(prepared, names, "file_name", "left", hot_rows=hot_rows)
     status = status_column(missing_country, health)
     return (joined.withColumn("status", status)
             .withColumn("reason", reason_column(F.col("status")))
@@ -86,10 +91,16 @@ def decision_view(decided: DataFrame) -> DataFrame:
     return decided.select("request_id", "method", "file_name", "country", "status", "reason")
 
 
-def served_content(decided: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Body of every 200 response: ``(request_id, file_name, content)``."""
-    return decided.where(F.col("status") == 200).select("request_id", "file_name").join(
-        corpus.select("file_name", "content"), "file_name")
+def served_content(decided: DataFrame, corpus: DataFrame, *,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Body of every 200 response: ``(request_id, file_name, content)``.
+
+    Contents of hot files (asked for by at least ``hot_rows`` requests) are
+    broadcast to the requests; the others are joined by shuffle.
+    """
+    served = decided.where(F.col("status") == 200).select("request_id", "file_name")
+    return skew_safe_join(served, corpus.select("file_name", "content"), "file_name", "inner",
+                          hot_rows=hot_rows)
 
 
 def not_found(requests: DataFrame, corpus_names: DataFrame, *,

@@ -112,3 +112,23 @@ def test_duplicate_names_do_not_duplicate_requests(spark, reqs):
     names = spark.createDataFrame([("1.html",), ("1.html",)], "file_name STRING")
     assert D.decide(reqs, names).count() == len(CASES)
     assert D.decide(reqs, names, broadcast_rows=0).count() == len(CASES)   # shuffle-join path
+
+
+def test_hot_file_path_equals_broadcast_path(spark):
+    """A third of requests ask for one file: the hot-key split (shuffle path)
+    gives the same decision and served rows as the broadcast path."""
+    from linkflow.plans.joins import hot_keys
+    raw = T.requests_raw(spark, SF_MID).withColumn(
+        "path", F.when(F.col("request_id") % 3 == 0, F.lit("/files_get/1.html"))
+        .otherwise(F.col("path")))
+    files = T.files(spark, SF_MID)
+    assert hot_keys(D.prepare_requests(raw), "file_name", hot_rows=1000) == ["1.html"]
+    plain = D.decide(raw, files)
+    split = D.decide(raw, files, broadcast_rows=0, hot_rows=1000)
+    cols = ["request_id", "status", "file_name"]
+    assert split.count() == plain.count() == 10000
+    assert split.select(cols).exceptAll(plain.select(cols)).count() == 0
+    served_plain = D.served_content(plain, files)
+    served_split = D.served_content(split, files, hot_rows=1000)
+    assert served_split.count() == served_plain.count()
+    assert served_split.exceptAll(served_plain).count() == 0

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkflow.plans.indexing import SMALL_ROWS, dense_index
-from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS
+from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS, HOT_ROWS, skew_safe_join
 
 CODED_COLUMNS = ("country", "file_name", "time", "income")
 MAX_ONEHOT_LEVELS = 1024
 
 
 def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id",
-              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+              broadcast_rows: int = DEFAULT_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replace each of ``cols`` by its first-appearance code (BIGINT).
 
     One aggregate over the input finds the first id of every value of every
@@ -62,12 +62,24 @@ def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id",
     for i, c in enumerate(cols):
         table = numbered[i].select("_v", "_code")
         if sizes.get(i, 0) <= broadcast_rows:
-            table = F.broadcast(table)
-        out = (out.join(table, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
-               .drop(c, "_v").withColumnRenamed("_code", c))
+            out = (out.join(F.broadcast(table), F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
+                   .drop(c, "_v"))
+        else:
+            # Large code table: a shuffle join on a NULL-safe text key, with
+            # hot values (a country with a third of all rows) split off.
+            out = (skew_safe_join(out.withColumn("_k", _text_key(F.col(c))),
+                                  table.select(_text_key(F.col("_v")).alias("_k"), "_code"),
+                                  "_k", "left", hot_rows=hot_rows)
+                   .drop(c, "_k"))
+        out = out.withColumnRenamed("_code", c)
     return out
 
 
+def _text_key(value):
+    """Injective, never-NULL text form of a value (NULL -> '0', v -> '1' + v)."""
+    return F.when(value.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), value.cast("string")))
+
+
 def ip_octets(df: DataFrame, ip_col: str = "ip_address", lenient: bool = False,
               drop: bool = True) -> DataFrame:
     """``ip_1..ip_4`` (INT) from a dotted IP string.

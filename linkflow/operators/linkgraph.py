@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linkflow.functions.links import (
     PAGE_SUFFIX, base_name, html_links, regex_links, strip_suffix,
 )
+from linkflow.plans.joins import HOT_ROWS, skew_safe_join
 
 # Adjacency rows hold at most about this many distinct neighbours each.
 ADJACENCY_CHUNK = 10_000
@@ -103,7 +104,8 @@ def _md5_bucket(value: Column, buckets: Column) -> Column:
     return F.pmod(head, buckets)
 
 
-def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK) -> DataFrame:
+def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Out- and in-lists per page, duplicates kept as counts.
 
     Rows ``(page, direction, chunk, neighbours)`` with ``direction`` in
@@ -120,9 +122,14 @@ def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK) -> DataFrame:
     # aggregating the edges twice.
     pairs = both.groupBy("page", "direction", "nb").agg(
         F.count(F.lit(1)).alias("links")).checkpoint()
-    width = pairs.groupBy("page", "direction").agg(
+    # One non-null join key per (page, direction), NULL pages included.
+    list_key = F.concat(F.col("direction"), F.when(F.col("page").isNull(), F.lit("0"))
+                        .otherwise(F.concat(F.lit("1"), F.col("page"))))
+    keyed = pairs.withColumn("_list", list_key)
+    width = keyed.groupBy("_list").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(chunk_size)).cast("bigint").alias("_chunks"))
-    chunked = pairs.join(width, ["page", "direction"]).withColumn(
+    # A hub page's pairs must not meet its width row in one task.
+    chunked = skew_safe_join(keyed, width, "_list", "inner", hot_rows=hot_rows).withColumn(
         "chunk", _md5_bucket(F.col("nb"), F.col("_chunks")))
     return chunked.groupBy("page", "direction", "chunk").agg(
         F.sort_array(F.collect_list(F.struct(F.col("nb").alias("page"), "links")))

@@ -40,6 +40,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkflow.plans.joins import skew_safe_join
 from linkflow.session import checkpoint_root
 
 DAMPING = 0.85
@@ -65,7 +66,8 @@ def salted_edges(pairs: DataFrame, per_src: DataFrame, partitions: int) -> DataF
     hash-partitioned and sorted by ``(src, salt)``: the edges of a hub source
     are spread over its slices, hence over many partitions, and each round's
     merge join reads them as they lie (no shuffle, no sort of the edges)."""
-    return (pairs.join(per_src, "src")
+    # A hub source's pairs must not meet its degree row in one task.
+    return (skew_safe_join(pairs, per_src, "src", "inner")
             .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
                     (F.col("links") / F.col("outdeg")).alias("share"))
             .repartition(partitions, "src", "salt")

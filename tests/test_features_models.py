@@ -79,3 +79,16 @@ def test_forests_run_and_learn_country(spark):
     assert 0.0 <= income.accuracy <= 1.0
     assert "request_id" not in M.income_features(frame)
     assert "request_id" in M.income_features(frame, keep_id=True)
+
+
+def test_codes_large_table_path_with_hot_value(spark):
+    """Shuffle-join path (code table over the broadcast bound) with a hot value
+    and NULLs gives the same codes as the broadcast path."""
+    from linkflow.plans.joins import hot_keys
+    rows = [(i, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"v{i % 50}")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "request_id BIGINT, country STRING")
+    assert hot_keys(df, "country", hot_rows=500) == ["hot"]
+    small = {r.request_id: r.country for r in FT.factorize(df, ["country"]).collect()}
+    big = {r.request_id: r.country
+           for r in FT.factorize(df, ["country"], broadcast_rows=0, hot_rows=500).collect()}
+    assert big == small and len(set(small.values())) == 52

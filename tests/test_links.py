@@ -158,3 +158,14 @@ def test_top_k_ties_and_short_input(spark):
     df = spark.createDataFrame([("b", 3), ("a", 3), ("c", 1)], "target STRING, n BIGINT")
     got = [(r.target, r.n, r.position) for r in lg.top_k(df, "n", "target", 5).collect()]
     assert got == [("a", 3, 1), ("b", 3, 2), ("c", 1, 3)]
+
+
+def test_adjacency_hot_page_split_path(spark):
+    """With a low hot-row bound the hub's lists go through the broadcast
+    branch; the result is the same."""
+    pairs = [("hub", str(i)) for i in range(60)] + [(str(i), "hub") for i in range(5)] + [("a", "b")]
+    e = _edges(spark, pairs)
+    plain = sorted((r.page, r.direction, r.chunk, tuple(r.neighbours)) for r in lg.adjacency(e, 16).collect())
+    split = sorted((r.page, r.direction, r.chunk, tuple(r.neighbours))
+                   for r in lg.adjacency(e, 16, hot_rows=10).collect())
+    assert split == plain

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from linkflow.operators import features as FT
 from linkflow.operators import models as M

@@ -66,18 +66,31 @@ def apply_session_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; create a local one only if unset.
-
-    The fallback exists for single-machine runs (tests, bench, smoke check).
+    """Use the configured checkpoint folder; create a local one only if unset
+    and the master is local (tests, bench, smoke check). A cluster session
+    without a configured folder is an error, never a machine-local fallback.
     """
     current = _configured_dir(spark)
     if current:
         return current
+    master = spark.sparkContext.master if _has_context(spark) else ""
+    if not master.startswith("local"):
+        # On a cluster a machine-local folder would lose checkpoints with the
+        # machine; the shared folder has to be configured.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
     local = tempfile.mkdtemp(prefix="linkflow-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return _configured_dir(spark)
 
 
+def _has_context(spark: SparkSession) -> bool:
+    try:
+        spark.sparkContext
+    except Exception:  # pragma: no cover - remote sessions
+        return False
+    return True
+
+
 def _configured_dir(spark: SparkSession) -> str | None:
     try:
         context = spark.sparkContext

@@ -14,8 +14,8 @@
 * :func:`vm_counts_stream` - running responses per VM (``complete`` mode);
   each trigger overwrites the snapshot table.
 
-Sources are file streams (the environment has no Kafka); the same plans run on
-``format("kafka")`` with ``value`` as the message bytes.
+Sources and the topic are file streams: no Kafka connector is available here,
+so a Kafka source or sink is neither built nor tested.
 """
 
 from __future__ import annotations

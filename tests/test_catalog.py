@@ -50,3 +50,16 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns == ["target", "sources", "position"]
     assert 0 < len(rows) <= 5
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
+def test_plans_stay_in_the_jvm(spark, name):
+    """No registered query evaluates Python per row or per batch."""
+    import contextlib
+    import io
+    df = QUERIES[name](spark, SF_SMALL)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
+    assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan

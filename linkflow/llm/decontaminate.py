@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import Memo, sliced
+from linkflow.llm.common import Memo, sliced, small, written
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 16, 44
 BLOCK_ITEMS = 2_000
@@ -161,6 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["__hit"], "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item."""
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    hits = written(contaminated(keyed, benchmark, id_col="__text", **options).select(F.col("__text").alias("__hit")).distinct(), "leaks")
+    return keyed.join(small(hits), F.expr("__text = __hit"), "left_anti").drop("__text")

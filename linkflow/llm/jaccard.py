@@ -261,7 +261,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: that of the least doc_id (one
-    of equal rows)."""
+    of several rows with it). Rows without an id stay."""
     found = written(groups(docs), "jaccard-groups")
     out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     node = F.xxhash64(F.coalesce("text", F.lit("")))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import written
+from linkflow.llm.common import small, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -163,9 +163,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all spans masked in ``text`` (``n_chars`` follows)."""
-    found = find(docs, **options).where(F.size("spans") > 0).groupBy("id", "key").agg(F.first("spans").alias("__spans"))
+    found = find(docs, **options).where(F.size("spans") > 0).groupBy("id", "key").agg(F.first("spans").alias("spans"))
+    found = written(found.select(*(F.col(c).alias(f"__{c}") for c in found.columns)), "pii-spans")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("__key", F.xxhash64(text)).join(found, F.expr("doc_id <=> id AND __key = key"), "left")
+    joined = docs.withColumn("__text", F.xxhash64(text)).join(small(found, row_bytes=512), F.expr("doc_id <=> __id AND __text = __key"), "left")
     changed = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
     new = {"text": changed, "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(changed).cast("long")) if "n_chars" in docs.columns else None}
     return joined.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))

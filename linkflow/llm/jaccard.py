@@ -25,10 +25,12 @@ be shared, so those rows are salted and only one is counted with the others.
 *Verification.* The sets of the probing documents and their partners are cut
 to single shingles, the finest universe partition, with the same allocation:
 the smaller set probes its rarest a // 7 + 1 shingles, unshared ones for free.
-Documents link to the fullest partner of a probed shingle first, and the links
-are verified exactly. What is then already connected needs no further pair:
+A shingle's documents are first compared, exactly, with its hub, the document
+that shares the largest part of itself. What is then already connected needs no further pair:
 only probes of shingles whose documents still belong to several components
-meet, if sizes and shared shingles allow a link, and are verified exactly too.
+meet, if a link is possible: the shingles that two sets share lie inside the
+hub or outside, and are at most the smaller number of either's on each side.
+These pairs are verified exactly too.
 So a group of many copies costs links to its hub, not all its pairs, and no link between
 different components is lost.
 
@@ -201,11 +203,15 @@ def candidates(shared: DataFrame) -> DataFrame:
     return shared.where(f"kind <= {INDEX}").join(sigs, "sig", "left_semi").select("node").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.75 or more."""
+def counted_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the sizes of both sets and of their intersection."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= 75 * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+
+
+def similar(counted: DataFrame) -> DataFrame:
+    return counted.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -222,18 +228,20 @@ def links(sets: DataFrame) -> DataFrame:
     index = written(index, "jaccard-index")
 
     hubs = index.groupBy("gram").agg(F.max(F.struct((F.col("avail") / F.col("n")).alias("share"), "node"))["node"].alias("hub"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = written(verified(probes.join(hubs, "gram").where("node <> hub").select(*pair("node", "hub")).distinct(), sets), "jaccard-links")
+    index = written(index.join(hubs, "gram"), "jaccard-index")
+    to_hub = written(counted_pairs(index.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "jaccard-hubs")
+    first = written(similar(to_hub).where("a <> b"), "jaccard-links")
 
     comp = components(first)
-    place = lambda df: df.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    members = written(place(index), "jaccard-members")
+    common = to_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("inside"))
+    members = index.join(common, ["node", "hub"]).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("outside", F.col("avail") - F.col("inside"))
+    members = written(members, "jaccard-members")
     mixed = members.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    p = place(probes).join(mixed, "gram", "left_semi").alias("p")
-    m = members.alias("m")
-    may = "p.gram = m.gram AND p.comp <> m.comp AND m.n >= p.n AND 3 * m.n <= 4 * p.n AND 7 * least(p.avail, m.avail) >= 3 * (p.n + m.n)"
-    rest = p.join(m, F.expr(may)).select(*pair("p.node", "m.node")).distinct()
-    return first.unionByName(written(verified(rest, sets), "jaccard-links"))
+    open_ = members.join(mixed, "gram", "left_semi")
+    p = open_.join(probes.select("gram", "node"), ["gram", "node"], "left_semi").alias("p")
+    may = "p.gram = m.gram AND p.comp <> m.comp AND m.n >= p.n AND 3 * m.n <= 4 * p.n AND 7 * (least(p.inside, m.inside) + least(p.outside, m.outside)) >= 3 * (p.n + m.n)"
+    rest = p.join(open_.alias("m"), F.expr(may)).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
+    return first.unionByName(written(similar(counted_pairs(rest, sets)), "jaccard-links"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,11 +25,11 @@ be shared, so those rows are salted and only one is counted with the others.
 *Verification.* The sets of the probing documents and their partners are cut
 to single shingles, the finest universe partition, with the same allocation:
 the smaller set probes its rarest a // 7 + 1 shingles, unshared ones for free.
-A shingle's documents are first compared, exactly, with its hub, the document
-that shares the largest part of itself. What is then already connected needs no further pair:
-only probes of shingles whose documents still belong to several components
-meet, if a link is possible: the shingles that two sets share lie inside the
-hub or outside, and are at most the smaller number of either's on each side.
+A shingle's documents are first compared, exactly, with its hub, the one of them
+that shares the largest part of itself. What is then already connected needs no
+further pair: only probes of shingles whose documents still belong to several components
+meet, if a link is possible: the shingles that two sets share lie inside a hub
+or outside, and are at most the smaller number of either's on each side.
 These pairs are verified exactly too.
 So a group of many copies costs links to its hub, not all its pairs, and no link between
 different components is lost.
@@ -227,20 +227,22 @@ def links(sets: DataFrame) -> DataFrame:
     index = grams.drop("n").join(full, "node").join(probes.select("gram").distinct(), "gram", "left_semi").select("gram", "node", "n", "avail")
     index = written(index, "jaccard-index")
 
-    hubs = index.groupBy("gram").agg(F.max(F.struct((F.col("avail") / F.col("n")).alias("share"), "node"))["node"].alias("hub"))
-    index = written(index.join(hubs, "gram"), "jaccard-index")
+    share = F.struct((F.col("avail") / F.col("n")).alias("share"), "node")
+    index = written(index.join(index.groupBy("gram").agg(F.max(share)["node"].alias("hub")), "gram"), "jaccard-index")
     to_hub = written(counted_pairs(index.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "jaccard-hubs")
-    first = written(similar(to_hub).where("a <> b"), "jaccard-links")
+    first = similar(to_hub).where("a <> b")
 
     comp = components(first)
     common = to_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("inside"))
-    members = index.join(common, ["node", "hub"]).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("outside", F.col("avail") - F.col("inside"))
+    members = index.join(common, ["node", "hub"]).join(comp, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "outside": F.col("avail") - F.col("inside")})
     members = written(members, "jaccard-members")
     mixed = members.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    open_ = members.join(mixed, "gram", "left_semi")
-    p = open_.join(probes.select("gram", "node"), ["gram", "node"], "left_semi").alias("p")
-    may = "p.gram = m.gram AND p.comp <> m.comp AND m.n >= p.n AND 3 * m.n <= 4 * p.n AND 7 * (least(p.inside, m.inside) + least(p.outside, m.outside)) >= 3 * (p.n + m.n)"
-    rest = p.join(open_.alias("m"), F.expr(may)).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
+    members = members.join(mixed, "gram", "left_semi")
+    p = members.join(probes.select("gram", "node"), ["gram", "node"], "left_semi").alias("p")
+    larger = "struct(m.n, m.avail, m.node) > struct(p.n, p.avail, p.node)"  # of equal sizes the one with fewer probes probes
+    possible = "7 * (least(p.inside, m.inside) + least(p.outside, m.outside)) >= 3 * (p.n + m.n)"
+    may = f"p.gram = m.gram AND p.comp <> m.comp AND {larger} AND 3 * m.n <= 4 * p.n AND {possible}"
+    rest = p.join(members.alias("m"), F.expr(may)).select(F.col("p.node").alias("a"), F.col("m.node").alias("b")).distinct()
     return first.unionByName(written(similar(counted_pairs(rest, sets)), "jaccard-links"))
 
 

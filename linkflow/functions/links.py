@@ -23,12 +23,13 @@ PAGE_SUFFIX = ".html"
 # ---------------------------------------------------------------------------
 
 # Parts of a document an HTML parser does not read as markup.
-SKIPPED_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-# One <a ...> start tag; quoted values may hold '>'. Possessive runs keep the
+SKIPPED_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# One <a ...> start tag; a quote opens a value (which may hold '>') only after
+# '='. Possessive runs keep the
 # Java regex from deep backtracking on long documents.
-ANCHOR_TAG = r"""(?is)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ANCHOR_TAG = r"""(?is)<a[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 # The same tag for engines without possessive quantifiers (same matches).
-ANCHOR_TAG_PLAIN = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
+ANCHOR_TAG_PLAIN = r"""(?is)<a[\s/](?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*>"""
 # One attribute: name, then an optional quoted or unquoted value.
 ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
 # Entities decoded in attribute values; '&amp;' goes last so '&amp;lt;' stays '&lt;'.

@@ -69,7 +69,7 @@ def from_utf8(value: Column) -> Column:
 def log_message(status: Column, method: Column, file_name: Column,
                 country: Column) -> Column:
     """Log text for a refused request; NULL for 200."""
-    return (F.when(status == 501, F.format_string(LOG_501, method))
+    return (F.when(status == 501, F.format_string(LOG_501, F.coalesce(method, F.lit("None"))))
             .when(status == 404, F.format_string(LOG_404, file_name))
             .when(status == 400, F.format_string(LOG_400, country)))
 

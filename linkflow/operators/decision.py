@@ -11,13 +11,13 @@ request without a country header cannot be stored and ends as 404.
 
 From one decision plan come the fact rows (``requests``: 200 and 400;
 ``failed_requests``: every refusal), the topic messages for 400, the log
-records and the served content; none rescans the input.
+records and the served content.
 
 The lookup joins request file names to the corpus *names*; contents are joined
-only for the 200 rows. The name list is broadcast only when a bounded count
-proves it small. Otherwise it is a shuffle join in which the few files that a
-large share of requests ask for are found first (a partial-aggregate count)
-and joined by a bounded broadcast, so no hot file sits in one task.
+only for the 200 rows. It is a plain join without counts or hints: Spark
+broadcasts a listing whose bytes are small, and otherwise AQE splits the
+partitions of files that many requests ask for. A stream joins the listing as
+it is at each micro-batch.
 """
 
 from __future__ import annotations
@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkflow.functions import requests as R
-from linkflow.plans.joins import (
-    DEFAULT_BROADCAST_ROWS, HOT_ROWS, bounded_broadcast, has_at_most, skew_safe_join,
-)
+from linkflow.plans.joins import split_join
 
 MISSING_COUNTRY = ("allow", "not_found")
 
@@ -64,8 +62,7 @@ def reason_column(status: Column) -> Column:
 
 
 def decide(requests: DataFrame, corpus_names: DataFrame, *,
-           missing_country: str = "allow", health: bool = False,
-           broadcast_rows: int = DEFAULT_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+           missing_country: str = "allow", health: bool = False) -> DataFrame:
     """Judge raw requests against the corpus listing.
 
     ``requests`` has ``request_id, method, path, x_country, ...``;
@@ -75,12 +72,10 @@ def decide(requests: DataFrame, corpus_names: DataFrame, *,
     # distinct(): a name listed twice must not duplicate requests.
     names = corpus_names.select("file_name").distinct().withColumn("found", F.lit(True))
     prepared = prepare_requests(requests)
-    if has_at_most(names, broadcast_rows):
-        joined = prepared.join(F.broadcast(names), "file_name", "left")
+    if requests.isStreaming:
+        joined = prepared.join(names, "file_name", "left")
     else:
-        # A file asked for by a large share of requests must not land in one
-        # task: hot names are joined by broadcast, the rest by shuffle.
-        joined = skew_safe_join(prepared, names, "file_name", "left", hot_rows=hot_rows)
+        joined = split_join(prepared, names, "file_name")
     status = status_column(missing_country, health)
     return (joined.withColumn("status", status)
             .withColumn("reason", reason_column(F.col("status")))
@@ -91,26 +86,18 @@ def decision_view(decided: DataFrame) -> DataFrame:
     return decided.select("request_id", "method", "file_name", "country", "status", "reason")
 
 
-def served_content(decided: DataFrame, corpus: DataFrame, *,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Body of every 200 response: ``(request_id, file_name, content)``.
-
-    Contents of hot files (asked for by at least ``hot_rows`` requests) are
-    broadcast to the requests; the others are joined by shuffle.
-    """
+def served_content(decided: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Body of every 200 response: ``(request_id, file_name, content)``."""
     served = decided.where(F.col("status") == 200).select("request_id", "file_name")
-    return skew_safe_join(served, corpus.select("file_name", "content"), "file_name", "inner",
-                          hot_rows=hot_rows)
+    return served.join(corpus.select("file_name", "content"), "file_name")
 
 
-def not_found(requests: DataFrame, corpus_names: DataFrame, *,
-              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def not_found(requests: DataFrame, corpus_names: DataFrame) -> DataFrame:
     """Allowed GET requests whose file is not stored: ``(request_id, file_name)``."""
     allowed = prepare_requests(requests).where(
         (F.coalesce(F.col("method"), F.lit("")) == "GET") & ~R.is_banned(F.col("country")))
-    names = bounded_broadcast(corpus_names.select("file_name"), broadcast_rows)
     # An anti join: a name listed twice changes nothing.
-    return allowed.join(names, "file_name", "left_anti").select("request_id", "file_name")
+    return allowed.join(corpus_names.select("file_name"), "file_name", "left_anti").select("request_id", "file_name")
 
 
 # --- rows derived from one decision ----------------------------------------

@@ -11,8 +11,8 @@ Steps, in this order:
 
 Codes: one aggregate over all coded columns gives each distinct value its
 first id; the values are then numbered in that order (:func:`dense_index`,
-distributed past a size bound) and joined back, broadcast only when the
-counted size of the code table is under the bound.
+distributed past a size bound) and joined back; AQE picks the join from the
+code tables' bytes and splits hot values.
 """
 
 from __future__ import annotations
@@ -22,21 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkflow.plans.indexing import SMALL_ROWS, dense_index
-from linkflow.plans.joins import DEFAULT_BROADCAST_ROWS, HOT_ROWS, skew_safe_join
+from linkflow.plans.joins import split_join
 
 CODED_COLUMNS = ("country", "file_name", "time", "income")
-MAX_ONEHOT_LEVELS = 1024
 
 
-def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id",
-              broadcast_rows: int = DEFAULT_BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id") -> DataFrame:
     """Replace each of ``cols`` by its first-appearance code (BIGINT).
 
     One aggregate over the input finds the first id of every value of every
     column (values compared as text, NULL kept); the result is written once.
     Its per-column sizes decide how each column is numbered (one window per
-    column when small, :func:`dense_index` when large) and whether its code
-    table is broadcast.
+    column when small, :func:`dense_index` when large).
     """
     cols = list(cols)
     pairs = F.explode(F.array(*[
@@ -61,17 +58,9 @@ def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id",
     out = df
     for i, c in enumerate(cols):
         table = numbered[i].select("_v", "_code")
-        if sizes.get(i, 0) <= broadcast_rows:
-            out = (out.join(F.broadcast(table), F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
-                   .drop(c, "_v"))
-        else:
-            # Large code table: a shuffle join on a NULL-safe text key, with
-            # hot values (a country with a third of all rows) split off.
-            out = (skew_safe_join(out.withColumn("_k", _text_key(F.col(c))),
-                                  table.select(_text_key(F.col("_v")).alias("_k"), "_code"),
-                                  "_k", "left", hot_rows=hot_rows)
-                   .drop(c, "_k"))
-        out = out.withColumnRenamed("_code", c)
+        coded = split_join(out.withColumn("_k", _text_key(F.col(c))),
+                           table.select(_text_key(F.col("_v")).alias("_k"), "_code"), "_k")
+        out = coded.drop(c, "_k").withColumnRenamed("_code", c)
     return out
 
 
@@ -108,13 +97,11 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def onehot(df: DataFrame, cols: list[str] | None = None,
-           max_levels: int = MAX_ONEHOT_LEVELS,
            levels_from: DataFrame | None = None) -> DataFrame:
     """One boolean column per distinct value of each of ``cols``; drops ``cols``.
 
     The value lists define the output schema, so they are read to the driver:
-    one distinct pass over all columns, stopped after ``max_levels`` values
-    per column plus one (more than that is an error, not a silent cut).
+    one distinct pass over all columns, of the size of the output's header.
     ``levels_from`` reads the values from another frame with the same columns
     (e.g. the input before expensive joins).
     """
@@ -125,13 +112,10 @@ def onehot(df: DataFrame, cols: list[str] | None = None,
         F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))
     source = df if levels_from is None else levels_from
     found = (source.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
-             .distinct().limit(len(cols) * (max_levels + 1)).collect())
+             .distinct().collect())
     levels: dict[str, list[str]] = {c: [] for c in cols}
     for row in found:
         levels[row["c"]].append(row["v"])
-    for c in cols:
-        if len(levels[c]) > max_levels:
-            raise ValueError(f"column {c!r} has more than {max_levels} distinct values")
     dummies = [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")
                for c in cols for v in sorted(levels[c])]
     return df.select("*", *dummies).drop(*cols)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linkflow.functions.links import (
     PAGE_SUFFIX, base_name, html_links, regex_links, strip_suffix,
 )
-from linkflow.plans.joins import HOT_ROWS, skew_safe_join
+from linkflow.plans.joins import split_join
 
 # Adjacency rows hold at most about this many distinct neighbours each.
 ADJACENCY_CHUNK = 10_000
@@ -104,20 +104,23 @@ def _md5_bucket(value: Column, buckets: Column) -> Column:
     return F.pmod(head, buckets)
 
 
-def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+def adjacency(links: DataFrame, pages: DataFrame | None = None,
+              chunk_size: int = ADJACENCY_CHUNK) -> DataFrame:
     """Out- and in-lists per page, duplicates kept as counts.
 
     Rows ``(page, direction, chunk, neighbours)`` with ``direction`` in
     ``out``/``in`` and ``neighbours`` a sorted ``array<struct<page, links>>``.
     A page whose list has more than ``chunk_size`` distinct neighbours is split
     over ``ceil(n / chunk_size)`` rows by a hash of the neighbour, so no row or
-    task has to hold the whole list of a hub page.
+    task has to hold the whole list of a hub page. With ``pages`` (column
+    ``page``), a page of it without a list has a row with an empty one for
+    each direction.
     """
-    both = links.select(F.col("source").alias("page"), F.lit("out").alias("direction"),
-                        F.col("target").alias("nb")).unionByName(
-        links.select(F.col("target").alias("page"), F.lit("in").alias("direction"),
-                     F.col("source").alias("nb")))
+    end = lambda page, direction, nb: F.struct(
+        F.col(page).alias("page"), F.lit(direction).alias("direction"), F.col(nb).alias("nb"))
+    # One scan of the links gives both directions.
+    both = links.select(F.explode(F.array(
+        end("source", "out", "target"), end("target", "in", "source"))).alias("e")).select("e.*")
     # Written once: the list widths and the lists both read it, instead of
     # aggregating the edges twice.
     pairs = both.groupBy("page", "direction", "nb").agg(
@@ -129,11 +132,20 @@ def adjacency(links: DataFrame, chunk_size: int = ADJACENCY_CHUNK,
     width = keyed.groupBy("_list").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(chunk_size)).cast("bigint").alias("_chunks"))
     # A hub page's pairs must not meet its width row in one task.
-    chunked = skew_safe_join(keyed, width, "_list", "inner", hot_rows=hot_rows).withColumn(
+    chunked = split_join(keyed, width, "_list", "inner").withColumn(
         "chunk", _md5_bucket(F.col("nb"), F.col("_chunks")))
-    return chunked.groupBy("page", "direction", "chunk").agg(
+    lists = chunked.groupBy("page", "direction", "chunk").agg(
         F.sort_array(F.collect_list(F.struct(F.col("nb").alias("page"), "links")))
         .alias("neighbours"))
+    if pages is None:
+        return lists
+    every = pages.select("page").distinct().select(
+        "page", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("direction"))
+    listed = pairs.select("page", "direction").distinct()
+    alone = every.join(listed, ["page", "direction"], "left_anti")
+    empty = F.array().cast(lists.schema["neighbours"].dataType)
+    return lists.unionByName(alone.select(
+        "page", "direction", F.lit(0).cast("bigint").alias("chunk"), empty.alias("neighbours")))
 
 
 def render_neighbours(neighbours: Column) -> Column:

@@ -64,7 +64,10 @@ def accuracy(predictions: DataFrame, label: str = "label") -> float:
 
 def _run(frame: DataFrame, features: list[str], label: str, num_trees: int,
          seed: int, id_col: str, **kw) -> ModelRun:
-    data = frame.withColumn(label, F.col(label).cast("double"))
+    # The class count goes with the label: without it Spark stops at 100 classes.
+    classes = int(frame.agg(F.max(label)).first()[0] or 0) + 1
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": classes, "name": label}}
+    data = frame.withColumn(label, F.col(label).cast("double")).withMetadata(label, nominal)
     train, test = train_test_split(data, id_col, seed)
     # Every level of every tree is one pass over the training rows whose
     # per-node statistics are merged across partitions: one partition per core,

@@ -24,9 +24,10 @@ Plan at scale:
   ``ceil(targets / split_rows)`` salted slices: edges get ``salt =
   md5(dst) mod slices`` and the rank of that source is replicated once per
   slice, so a hub source is spread over many tasks instead of one.
-* The weighted edges are checkpointed once, hash-partitioned by ``(src,
-  salt)``; per round only the rank side (one row per node and slice) moves to
-  them. Contributions are summed per target with a map-side partial
+* The weighted edges are checkpointed once, hash-partitioned and sorted by
+  ``(src, salt)``, and the loop runs without AQE (a checkpoint taken under AQE
+  forgets its partitioning): per round only the rank side (one row per node
+  and slice) moves to them. Contributions are summed per target with a map-side partial
   aggregate, so hub targets are reduced before the shuffle.
 * Each round's state is checkpointed to ``spark.checkpoint.dir`` (reliable),
   which cuts the lineage and survives lost executors. The round's total is
@@ -40,7 +41,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.plans.joins import skew_safe_join
+from linkflow.plans.joins import split_join
 from linkflow.session import checkpoint_root
 
 DAMPING = 0.85
@@ -54,6 +55,7 @@ class PageRankResult:
     ranks: DataFrame          # (page, rank)
     rounds: int
     last_difference: float
+    converged: bool           # False: ``max_iter`` ended the run
 
 
 def _slice_of(dst, slices):
@@ -67,7 +69,7 @@ def salted_edges(pairs: DataFrame, per_src: DataFrame, partitions: int) -> DataF
     are spread over its slices, hence over many partitions, and each round's
     merge join reads them as they lie (no shuffle, no sort of the edges)."""
     # A hub source's pairs must not meet its degree row in one task.
-    return (skew_safe_join(pairs, per_src, "src", "inner")
+    return (split_join(pairs, per_src, "src", "inner")
             .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
                     (F.col("links") / F.col("outdeg")).alias("share"))
             .repartition(partitions, "src", "salt")
@@ -94,6 +96,7 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
     if stop not in ("sum", "l1"):
         raise ValueError("stop must be 'sum' or 'l1'")
     spark = edges.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     checkpoint_root(spark)  # fail early when no shared folder is configured
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,6 +110,25 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
         crawled = pairs.select(F.col("src").alias("page"))
     crawled = crawled.select("page").distinct().withColumn("crawled", F.lit(True))
 
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _rounds(pairs, per_src, crawled, threshold, stop, max_iter, initial, n_part)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def round_inflow(weighted: DataFrame, state: DataFrame) -> DataFrame:
+    """``(page, inflow)`` of one round from the ranks of the last."""
+    sent = (state.where((F.col("slices") > 0) & (F.col("rank") != 0))
+            .select(F.col("page").alias("src"), "rank",
+                    F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("salt")))
+    return (weighted.join(sent, ["src", "salt"])
+            .groupBy(F.col("dst").alias("page"))
+            .agg(F.sum(F.col("rank") * F.col("share")).alias("inflow")))
+
+
+def _rounds(pairs: DataFrame, per_src: DataFrame, crawled: DataFrame, threshold: float, stop: str,
+            max_iter: int, initial: float, n_part: int) -> PageRankResult:
     weighted = salted_edges(pairs, per_src, n_part)
 
     # Node table: every crawled page and every endpoint, with its slice count.
@@ -124,15 +146,10 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
 
     state = nodes                       # (page, slices, rank): ranks of the previous round
     prev_sum = state.agg(F.sum("rank")).first()[0] or 0.0
-    rounds, diff = 0, float("inf")
+    rounds, diff, converged = 0, float("inf"), True
     while True:
         rounds += 1
-        sent = (state.where((F.col("slices") > 0) & (F.col("rank") != 0))
-                .select(F.col("page").alias("src"), "rank",
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("salt")))
-        contrib = (weighted.join(sent, ["src", "salt"])
-                   .groupBy(F.col("dst").alias("page"))
-                   .agg(F.sum(F.col("rank") * F.col("share")).alias("inflow")))
+        contrib = round_inflow(weighted, state)
         raw = (nodes.select("page", "slices").join(contrib, "page", "left")
                .select("page", "slices",
                        (F.lit(BASE) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))).alias("raw"))
@@ -155,8 +172,9 @@ def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
                     .agg(F.sum(F.abs(F.col("n.rank") - F.col("o.rank")))).first()[0] or 0.0)
             state = new_state
             if diff < threshold or rounds >= max_iter:
+                converged = diff < threshold
                 break
-    return PageRankResult(state.select("page", "rank"), rounds, float(diff))
+    return PageRankResult(state.select("page", "rank"), rounds, float(diff), converged)
 
 
 def pagerank(edges: DataFrame, crawled: DataFrame | None = None, **kwargs) -> DataFrame:

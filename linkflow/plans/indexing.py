@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkflow.plans.joins import has_at_most
-
 SMALL_ROWS = 100_000
 
 
@@ -24,7 +22,7 @@ def dense_index(df: DataFrame, order_col: str, index_col: str = "index",
 
     ``order_col`` must be unique (ties would be numbered arbitrarily).
     """
-    if has_at_most(df, small_rows):
+    if df.limit(small_rows + 1).count() <= small_rows:
         return df.withColumn(
             index_col, (F.row_number().over(Window.orderBy(order_col)) - 1).cast("bigint"))
     spark = df.sparkSession

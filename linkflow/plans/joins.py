@@ -1,64 +1,18 @@
-"""Join helpers: broadcast only behind a checked size bound.
+"""Joins whose large side may have hot keys.
 
-A side is broadcast only when a bounded count proves it holds at most
-``max_rows`` rows; otherwise the join stays a shuffle join, where AQE can still
-switch strategy from runtime sizes and split skewed partitions.
+No side is counted or hinted: AQE broadcasts a side whose measured bytes are
+under ``spark.sql.autoBroadcastJoinThreshold`` and splits the hot partitions
+of a shuffle join. It can split only where the join reads both exchanges
+directly, not where one side is an aggregate over its own exchange, so
+:func:`split_join` writes that side first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Default row bound for a broadcast dimension (names, codes, small lists).
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    The count stops early: ``limit(max_rows + 1)`` bounds the work on a big side.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its size is proven under the bound, else ``df``."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-# A key with at least this many rows on the large side is treated as hot.
-HOT_ROWS = 1_000_000
-# At most this many hot keys are isolated (a bounded list, read to the driver).
-MAX_HOT_KEYS = 1_000
-
-
-def hot_keys(big: DataFrame, key: str, hot_rows: int = HOT_ROWS,
-             max_hot: int = MAX_HOT_KEYS) -> list:
-    """The most frequent values of ``key`` with at least ``hot_rows`` rows.
-
-    One hash aggregate with a map-side partial step; at most ``max_hot``
-    values reach the driver. Keys beyond that stay on the shuffle path, where
-    only performance, not the result, depends on them.
-    """
-    counts = (big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= hot_rows).orderBy(F.col("_n").desc()).limit(max_hot))
-    return [r[0] for r in counts.collect()]
-
-
-def skew_safe_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", *,
-                   hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """``big.join(small, key, how)`` where ``small`` has one row per key and a
-    key of ``big`` may hold a large share of its rows.
-
-    Rows with a hot key join a broadcast of the (at most ``max_hot``) matching
-    rows of ``small``; the others take the shuffle join. Without hot keys this
-    is the plain join.
-    """
-    hot = hot_keys(big, key, hot_rows, max_hot)
-    if not hot:
-        return big.join(small, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    hot_part = big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how)
-    cold_part = big.where(~is_hot).join(small.where(~is_hot), key, how)
-    return hot_part.unionByName(cold_part)
+def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``big.join(small, key, how)`` where ``small`` is an aggregate with a row
+    per key and any number of keys of ``big`` may be hot."""
+    return big.join(small.checkpoint(), key, how)

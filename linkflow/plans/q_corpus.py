@@ -1,33 +1,24 @@
-"""The crawl flow end to end, on a corpus generated from the driver's page ids.
+"""The crawl flow end to end on all of the given pages.
 
-generated pages -> first 500 files by name -> HTML links ending in '.html'
-(suffix stripped) -> PageRank top 5, in-degree and out-degree statistics.
-The driver's own pages link to no '.html' file, so this is the input on which
-the page-suffix rules, zero out-degrees and uncrawled targets occur.
+pages -> HTML links -> PageRank top 5, in-degree and out-degree statistics. A
+node is a page id or a link target as written (no ``href`` of the driver's
+pages names one of the pages); every page is crawled, so a page
+without links counts with an out-degree of 0.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkflow.operators import generate as G
 from linkflow.operators import linkgraph as lg
 from linkflow.operators.pagerank import pagerank
 from linkflow.operators.stats import degree_stats
 from linkflow.plans.catalog import register
-from linkflow.plans.q_generate import GEN_WEB_CORPUS_SQL, MAX_REFS, SEED
 from linkflow.plans.q_links import LINKS_HTML_SQL, STATS_SQL
-from linkflow.sources import corpus as C
 from linkflow.sources import tables as T
 
-CRAWL_CAP = 500
-
-_CTES = f"""WITH files AS (
-  SELECT * FROM ({GEN_WEB_CORPUS_SQL}) ORDER BY file_name LIMIT {CRAWL_CAP}),
-crawled AS (SELECT left(file_name, length(file_name) - 5) AS page FROM files),
-html AS ({LINKS_HTML_SQL}),
-links AS (SELECT source, left(target, length(target) - 5) AS target
-          FROM html WHERE target LIKE '%.html'),
+_CTES = f"""crawled AS (SELECT left(file_name, length(file_name) - 5) AS page FROM files),
+links AS ({LINKS_HTML_SQL}),
 nodes AS (SELECT page FROM crawled UNION SELECT target FROM links),
 outdeg AS (SELECT source AS page, CAST(count(*) AS DOUBLE) AS d FROM links GROUP BY source),
 r0 AS (SELECT n.page, CASE WHEN c.page IS NOT NULL THEN CAST(0.01 AS DOUBLE)
@@ -35,8 +26,13 @@ r0 AS (SELECT n.page, CASE WHEN c.page IS NOT NULL THEN CAST(0.01 AS DOUBLE)
        FROM nodes n LEFT JOIN crawled c ON n.page = c.page)"""
 
 
+def _sql(body: str, rounds: str = "") -> str:
+    return T.with_views("", "files").rstrip() + f",\n{_CTES}{rounds}\n{body}"
+
+
 def _round(prev: str, name: str) -> str:
-    return f"""{name}_raw AS (
+    return f""",
+{name}_raw AS (
   SELECT n.page, 0.15 + 0.85 * coalesce(c.inflow, 0.0) AS raw
   FROM nodes n LEFT JOIN (
     SELECT l.target AS page, sum(p.rank / o.d) AS inflow
@@ -46,40 +42,38 @@ def _round(prev: str, name: str) -> str:
 
 
 def _crawl(spark, sf_dir):
-    """List names, keep the first 500, then produce only those pages' content
-    (a file's name depends on its id alone, so this equals generating every
-    page and keeping the first 500)."""
-    ids = T.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
-    listing = ids.select("id", F.concat(F.col("id").cast("string"), F.lit(".html")).alias("file_name"))
-    first = C.first_n(listing, CRAWL_CAP).select("id")
-    files = G.web_corpus(first, num_files=ids.count(), max_refs=MAX_REFS, seed=SEED).checkpoint()
+    files = T.files(spark, sf_dir)
     crawled = files.select(F.expr("left(file_name, length(file_name) - 5)").alias("page"))
-    return crawled, lg.links_from_documents(files)
+    return crawled, lg.links_from_documents(files, suffix=None)
 
 
-@register("corpus_pagerank_top5", f"""{_CTES},
-{_round('r0', 'r1')},
-{_round('r1', 'r2')}
-SELECT page, round(rank, 9) AS rank,
+@register("corpus_pagerank_top5", _sql("""SELECT page, rank,
        CAST(row_number() OVER (ORDER BY rank DESC, page) AS INTEGER) AS position
-FROM r2 ORDER BY rank DESC, page LIMIT 5""")
+FROM (SELECT page, round(rank, 9) AS rank FROM r2) ORDER BY rank DESC, page LIMIT 5""", _round("r0", "r1") + _round("r1", "r2")))
 def corpus_pagerank_top5(spark, sf_dir):
     crawled, links = _crawl(spark, sf_dir)
-    ranks = pagerank(links, crawled, threshold=0.005, stop="sum")
-    return lg.top_k(ranks, "rank", "page", 5).select(
-        "page", F.round("rank", 9).alias("rank"), "position")
+    # Two rounds, as the sum rule takes unless the start sum is near 1.
+    ranks = pagerank(links, crawled, threshold=0.0, stop="l1", max_iter=2)
+    return lg.top_k(ranks.withColumn("rank", F.round("rank", 9)), "rank", "page", 5)
 
 
-@register("corpus_in_degree_stats", f"""{_CTES}
-{STATS_SQL.format(inner="SELECT count(*) AS d FROM links GROUP BY target")}""")
+@register("corpus_in_degree_stats", _sql(STATS_SQL.format(inner="SELECT count(*) AS d FROM links GROUP BY target")))
 def corpus_in_degree_stats(spark, sf_dir):
     _, links = _crawl(spark, sf_dir)
     return degree_stats(lg.in_degree(links), "in_degree")
 
 
-@register("corpus_out_degree_stats", f"""{_CTES}
-{STATS_SQL.format(inner='''SELECT count(l.source) AS d FROM crawled c
-                            LEFT JOIN links l ON l.source = c.page GROUP BY c.page''')}""")
+@register("corpus_out_degree_stats", _sql(STATS_SQL.format(inner="""SELECT count(l.source) AS d FROM crawled c
+                            LEFT JOIN links l ON l.source = c.page GROUP BY c.page""")))
 def corpus_out_degree_stats(spark, sf_dir):
     crawled, links = _crawl(spark, sf_dir)
     return degree_stats(lg.out_degree(links, crawled), "out_degree")
+
+
+@register("links_page_suffix", T.with_views("""SELECT left(file_name, length(file_name) - 5) AS source,
+       left(href, length(href) - 5) AS target
+FROM (SELECT file_name, regexp_extract(line, '(?i)href="([^"]*)"', 1) AS href FROM html_lines)
+WHERE href LIKE '%.html'""", "html_lines"))
+def links_page_suffix(spark, sf_dir):
+    """Page links of HTML text: only targets with the page suffix, without it."""
+    return lg.links_from_documents(T.html_lines(spark, sf_dir), content_col="line")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from linkflow.operators import features as FT
 from linkflow.operators import models as M
 from linkflow.plans.catalog import register
@@ -36,26 +38,26 @@ _ONEHOT = ", ".join(
     + [f"coalesce(r.age = '{v}', false) AS \"age_{v}\"" for v in _AGES])
 
 
-def _facts(spark, sf_dir):
-    """The requests table, written once: each feature step below reads it
-    several times, and in production it is a stored table too."""
-    return fact_requests(spark, sf_dir).checkpoint()
+def _facts(spark, sf_dir, *columns):
+    """The requests table's ``columns``; a plan of its own for each step, so
+    that only the source columns behind them are read."""
+    return fact_requests(spark, sf_dir).select(*columns)
 
 
 @register("ip_octets", _req_sql(f"SELECT r.request_id, {_OCTETS} FROM req r"))
 def ip_octets(spark, sf_dir):
-    return FT.ip_octets(_facts(spark, sf_dir).select("request_id", "ip_address"))
+    return FT.ip_octets(_facts(spark, sf_dir, "request_id", "ip_address"))
 
 
 @register("factorize", _req_sql(f"SELECT r.request_id, {_CODES} FROM req r {_CODE_JOINS}"))
 def factorize(spark, sf_dir):
     cols = ["request_id", *FT.CODED_COLUMNS]
-    return FT.factorize(_facts(spark, sf_dir).select(*cols))
+    return FT.factorize(_facts(spark, sf_dir, *cols).checkpoint())
 
 
 @register("onehot_features", _req_sql(f"SELECT r.request_id, {_ONEHOT} FROM req r"))
 def onehot_features(spark, sf_dir):
-    return FT.onehot(_facts(spark, sf_dir).select("request_id", "gender", "age"))
+    return FT.onehot(_facts(spark, sf_dir, "request_id", "gender", "age"))
 
 
 MODEL_FEATURES_SQL = _req_sql(
@@ -64,25 +66,36 @@ MODEL_FEATURES_SQL = _req_sql(
 
 @register("model_features", MODEL_FEATURES_SQL)
 def model_features(spark, sf_dir):
-    return FT.prepare_features(_facts(spark, sf_dir))
+    return FT.prepare_features(_facts(spark, sf_dir, "*").checkpoint())
 
 
 @register("train_test_split", _req_sql(
     "SELECT request_id, substr(md5(CAST(request_id AS VARCHAR) || ':0'), 1, 8) < 'b3333333' "
     "AS is_train FROM req"))
 def train_test_split(spark, sf_dir):
-    return _facts(spark, sf_dir).select("request_id", FT.split_flag("request_id", 0).alias("is_train"))
+    return _facts(spark, sf_dir, "request_id", FT.split_flag("request_id", 0).alias("is_train"))
 
 
-# Model queries: test-side predictions (rows-only check; accuracy via models.accuracy).
+# Model queries: test-side predictions with the run's accuracy (rows-only check).
 
 @register("model_country")
 def model_country(spark, sf_dir):
     frame = model_features(spark, sf_dir).checkpoint()
-    return M.model_country(frame).predictions
+    run = M.model_country(frame)
+    return run.predictions.withColumn("accuracy", F.lit(run.accuracy))
 
 
 @register("model_income")
 def model_income(spark, sf_dir):
     frame = model_features(spark, sf_dir).checkpoint()
-    return M.model_income(frame).predictions
+    run = M.model_income(frame)
+    return run.predictions.withColumn("accuracy", F.lit(run.accuracy))
+
+
+@register("rule_accuracy", _req_sql(
+    "SELECT round(avg(CASE WHEN is_banned = (gender = 'Male') THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM req"))
+def rule_accuracy(spark, sf_dir):
+    """The models' accuracy measure on a rule that SQL has too."""
+    rows = _facts(spark, sf_dir, F.col("is_banned").cast("double").alias("label"),
+                  (F.col("gender") == "Male").cast("double").alias("prediction"))
+    return spark.createDataFrame([(round(M.accuracy(rows), 9),)], "accuracy double")

@@ -209,7 +209,6 @@ def _round_sql(prev: str, name: str) -> str:
 {name} AS (SELECT page, raw / (SELECT sum(raw) FROM {name}_raw) AS rank FROM {name}_raw)"""
 
 
-PAGERANK_SQL = T.view_sql("links")
 PAGERANK_CTES = f"""WITH links AS ({T.view_sql('links')}),
 crawled AS (SELECT DISTINCT source AS page FROM links),
 nodes AS (SELECT source AS page FROM links UNION SELECT target FROM links),
@@ -232,9 +231,8 @@ def pagerank_query(spark, sf_dir):
 
 
 @register("pagerank_top5", PAGERANK_CTES + """
-SELECT page, round(rank, 9) AS rank,
-       CAST(row_number() OVER (ORDER BY rank DESC, page) AS INTEGER) AS position
-FROM r2 ORDER BY rank DESC, page LIMIT 5""")
+SELECT page, rank, CAST(row_number() OVER (ORDER BY rank DESC, page) AS INTEGER) AS position
+FROM (SELECT page, round(rank, 9) AS rank FROM r2) ORDER BY rank DESC, page LIMIT 5""")
 def pagerank_top5(spark, sf_dir):
     ranks = pagerank(T.links(spark, sf_dir), threshold=0.005, stop="sum")
-    return lg.top_k(ranks, "rank", "page", 5).select("page", _rank_rounded(), "position")
+    return lg.top_k(ranks.select("page", _rank_rounded()), "rank", "page", 5)

@@ -3,6 +3,9 @@ registered callable returns the sink table read back as a batch DataFrame."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from linkflow.functions import requests as R
 from linkflow.plans.catalog import register
 from linkflow.plans.q_requests import FACT_REQUESTS_SQL, dec_sql
 from linkflow.session import scratch_path
@@ -39,6 +42,30 @@ def stream_facts(spark, sf_dir):
     return spark.read.parquet(f"{base}/requests").drop("batch_id")
 
 
+def _fan_out(spark, sf_dir):
+    base = scratch_path(spark, "stream-fan-out")
+    S.wait(S.facts_stream(_requests(spark, sf_dir), T.files(spark, sf_dir), f"{base}/requests",
+                          f"{base}/failed_requests", f"{base}/checkpoint", topic_path=f"{base}/topic"))
+    return base
+
+
+@register("stream_failed_requests", _with_dec(
+    "SELECT request_id AS failed_request_id, file_name, CAST(status AS VARCHAR) AS error_code "
+    "FROM dec WHERE status <> 200", strict=True))
+def stream_failed_requests(spark, sf_dir):
+    """The written failed_requests table (its server time is left out)."""
+    failed = spark.read.parquet(f"{_fan_out(spark, sf_dir)}/failed_requests")
+    return failed.select("failed_request_id", "file_name", "error_code")
+
+
+@register("stream_topic", _with_dec(
+    "SELECT request_id, country FROM dec WHERE status = 400", strict=True))
+def stream_topic(spark, sf_dir):
+    """The topic's messages, written by the same batches as both fact tables."""
+    topic = spark.read.parquet(f"{_fan_out(spark, sf_dir)}/topic")
+    return topic.select("request_id", R.from_utf8(F.col("value")).alias("country"))
+
+
 @register("stream_banned", _with_dec("SELECT request_id, country FROM dec WHERE status = 400"))
 def stream_banned(spark, sf_dir):
     base = scratch_path(spark, "stream-topic")
@@ -55,4 +82,4 @@ def stream_banned(spark, sf_dir):
 def stream_vm_counts(spark, sf_dir):
     base = scratch_path(spark, "stream-vm")
     S.wait(S.vm_counts_stream(_requests(spark, sf_dir), f"{base}/counts", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/counts")
+    return S.latest_snapshot(spark, f"{base}/counts")

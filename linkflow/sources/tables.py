@@ -26,19 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # View definitions: (base table, [select expressions]).
 VIEWS: dict[str, tuple[str, list[str]]] = {
-    # 500 sources, 600 nodes; duplicates and self-links kept.
+    # An order links to the parts of its lines; nodes grow with the tables.
     "links": ("lineitem", [
-        "CAST(l_orderkey % 500 AS STRING) AS source",
-        "CAST(l_partkey % 600 AS STRING) AS target",
+        "CAST(l_orderkey AS STRING) AS source",
+        "CAST(l_partkey AS STRING) AS target",
     ]),
     # One anchor per line; some `href` lower case and some `.htm`.
     "html_lines": ("lineitem", [
-        "CAST(l_orderkey % 500 AS STRING) || '.html' AS file_name",
+        "CAST(l_orderkey AS STRING) || '.html' AS file_name",
         "l_orderkey * 10 + l_linenumber AS line_no",
         """CASE WHEN l_returnflag = 'N' THEN '<a class="x" HREF="'
                 WHEN l_linenumber = 1 THEN '<a href="'
                 ELSE '<a HREF="' END
-           || CAST(l_partkey % 600 AS STRING)
+           || CAST(l_partkey AS STRING)
            || CASE WHEN l_suppkey % 10 = 0 THEN '.htm' ELSE '.html' END
            || '"> This is a link </a>' AS line""",
     ]),
@@ -51,7 +51,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "requests_raw": ("events", [
         "event_id AS request_id",
         "CASE WHEN event_type = 'error' THEN 'POST' ELSE 'GET' END AS method",
-        "'/files_get/' || CAST((event_id * 7) % 400 AS STRING) || '.html' AS path",
+        "'/files_get/' || CAST(user_id * 4 AS STRING) || '.html' AS path",
         """CASE user_id % 12 WHEN 0 THEN 'Iran' WHEN 1 THEN ' North Korea ' WHEN 2 THEN 'CUBA'
              WHEN 3 THEN 'South Sudan' WHEN 4 THEN 'Sudan' WHEN 5 THEN NULL WHEN 6 THEN 'France'
              WHEN 7 THEN 'Congo, Republic of the'

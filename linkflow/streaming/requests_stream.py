@@ -4,15 +4,17 @@
   against the corpus listing), appended to a Parquet file sink. The file sink
   and the checkpoint make the output exactly-once across restarts.
 * :func:`facts_stream` - one query fans each micro-batch out to the
-  ``requests`` and ``failed_requests`` tables with ``foreachBatch``. The batch
-  is persisted once and each table is written to partition ``batch_id=<id>``
-  with dynamic overwrite, so a replayed batch replaces its own rows.
+  ``requests`` and ``failed_requests`` tables and, if given, the topic, with
+  ``foreachBatch``. The batch is persisted once and each table is written to
+  partition ``batch_id=<id>`` with dynamic overwrite, so a replayed batch
+  replaces its own rows.
 * :func:`publish_banned` / :func:`subscribe_banned` - the topic: banned
   countries as UTF-8 bytes in an append-only file sink; the subscriber reads
   only committed topic files and decodes them. ``timeout`` plays the
   subscriber's listening time-out.
 * :func:`vm_counts_stream` - running responses per VM (``complete`` mode);
-  each trigger overwrites the snapshot table.
+  each trigger writes a snapshot of its own, partition ``batch_id=<id>``, which
+  appears when its job commits; :func:`latest_snapshot` reads the newest.
 
 Sources and the topic are file streams: no Kafka connector is available here,
 so a Kafka source or sink is neither built nor tested.
@@ -74,7 +76,7 @@ def decision_stream(requests: DataFrame, corpus_names: DataFrame, out_path: str,
 
 def facts_stream(requests: DataFrame, corpus_names: DataFrame, requests_path: str,
                  failed_path: str, checkpoint: str, missing_country: str = "not_found",
-                 available_now: bool = True) -> StreamingQuery:
+                 available_now: bool = True, topic_path: str | None = None) -> StreamingQuery:
     decided = D.decide(requests, corpus_names, missing_country=missing_country)
 
     def write_facts(batch: DataFrame, batch_id: int) -> None:
@@ -82,6 +84,8 @@ def facts_stream(requests: DataFrame, corpus_names: DataFrame, requests_path: st
         try:
             write_batch(D.fact_requests(batch), requests_path, batch_id)
             write_batch(D.fact_failed_requests(batch), failed_path, batch_id)
+            if topic_path:
+                write_batch(D.banned_messages(batch), topic_path, batch_id)
         finally:
             batch.unpersist()
 
@@ -109,7 +113,14 @@ def vm_counts_stream(requests: DataFrame, out_path: str, checkpoint: str,
     counts = D.responses_by_vm(requests)
 
     def snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        write_batch(batch, out_path, batch_id)
 
     writer = counts.writeStream.outputMode("complete").foreachBatch(snapshot)
     return _start(writer, checkpoint, available_now)
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed snapshot under ``path``."""
+    snapshots = spark.read.parquet(path)
+    newest = snapshots.agg(F.max("batch_id")).first()[0]
+    return snapshots.where(F.col("batch_id") == newest).drop("batch_id")

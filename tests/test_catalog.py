@@ -11,8 +11,9 @@ from linkflow.sources.tables import TABLES
 from scripts.oracle_check import digest
 from tests.conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+LIBRARY = __import__("linkflow.plans.catalog", fromlist=["QUERIES"])
+QUERIES = {n: q for n, q in entry.queries().items() if n in LIBRARY.QUERIES}
+ORACLE = {n: s for n, s in entry.oracle_sql().items() if n in LIBRARY.QUERIES}
 # Forests are checked in test_features_models; everything else runs here.
 SKIP = {"model_country", "model_income"}
 

@@ -81,14 +81,20 @@ def test_forests_run_and_learn_country(spark):
     assert "request_id" in M.income_features(frame, keep_id=True)
 
 
-def test_codes_large_table_path_with_hot_value(spark):
-    """Shuffle-join path (code table over the broadcast bound) with a hot value
-    and NULLs gives the same codes as the broadcast path."""
-    from linkflow.plans.joins import hot_keys
+def test_codes_with_a_hot_value_and_nulls(spark):
     rows = [(i, "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"v{i % 50}")) for i in range(3000)]
     df = spark.createDataFrame(rows, "request_id BIGINT, country STRING")
-    assert hot_keys(df, "country", hot_rows=500) == ["hot"]
-    small = {r.request_id: r.country for r in FT.factorize(df, ["country"]).collect()}
-    big = {r.request_id: r.country
-           for r in FT.factorize(df, ["country"], broadcast_rows=0, hot_rows=500).collect()}
-    assert big == small and len(set(small.values())) == 52
+    first = {v: k for k, v in enumerate(dict.fromkeys(v for _, v in rows))}
+    got = {r.request_id: r.country for r in FT.factorize(df, ["country"]).collect()}
+    assert got == {i: first[v] for i, v in rows}
+
+
+def test_onehot_has_no_level_cap(spark):
+    df = spark.range(1500).selectExpr("id AS request_id", "concat('v', id) AS c")
+    assert len(FT.onehot(df, ["c"]).columns) == 1501
+
+
+def test_forest_of_197_classes(spark):
+    df = spark.range(2000).selectExpr("id AS request_id", "id % 197 AS country", *(f"cast((id % 197 * {k}) % 256 AS int) AS ip_{k}" for k in range(1, 5)))
+    run = M._run(df, M.COUNTRY_FEATURES, "country", 2, 0, "request_id", max_depth=6)
+    assert 0.0 <= run.accuracy <= 1.0 and run.model.stages[-1].numClasses == 197

@@ -82,6 +82,9 @@ HTML_CASES = [
     '<A\nHREF = "11.html"\n>upper</A>',
     '<a title="x > y" href="12.html">',
     '<a title=\'q "z"\' href="/13.html">',
+    '<a title=Bob\'s href="q.html">',
+    '<a/href="s.html">',
+    '<a href="14.html"><!-- <a href="15.html">',
 ]
 
 
@@ -160,12 +163,7 @@ def test_top_k_ties_and_short_input(spark):
     assert got == [("a", 3, 1), ("b", 3, 2), ("c", 1, 3)]
 
 
-def test_adjacency_hot_page_split_path(spark):
-    """With a low hot-row bound the hub's lists go through the broadcast
-    branch; the result is the same."""
-    pairs = [("hub", str(i)) for i in range(60)] + [(str(i), "hub") for i in range(5)] + [("a", "b")]
-    e = _edges(spark, pairs)
-    plain = sorted((r.page, r.direction, r.chunk, tuple(r.neighbours)) for r in lg.adjacency(e, 16).collect())
-    split = sorted((r.page, r.direction, r.chunk, tuple(r.neighbours))
-                   for r in lg.adjacency(e, 16, hot_rows=10).collect())
-    assert split == plain
+def test_adjacency_lists_pages_without_links(spark):
+    pages = spark.createDataFrame([("a",), ("alone",)], "page STRING")
+    adj = {(r.page, r.direction): len(r.neighbours) for r in lg.adjacency(_edges(spark, [("a", "b")]), pages).collect()}
+    assert adj == {("a", "out"): 1, ("a", "in"): 0, ("b", "in"): 1, ("alone", "out"): 0, ("alone", "in"): 0}

@@ -86,7 +86,8 @@ def test_vm_counts_stream_matches_batch(spark, tmp_dir):
         _publish(path, watched, i)
     out, ckpt = os.path.join(tmp_dir, "vm"), os.path.join(tmp_dir, "vmck")
     S.wait(S.vm_counts_stream(S.request_stream(spark, watched, schema, 1), out, ckpt))
-    got = {r.vm_name: r.responses for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).select("batch_id").distinct().count() > 1   # a snapshot for each batch
+    got = {r.vm_name: r.responses for r in S.latest_snapshot(spark, out).collect()}
     want = {r.vm_name: r.responses
             for r in D.responses_by_vm(T.requests_raw(spark, SF_SMALL)).collect()}
     assert got == want

@@ -85,7 +85,8 @@ class Items:
             prints = np.packbits(np.stack([votes(s).sum(axis=0, dtype=np.int32) > 0 for s in sets]), axis=1)
             tables = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])  # block, value -> items
             self.groups.append((n, [k for k, _ in own], [Counter(s.tolist()) for s in sets], prints, tables, np.unique(np.concatenate(sets))))
-        known = np.concatenate([g[5] for g in self.groups] or [np.array([], np.uint64)])
+        known = self.known = np.unique(np.concatenate([g[5] for g in self.groups] or [np.array([], np.uint64)]))
+        self.shorter = [g for g in self.groups if g[0] < SHINGLE]
         self.maybe = np.zeros(1 << 22, bool)  # whether a shingle may be an item's
         self.maybe[known & np.uint64(len(self.maybe) - 1)] = True
 
@@ -93,7 +94,8 @@ class Items:
         """(item, first word, words, bits that differ, similarity) of each item found."""
         out, full = [], shingles(words) if len(words) >= SHINGLE else np.array([], np.uint64)
         hot = np.flatnonzero(self.maybe[full & np.uint64(len(self.maybe) - 1)])
-        for n, keys, counts, prints, tables, known in self.groups:
+        hot = hot[np.isin(full[hot], self.known)] if len(hot) else hot
+        for n, keys, counts, prints, tables, known in self.groups if len(hot) else self.shorter:
             if n > len(words):
                 continue
             own = full if n >= SHINGLE else shingles(words, n)

@@ -26,14 +26,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from hashlib import blake2b
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import Memo, sliced, small, written
+from linkflow.llm.common import MEMO_ENTRIES, Memo, sliced, small, written
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 16, 44
 BLOCK_ITEMS = 2_000
@@ -41,8 +42,19 @@ _token = re.compile(r"\w+")
 _prime = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+@cache
+def word_hashes() -> Memo:
+    """The 64-bit hashes of words, one memo for each worker process."""
+    return Memo(xxhash.xxh3_64_intdigest, entries=MEMO_ENTRIES // 2)
+
+
+def hashed(words: list) -> np.ndarray:
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,7 +87,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]):
         groups: dict[int, list[tuple[int, np.ndarray]]] = {}
         for key, text in items:
-            words = np.array([word_hash(w) for w in _token.findall((text or "").lower())], np.uint64)
+            words = hashed(_token.findall((text or "").lower()))
             if len(words):
                 groups.setdefault(len(words), []).append((key, words))
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
@@ -94,13 +106,13 @@ class Items:
         """(item, first word, words, bits that differ, similarity) of each item found."""
         out, full = [], shingles(words) if len(words) >= SHINGLE else np.array([], np.uint64)
         hot = np.flatnonzero(self.maybe[full & np.uint64(len(self.maybe) - 1)])
-        hot = hot[np.isin(full[hot], self.known)] if len(hot) else hot
+        hot = hot[among(full[hot], self.known)]
         for n, keys, counts, prints, tables, known in self.groups if len(hot) else self.shorter:
             if n > len(words):
                 continue
             own = full if n >= SHINGLE else shingles(words, n)
             at = hot if n >= SHINGLE else np.arange(len(own))
-            at = at[np.isin(own[at], known)]
+            at = at[among(own[at], known)]
             if not len(at):
                 continue
             span, last = max(1, n - SHINGLE + 1), len(words) - n
@@ -140,14 +152,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
         held = spark.sparkContext.broadcast(own)
 
         def run(batches):
-            index, memo = Items(held.value), Memo(word_hash)
+            index = Items(held.value)
             kinds = None
             for b in sliced(batches):
                 kinds = kinds or [b.column(0).type, pa.int64() if not own or isinstance(own[0][0], int) else pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 rows = []
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = np.array([memo[w] for w in _token.findall((text or "").lower())], np.uint64)
-                    rows += [(key, *r) for r in index.find(words, similarity)]
+                    rows += [(key, *r) for r in index.find(hashed(_token.findall((text or "").lower())), similarity)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "item", "first_word", "n_words", "bits", "similarity"])
 

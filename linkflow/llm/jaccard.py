@@ -52,8 +52,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import Memo, sliced, small, utf8, written
-from linkflow.llm.decontaminate import mix, shingles
+from linkflow.llm.common import sliced, small, utf8, written
+from linkflow.llm.decontaminate import hashed, mix, shingles
 from linkflow.llm.graph import components
 
 SIZE = 5
@@ -63,16 +63,9 @@ OWN, MUST, INDEX, META, SHORT, GHOST = range(6)
 ROWS = "sig long, node long, info int, kind byte, salt byte"
 
 
-def word_hash(word: bytes) -> int:
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-
-
-def text_set(text: bytes, memo: dict) -> np.ndarray:
+def text_set(text: bytes) -> np.ndarray:
     """The sorted distinct shingle hashes; bytes.lower and bytes.split know ASCII only."""
-    words = text.lower().split()
-    return np.unique(shingles(np.array([memo[w] for w in words], np.uint64), SIZE))
+    return np.unique(shingles(hashed(text.lower().split()), SIZE))
 
 
 def need(a: int) -> int:
@@ -128,11 +121,10 @@ def signatures(h: np.ndarray, band: int, finer: int = 0) -> tuple[np.ndarray, np
 def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
     """ROWS of each (node, text). ``finer``: only these bands, so much finer."""
     def run(batches):
-        memo = Memo(word_hash)
         for b in sliced(batches, SLICE):
             parts = []
             for node, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                h = text_set(text, memo)
+                h = text_set(text)
                 n = len(h)
                 if finer is None:
                     parts.append((mix(np.array([node], np.int64).astype(np.uint64)), node, n, [META]))
@@ -170,9 +162,8 @@ def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
 def sets_of(texts: DataFrame) -> DataFrame:
     """(node, set array<long>) of each (node, text)."""
     def run(batches):
-        memo = Memo(word_hash)
         for b in sliced(batches):
-            sets = [text_set(t, memo).view(np.int64) for t in utf8(b.column(1))]
+            sets = [text_set(t).view(np.int64) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")

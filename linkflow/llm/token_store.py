@@ -27,45 +27,104 @@ blocks. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkflow.llm.common import MEMO_ENTRIES, sliced, utf8
+from linkflow.llm.common import MEMO_ENTRIES, sliced
 
 SELECT_EVERY = 64
+#: Rows encoded together; parts that one text given to the library holds; bytes of parts that a worker remembers.
+SLICE, JOINED, MEMO_BYTES = 1024, 64, 64 << 20
+# Fixed values of the vocabulary's format: how the token that ends a word is
+# marked, and the pre-tokens of lower-cased ASCII.
+WORD_END = "</w>"
+_ascii = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
 BLOCK = "part int, seq long, before long, docs array<{kind}>, n_ids long, width int, ids binary, low_bits int, low binary, high binary, select array<long>"
 
 
 class Encoder:
     """Ids as bytes. White space never joins into a token of this vocabulary,
-    so the library encodes each piece between ASCII white space once."""
+    so texts are cut there, and ASCII pieces at every border of pre-tokens; each
+    distinct part is encoded once, many in one call of the library: only the
+    last id of a pre-token stands for a word's end, and a special string
+    parts the pieces that have other characters."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+        ids = self.library.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(ids.values()) < 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+        self.last = np.zeros(max(ids.values()) + 1, bool)
+        self.last[[i for token, i in ids.items() if token.endswith(WORD_END)]] = True
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        if len(self.known) > MEMO_ENTRIES:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, parts: list[bytes], between: str) -> None:
+        """Adds the ids of ``parts``: pre-tokens (between: a space), or pieces
+        with the special string between."""
+        texts = [between.join(p.decode() for p in parts[i:i + JOINED]) for i in range(0, len(parts), JOINED)]
+        found = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if between == self.mark:
+            found = [np.append(x, self.kind.type(self.mark_id)) for x in found]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.mark_id if between == self.mark else self.last[ids]) + 1
+        if len(ends) != len(parts):
+            raise ValueError("the library cuts these texts in other places")
+        raw, begins = ids.tobytes(), (np.append(0, ends[:-1]) * self.width).tolist()
+        ends = ((ends - 1 if between == self.mark else ends) * self.width).tolist()
+        self.known.update((p, raw[s:t]) for p, s, t in zip(parts, begins, ends))
+
+    def _learn_pieces(self, new: list[bytes]) -> None:
+        """Adds what stands between white space."""
+        marked = [p for p in new if b"<|" in p]
+        found = self.library.encode_batch_fast([p.decode() for p in marked], add_special_tokens=False)
+        self.known.update((p, self.pack(e.ids)) for p, e in zip(marked, found))
+        rest = [p for p in new if b"<|" not in p] if marked else new
+        if other := [p for p in rest if not p.isascii()]:
+            self._learn(other, self.mark)
+        plain = {p: own for p in rest if p.isascii() and (own := _ascii.findall(p.lower())) != [p]}
+        words = {w for own in plain.values() for w in own}.union(p for p in rest if p.isascii() and p not in plain).difference(self.known)
+        if words:
+            self._learn([*words], " ")
+        get = self.known.__getitem__
+        self.known.update((p, b"".join(map(get, own))) for p, own in plain.items())
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: none). Words are told apart by Arrow's
+        dictionary encoding, so Python handles each one once a call."""
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = cut.flatten().dictionary_encode()
+        parts = words.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) > MEMO_ENTRIES or self.held > MEMO_BYTES:
             self.known.clear()
-        new = [*{p for pieces in cut for p in pieces}.difference(self.known)]
-        found = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.known.update((p, self.pack(e.ids)) for p, e in zip(new, found))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            self.held = 0
+        new = [p for p in parts if p not in self.known]
+        self.held += sum(map(len, new))
+        self._learn_pieces(new)
+        own = [*map(self.known.__getitem__, parts)]
+        sizes, pool = np.fromiter(map(len, own), np.int64, len(own)) // self.width, np.frombuffer(b"".join(own), self.kind)
+        at = words.indices.to_numpy()
+        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.append(0, np.cumsum(n))
+        raw = pool[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[cut.offsets.to_numpy()] * self.width).tolist()
+        return [raw[s:t] for s, t in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -118,8 +177,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, block_id
             row = [part, seq, before, names, n, e.width, b"".join(held), *ef_encode(np.array([*accumulate(sizes)], np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-        for b in sliced(batches):
-            for name, raw in zip(b.column(0).to_pylist(), e.encode(utf8(b.column(1)))):
+        for b in sliced(batches, SLICE):
+            for name, raw in zip(b.column(0).to_pylist(), e.encode(b.column(1))):
                 if names and sum(sizes) + len(raw) // e.width >= block_ids:
                     yield block()
                     seq, before = seq + 1, before + sum(sizes)

@@ -44,7 +44,7 @@ from linkflow.llm.common import MEMO_ENTRIES, sliced
 
 SELECT_EVERY = 64
 #: Rows encoded together; parts that one text given to the library holds; bytes of parts that a worker remembers.
-SLICE, JOINED, MEMO_BYTES = 1024, 64, 64 << 20
+SLICE, JOINED, MEMO_BYTES = 2048, 64, 64 << 20
 # Fixed values of the vocabulary's format: how the token that ends a word is
 # marked, and the pre-tokens of lower-cased ASCII.
 WORD_END = "</w>"
@@ -78,7 +78,8 @@ class Encoder:
     def _learn(self, parts: list[bytes], between: str) -> None:
         """Adds the ids of ``parts``: pre-tokens (between: a space), or pieces
         with the special string between."""
-        texts = [between.join(p.decode() for p in parts[i:i + JOINED]) for i in range(0, len(parts), JOINED)]
+        glue = between.encode()
+        texts = [glue.join(parts[i:i + JOINED]).decode() for i in range(0, len(parts), JOINED)]
         found = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if between == self.mark:
             found = [np.append(x, self.kind.type(self.mark_id)) for x in found]
@@ -88,22 +89,29 @@ class Encoder:
             raise ValueError("the library cuts these texts in other places")
         raw, begins = ids.tobytes(), (np.append(0, ends[:-1]) * self.width).tolist()
         ends = ((ends - 1 if between == self.mark else ends) * self.width).tolist()
-        self.known.update((p, raw[s:t]) for p, s, t in zip(parts, begins, ends))
+        self.known.update(zip(parts, [raw[s:t] for s, t in zip(begins, ends)]))
 
     def _learn_pieces(self, new: list[bytes]) -> None:
         """Adds what stands between white space."""
-        marked = [p for p in new if b"<|" in p]
+        words, several, other, marked = set(), [], [], []
+        for p in new:
+            if b"<|" in p:
+                marked.append(p)
+            elif not p.isascii():
+                other.append(p)
+            elif p.isalpha() and p.islower():
+                words.add(p)
+            else:
+                several.append((p, own := _ascii.findall(p.lower())))
+                words.update(own)
+        if words := [*words.difference(self.known)]:
+            self._learn(words, " ")
+        get = self.known.__getitem__
+        self.known.update([(p, b"".join(map(get, own))) for p, own in several])
+        if other:
+            self._learn(other, self.mark)
         found = self.library.encode_batch_fast([p.decode() for p in marked], add_special_tokens=False)
         self.known.update((p, self.pack(e.ids)) for p, e in zip(marked, found))
-        rest = [p for p in new if b"<|" not in p] if marked else new
-        if other := [p for p in rest if not p.isascii()]:
-            self._learn(other, self.mark)
-        plain = {p: own for p in rest if p.isascii() and (own := _ascii.findall(p.lower())) != [p]}
-        words = {w for own in plain.values() for w in own}.union(p for p in rest if p.isascii() and p not in plain).difference(self.known)
-        if words:
-            self._learn([*words], " ")
-        get = self.known.__getitem__
-        self.known.update((p, b"".join(map(get, own))) for p, own in plain.items())
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: none). Words are told apart by Arrow's
@@ -114,10 +122,13 @@ class Encoder:
         if len(self.known) > MEMO_ENTRIES or self.held > MEMO_BYTES:
             self.known.clear()
             self.held = 0
-        new = [p for p in parts if p not in self.known]
+        own = [*map(self.known.get, parts)]
+        missing = [i for i, x in enumerate(own) if x is None]
+        new = [parts[i] for i in missing]
         self.held += sum(map(len, new))
         self._learn_pieces(new)
-        own = [*map(self.known.__getitem__, parts)]
+        for i, p in zip(missing, new):
+            own[i] = self.known[p]
         sizes, pool = np.fromiter(map(len, own), np.int64, len(own)) // self.width, np.frombuffer(b"".join(own), self.kind)
         at = words.indices.to_numpy()
         begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]

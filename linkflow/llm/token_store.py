@@ -43,8 +43,8 @@ from tokenizers import Tokenizer
 from linkflow.llm.common import MEMO_ENTRIES, sliced
 
 SELECT_EVERY = 64
-#: Rows encoded together; parts that one text given to the library holds; bytes of parts that a worker remembers.
-SLICE, JOINED, MEMO_BYTES = 2048, 64, 64 << 20
+#: Bytes of texts encoded together; parts that one text given to the library holds; bytes of parts that a worker remembers.
+SLICE_BYTES, JOINED, MEMO_BYTES = 20 << 20, 64, 64 << 20
 # Fixed values of the vocabulary's format: how the token that ends a word is
 # marked, and the pre-tokens of lower-cased ASCII.
 WORD_END = "</w>"
@@ -129,12 +129,13 @@ class Encoder:
         self._learn_pieces(new)
         for i, p in zip(missing, new):
             own[i] = self.known[p]
-        sizes, pool = np.fromiter(map(len, own), np.int64, len(own)) // self.width, np.frombuffer(b"".join(own), self.kind)
+        sizes, pool = np.fromiter(map(len, own), np.int32, len(own)) // self.width, np.frombuffer(b"".join(own), self.kind)
         at = words.indices.to_numpy()
-        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends = np.append(0, np.cumsum(n))
-        raw = pool[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        bounds = (ends[cut.offsets.to_numpy()] * self.width).tolist()
+        begins, n = (np.cumsum(sizes, dtype=np.int32) - sizes)[at], sizes[at]  # a column has less than 2^31 bytes
+        ends = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=ends[1:])
+        raw = pool[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        bounds = (ends[cut.offsets.to_numpy()].astype(np.int64) * self.width).tolist()
         return [raw[s:t] for s, t in zip(bounds, bounds[1:])]
 
 
@@ -188,7 +189,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, block_id
             row = [part, seq, before, names, n, e.width, b"".join(held), *ef_encode(np.array([*accumulate(sizes)], np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-        for b in sliced(batches, SLICE):
+        for b in (part for b in batches for part in sliced([b], -(-b.num_rows // (1 + b.column(1).nbytes // SLICE_BYTES)) or 1)):
             for name, raw in zip(b.column(0).to_pylist(), e.encode(b.column(1))):
                 if names and sum(sizes) + len(raw) // e.width >= block_ids:
                     yield block()

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -77,6 +78,20 @@ def test_adjacent_tokens_are_compatible_iff_they_merge_to_themselves():
         assert e.compatible[a << 32 | b] == (whole == [a, b])
 
 
+def test_token_store_pieces_equal_the_library():
+    """White space of all kinds, contractions, special strings and their
+    pieces, letters that combine or change with case."""
+    letters, draw = " '<|>sStTaA0\u00e9\u0301 \u3000\t\n\x0b\x1c\x85\u00df\u03a3\u2014\u00bd\u017fJ\u030cI\u0307K", random.Random(3)
+    texts = ["", " ", "A<|endoftext|>b <|ENDOFTEXT|> ok", "Don't we'LL ''s !'s", "x<|y \u00e9", "\u00e9<|startoftext|>\u0301", "a " * 5000, "z" * 20_000]
+    texts += ["".join(draw.choices(letters, k=40)) for _ in range(3000)]
+    e = token_store.Encoder(WORD_BPE)
+    want = [e.pack(x.ids) for x in e.library.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):  # unknown pieces, then remembered ones
+        assert e.encode(pa.array(texts)) == want
+    assert e.encode(pa.array([None, "", None], pa.string())) == [b""] * 3
+    assert e.encode(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("which", ["odd", "small_docs"])
 def test_token_store_round_trip(spark, tmp_path, which, request):
     docs, lib = request.getfixturevalue(which), Tokenizer.from_file(WORD_BPE)

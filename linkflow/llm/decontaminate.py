@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import MEMO_ENTRIES, Memo, sliced, small, written
+from linkflow.llm.common import sliced, small, written
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 16, 44
 BLOCK_ITEMS = 2_000
@@ -42,14 +41,8 @@ _token = re.compile(r"\w+")
 _prime = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def word_hashes() -> Memo:
-    """The 64-bit hashes of words, one memo for each worker process."""
-    return Memo(xxhash.xxh3_64_intdigest, entries=MEMO_ENTRIES // 2)
-
-
 def hashed(words: list) -> np.ndarray:
-    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:

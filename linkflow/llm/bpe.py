@@ -15,7 +15,6 @@ one result row each; an empty table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from struct import pack
 
 import ahocorasick
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import Memo, sliced
+from linkflow.llm.common import Memo, hold, mapped, sliced
 from linkflow.llm.vocab import ByPiece, Vocab, vocab
 
 NEVER = 1 << 40
@@ -111,9 +110,8 @@ class Encoder:
         return b"".join(map(self.v.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return hold("bpe", path, make=lambda: Encoder(path))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,5 +127,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    out = mapped(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

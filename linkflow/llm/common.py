@@ -12,6 +12,8 @@ from linkflow.session import ensure_checkpoint_dir, scratch_path
 
 #: Rows that one step of a Python worker holds besides the Arrow batch it reads.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS = 1024
 #: A side is broadcast only when its counted rows times this row size stay below.
 BROADCAST_BYTES = 32 << 20
 #: A bounded memo (word -> result) in a worker starts anew beyond this many entries.
@@ -28,6 +30,26 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+_held: dict[tuple, object] = {}
+
+
+def hold(*key, make: Callable | None = None):
+    """make(), kept by this worker process while it is asked for by the same
+    key: workers outlive a stage, and a vocabulary with its memos should not
+    outlive the stages that use it. hold() drops what is kept."""
+    if key not in _held:
+        _held.clear()
+        if key:
+            _held[key] = make()
+    return _held.get(key)
+
+
+def mapped(df: DataFrame, run: Callable, schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``rows`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 (null: empty)."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import sliced, small, written
+from linkflow.llm.common import hold, mapped, sliced, small, written
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 16, 44
 BLOCK_ITEMS = 2_000
@@ -145,6 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
         held = spark.sparkContext.broadcast(own)
 
         def run(batches):
+            hold()
             index = Items(held.value)
             kinds = None
             for b in sliced(batches):
@@ -155,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "item", "first_word", "n_words", "bits", "similarity"])
 
-        return slim.mapInArrow(run, schema)
+        return mapped(slim, run, schema)
 
     for row in items.withColumn("item", F.col("item").cast("long")).toLocalIterator():  # the query set, a block at a time
         block.append((row["item"], row["text"]))

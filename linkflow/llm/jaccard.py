@@ -52,13 +52,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import sliced, small, utf8, written
+from linkflow.llm.common import hold, mapped, sliced, small, utf8, written
 from linkflow.llm.decontaminate import hashed, mix, shingles
 from linkflow.llm.graph import components
 
 SIZE = 5
 #: Rows of a slice that share a signature before they are salted; rows of a slice; salts.
-HOT, SLICE, SALTS = 64, 2048, 64
+HOT, SLICE, SALTS = 32, 1024, 64
 OWN, MUST, INDEX, META, SHORT, GHOST = range(6)
 ROWS = "sig long, node long, info int, kind byte, salt byte"
 
@@ -121,6 +121,7 @@ def signatures(h: np.ndarray, band: int, finer: int = 0) -> tuple[np.ndarray, np
 def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
     """ROWS of each (node, text). ``finer``: only these bands, so much finer."""
     def run(batches):
+        hold()
         for b in sliced(batches, SLICE):
             parts = []
             for node, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
@@ -156,17 +157,18 @@ def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
                 kind, salt = np.append(kind, np.full(len(lead), GHOST, np.int8)), np.append(salt, np.zeros(len(lead), np.int8))
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(info), pa.array(kind), pa.array(salt)], ["sig", "node", "info", "kind", "salt"])
 
-    return texts.select("node", "text").mapInArrow(run, ROWS)
+    return mapped(texts.select("node", "text"), run, ROWS)
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
     """(node, set array<long>) of each (node, text)."""
     def run(batches):
+        hold()
         for b in sliced(batches):
             sets = [text_set(t).view(np.int64) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
+    return mapped(texts.select("node", "text"), run, "node long, set array<long>")
 
 
 def shared_signatures(texts: DataFrame) -> DataFrame:

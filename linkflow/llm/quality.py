@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import sliced
+from linkflow.llm.common import hold, mapped, sliced
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _symbol = re.compile(r"[#*$%&|<>]")
@@ -85,6 +85,7 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_lo
     rules = {"max_symbol_share": max_symbol_share, "nav_items": nav_items, "nav_words": nav_words}
 
     def run(batches):
+        hold()
         for b in sliced(batches):
             found = [judge(t or "", min_words, max_lost, **rules) for t in b.column(b.num_columns - 1).to_pylist()]
             columns = [*zip(*found)] or [()] * len(COLUMNS)
@@ -97,7 +98,7 @@ def quality(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_lo
     schema = slim.drop("__judged").schema
     for c in COLUMNS:
         schema = schema.add(c, "boolean" if c in ("base_failed", "kept") else "string" if c == "clean_text" else "long")
-    return slim.mapInArrow(run, schema)
+    return mapped(slim, run, schema)
 
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:

@@ -13,13 +13,12 @@ text columns are read, so other columns may have any name.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import sliced
+from linkflow.llm.common import hold, mapped, sliced
 from linkflow.llm.vocab import ByPiece, Vocab, vocab
 
 
@@ -69,9 +68,8 @@ class Counter:
         return total
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return hold("counts", path, make=lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,5 +82,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = slim.schema["id"].dataType.simpleString()
-    out = slim.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = mapped(slim, count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

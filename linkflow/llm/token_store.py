@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkflow.llm.common import MEMO_ENTRIES, sliced
+from linkflow.llm.common import MEMO_ENTRIES, hold, mapped, sliced
 
 SELECT_EVERY = 64
 #: Bytes of texts encoded together; parts that one text given to the library holds; bytes of parts that a worker remembers.
@@ -139,9 +138,8 @@ class Encoder:
         return [raw[s:t] for s, t in zip(bounds, bounds[1:])]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return hold("store", path, make=lambda: Encoder(path))
 
 
 def ef_encode(ends: np.ndarray) -> tuple[int, bytes, bytes, list[int]]:
@@ -202,7 +200,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 2, block_id
             yield block()
 
     ordered = slim.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(blocks, BLOCK.format(kind=kind)).write.parquet(f"{folder}/blocks")
+    mapped(ordered, blocks, BLOCK.format(kind=kind), rows=10_000).write.parquet(f"{folder}/blocks")
     stored = docs.sparkSession.read.parquet(f"{folder}/blocks")
     stored.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).write.parquet(f"{folder}/totals")
 

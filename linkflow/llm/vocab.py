@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import regex
 
@@ -79,9 +78,9 @@ class ByPiece:
     pre-token and a space leads the piece after it, so pieces stand alone."""
 
     def __init__(self, of_word: Callable, add: Callable):
-        self.by_word = Memo(of_word, entries=MEMO_ENTRIES // 4)
+        self.by_word = Memo(of_word, entries=MEMO_ENTRIES // 32)
         whole = lambda t: add(map(self.by_word.__getitem__, words(t)))
-        self.first, self.later = Memo(whole, entries=MEMO_ENTRIES // 8), Memo(lambda p: whole(" " + p))
+        self.first, self.later = Memo(whole, entries=MEMO_ENTRIES // 32), Memo(lambda p: whole(" " + p), entries=MEMO_ENTRIES // 4)
 
     def values(self, text: str) -> list:
         if _adjacent.search(text):
@@ -96,7 +95,5 @@ class ByPiece:
         return out
 
 
-@lru_cache(maxsize=4)
 def vocab(path: str) -> Vocab:
-    """One copy for each worker process."""
     return Vocab(path)

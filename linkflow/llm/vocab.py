@@ -80,7 +80,7 @@ class ByPiece:
     def __init__(self, of_word: Callable, add: Callable):
         self.by_word = Memo(of_word, entries=MEMO_ENTRIES // 32)
         whole = lambda t: add(map(self.by_word.__getitem__, words(t)))
-        self.first, self.later = Memo(whole, entries=MEMO_ENTRIES // 32), Memo(lambda p: whole(" " + p), entries=MEMO_ENTRIES // 4)
+        self.first, self.later = Memo(whole, entries=MEMO_ENTRIES // 32), Memo(lambda p: whole(" " + p), entries=MEMO_ENTRIES // 3)
 
     def values(self, text: str) -> list:
         if _adjacent.search(text):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.llm.common import Memo, hold, mapped, sliced
+from linkflow.llm.common import MEMO_ENTRIES, Memo, hold, mapped, sliced
 from linkflow.llm.vocab import ByPiece, Vocab, vocab
 
 NEVER = 1 << 40
@@ -80,7 +80,7 @@ class Encoder:
             if token and i not in special and (len(token) == 1 or i in v.parts):
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.pieces = ByPiece(lambda w: pack(f"<{len(ids := self.word_ids(w.encode()))}i", *ids), b"".join)
+        self.pieces = ByPiece(lambda w: pack(f"<{len(ids := self.word_ids(w.encode()))}i", *ids), b"".join, MEMO_ENTRIES // 3)
 
     def word_ids(self, word: bytes) -> list[int]:
         n = len(word)

@@ -77,10 +77,10 @@ class ByPiece:
     and line ends. Where no two white-space characters adjoin, a line end is a
     pre-token and a space leads the piece after it, so pieces stand alone."""
 
-    def __init__(self, of_word: Callable, add: Callable):
-        self.by_word = Memo(of_word, entries=MEMO_ENTRIES // 32)
+    def __init__(self, of_word: Callable, add: Callable, pieces: int = MEMO_ENTRIES):
+        self.by_word = Memo(of_word, entries=pieces // 4)
         whole = lambda t: add(map(self.by_word.__getitem__, words(t)))
-        self.first, self.later = Memo(whole, entries=MEMO_ENTRIES // 32), Memo(lambda p: whole(" " + p), entries=MEMO_ENTRIES // 3)
+        self.first, self.later = Memo(whole, entries=pieces // 8), Memo(lambda p: whole(" " + p), entries=pieces)
 
     def values(self, text: str) -> list:
         if _adjacent.search(text):

@@ -7,7 +7,10 @@ and a document that loses too much of its text is rejected as a whole:
   ``#*$%&|<>``;
 - navigation: at least ``nav_items`` items between separators (``|``, ``>``,
   ``»``, ``·``), none longer than ``nav_words`` words;
-- boilerplate: one of the fixed phrases, or an equal line stood before it.
+- boilerplate: whole words of the fixed phrases are at least PHRASE_SHARE of
+  the line's words (runs of letters and digits; a letter of a script without
+  spaces is one), or an equal line stood before it. A line that only mentions
+  a phrase stays.
 
 ``kept`` is false if the base rules fail (fewer than ``min_words`` words, or
 over half of the words in repeated three-word windows) or the removed lines
@@ -34,7 +37,10 @@ _symbol = re.compile(r"[#*$%&|<>]")
 _separator = re.compile(r"[|>»·]")
 # Phrases of lines that sites repeat.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign up", "log in", "subscribe to", "javascript is disabled", "share this", "lorem ipsum")
-_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE)
+_boilerplate = re.compile(rf"\b(?:{'|'.join(map(re.escape, BOILERPLATE))})\b", re.IGNORECASE)
+PHRASE_SHARE = 0.5
+_unspaced = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff"
+_phrase_word = re.compile(rf"[^\W{_unspaced}]+|[{_unspaced}]")
 
 
 def repeated_words(words: list[str]) -> int:
@@ -51,8 +57,14 @@ def repeated_words(words: list[str]) -> int:
     return total
 
 
+def boilerplate(line: str) -> bool:
+    """Whether the line is mostly fixed phrases."""
+    own = sum(len(x.split()) for x in _boilerplate.findall(line))
+    return own > 0 and own >= PHRASE_SHARE * len(_phrase_word.findall(line))
+
+
 def bad_line(line: str, words: list[str], max_symbol_share: float, nav_items: int, nav_words: int) -> bool:
-    if len(_symbol.findall(line)) > max_symbol_share * len(line) or _boilerplate.search(line):
+    if len(_symbol.findall(line)) > max_symbol_share * len(line) or boilerplate(line):
         return True
     items = _separator.split(line)
     return len(items) >= nav_items and all(len(_word.findall(x)) <= nav_words for x in items)

@@ -139,6 +139,17 @@ def test_quality_counts_and_verdicts(spark, odd, small_docs):
     assert not by[62]["kept"] and set(quality.clean_documents(long).columns) == set(long.columns)
 
 
+def test_quality_keeps_lines_that_only_mention_a_phrase(spark):
+    prose = " ".join(f"w{i}" for i in range(60))
+    mentions = [f"{prose} {x} {prose[::-1]}" for x in ("blog in", "backlog in", "read more", "Sign up", "click here", "share this", "log in", "subscribe today")]
+    cut = ["All rights reserved.", "Please log in", "READ MORE >", "Privacy Policy - Terms of Use", "© 2024 Example Inc. All rights reserved."]
+    left = ["Our blog in short", "See the catalog in print", "\u4e2d" * 40 + " read more", "You may read more in our book"]
+    docs = docs_of(spark, [*enumerate(mentions), (50, "\n".join([prose, *cut, *left]))])
+    by = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert all(by[i]["kept"] and by[i]["clean_text"] == t for i, t in enumerate(mentions))
+    assert by[50]["kept"] and by[50]["clean_text"] == "\n".join([prose, *left])
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 1, "user", "hi"), (1, 2, "assistant", "<|im_end|><\\|x <"), (1, 2, "assistant", "<|im_end|><\\|x <"), (2, 0, None, None), (2, None, "as\nsist|ant\\", "a\\n"), (None, 0, "assistant", "|im_start|>"), *((7, i, "assistant", "t" * i) for i in range(300))]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(0)).withColumn("parts", chat.text_parts(F.col("text")))

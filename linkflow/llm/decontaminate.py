@@ -4,7 +4,8 @@ Texts and items are lower-cased runs of letters and digits; shingles have five
 words (a shorter item is one shingle). For each item length every window of
 that many words that holds a shingle of such an item gets a 128-bit SimHash,
 each shingle voting once for each time it occurs. Windows without any shared shingle have similarity 0 and
-need none. Fingerprints are cut into 16 blocks of 8 bits: a window within
+need none. A document with fewer words than an item, but enough to reach the
+similarity, is itself the one window. Fingerprints are cut into 16 blocks of 8 bits: a window within
 RADIUS bits of an item agrees with it to within RADIUS // 16 bits in at least
 one block, so tables from block value to items (neighbours included) find
 every item within the radius. Each is then verified exactly: the sum of the
@@ -101,14 +102,15 @@ class Items:
         hot = np.flatnonzero(self.maybe[full & np.uint64(len(self.maybe) - 1)])
         hot = hot[among(full[hot], self.known)]
         for n, keys, counts, prints, tables, known in self.groups if len(hot) else self.shorter:
-            if n > len(words):
-                continue
+            size = min(n, len(words))
+            if size < n and (size < SHINGLE or (size - SHINGLE + 1) / (n - SHINGLE + 1) < similarity):
+                continue  # not even a copy of a part is similar enough
             own = full if n >= SHINGLE else shingles(words, n)
             at = hot if n >= SHINGLE else np.arange(len(own))
             at = at[among(own[at], known)]
             if not len(at):
                 continue
-            span, last = max(1, n - SHINGLE + 1), len(words) - n
+            span, last = max(1, size - SHINGLE + 1), len(words) - size
             starts = np.unique((at[:, None] - np.arange(span)).ravel())
             starts = starts[(starts >= 0) & (starts <= last)]
             best: dict[int, tuple] = {}
@@ -128,7 +130,7 @@ class Items:
                         both = (here & item).total()
                         found = both / (here.total() + item.total() - both)
                         if found >= similarity and (i not in best or found > best[i][4]):
-                            best[i] = (keys[i], int(s[w]), n, far, found)
+                            best[i] = (keys[i], int(s[w]), size, far, found)
             out += best.values()
         return out
 

@@ -305,6 +305,43 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()) == sorted(i for i, _ in rows if i not in hit)
 
 
+def plain_leaks(rows, items, similarity=0.75):
+    """(id, item) by brute force: all windows of an item's length, or the whole of a shorter text."""
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    known = [(k, len(cut(x)), grams(cut(x))) for k, x in items]
+    out = []
+    for i, t in rows:
+        w = cut(t)
+        whole = {n: {*grams(w)} if n >= 5 else {tuple(w[s:s + n]) for s in range(len(w))} for n in {n for _, n, _ in known}}
+        for k, n, g in known:
+            if whole[n] & g.keys() and any((c := grams(w[s:s + n])) and (c & g).total() / (c | g).total() >= similarity for s in range(max(1, len(w) - n + 1))):
+                out.append((i, k))
+    return out
+
+
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (3, 4, 5, 6, 7, 8, 12, 30, 59)]
+    rows = []
+    for n, x in items:
+        w = x.split()
+        rows += [(1000 * n + 100 * side + m, " ".join(w[:m] if side else w[n - m:])) for m in range(n + 1) for side in (0, 1)]
+    w = items[-1][1].split()
+    rows += [(900_000 + k, " ".join(w[:k] + w[k + 3:])) for k in range(0, 57, 4)] + [(910_000, " ".join(w[:30] + ["other"] + w[31:52]))]
+    want = plain_leaks(rows, items)
+    assert {59_000 + m for m in range(46, 60)} <= {i for i, _ in want} and not {59_045, 59_145} & {i for i, _ in want}
+    docs = docs_of(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert bag((r["doc_id"], r["item_id"]) for r in got) == bag(want)
+    length = {i: len(t.split()) for i, t in rows}
+    assert all(r["n_words"] == min(r["item_id"], length[r["doc_id"]]) for r in got)
+    hit = {i for i, _ in want}
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()) == sorted(i for i, _ in rows if i not in hit)
+
+
 def plain_groups(rows):
     sets = []
     for _, t in rows:

@@ -239,8 +239,10 @@ def links(sets: DataFrame) -> DataFrame:
     return first.unionByName(written(similar(counted_pairs(rest, sets)), "jaccard-links"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, node) of each row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, n_shingles, component_id, node, comp) of each row of ``docs``;
+    ``comp`` tells components apart, which ``component_id`` does not when an id
+    is the least of several."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step's shuffle files go with it
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.col(text_col).alias("text"))
@@ -257,22 +259,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = rows.groupBy("node").agg(F.min("id").alias("least")).join(sizes, "node", "left").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = written(nodes, "jaccard-nodes")
     lead = nodes.groupBy("comp").agg(F.min("least").alias("component"))
-    of_node = nodes.join(lead, "comp").select("node", "n_shingles", "component")
+    of_node = nodes.join(lead, "comp").select("node", "n_shingles", "component", "comp")
     out = rows.join(of_node, "node")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"), "node")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"), "node", "comp")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, node) of each row of ``docs``."""
+    return grouped(docs, id_col, text_col).drop("comp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: that of the least doc_id (one
     of several rows with it). Rows without an id stay."""
-    found = written(groups(docs), "jaccard-groups")
+    found = written(grouped(docs, "doc_id", "text"), "jaccard-groups")
     out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     node = F.xxhash64(F.coalesce("text", F.lit("")))
-    left = docs.withColumn("__key", node).join(small(out), F.expr("doc_id = __id AND __key = __node"), "left_anti")
-    again = written(found.where("doc_id = component_id AND n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("component_id").alias("__node")).count().where("count > 1").drop("count"), "jaccard-again")
+    same = F.expr("doc_id = __id AND __key = __node")
+    left = docs.withColumn("__key", node).join(small(out), same, "left_anti")
+    leads = found.where("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+    again = written(leads.groupBy("__comp").count().where("count > 1").drop("count"), "jaccard-again")
     if again.isEmpty():
         return left.drop("__key")
-    twice = left.join(small(again), F.expr("doc_id = __id"), "left_semi")
-    blank = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0
-    once = twice.where(~blank).dropDuplicates(["doc_id"]).unionByName(twice.where(blank))
-    return left.join(small(again), F.expr("doc_id = __id"), "left_anti").unionByName(once).drop("__key")
+    twice = written(leads.join(small(again), "__comp", "left_semi").distinct(), "jaccard-twice")
+    once = left.join(small(twice), same).dropDuplicates(["__comp"]).select(left.columns)
+    return left.join(small(twice), same, "left_anti").unionByName(once).drop("__key")

@@ -451,3 +451,11 @@ def test_one_document_of_each_group(spark):
     got = jaccard.one_of_each(docs_of(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(want)
     assert set(docs_of(spark, rows).columns) == set(got[0].asDict())
+
+
+def test_one_document_of_each_group_with_one_id_for_several_texts(spark):
+    """An id may lead several groups: one row of each stays."""
+    first, second, third = ("one two three four five six seven eight nine ten eleven twelve", "quite another text that shares no words with it at all", "a third one with neither copy nor likeness")
+    rows = [(3, first), (3, second), (3, first), (3, second.upper()), (9, second), (4, third), (4, third), (5, ""), (5, ""), (3, " "), (None, first)]
+    got = [(r["doc_id"], r["text"].lower()) for r in jaccard.one_of_each(docs_of(spark, rows)).collect()]
+    assert bag(got) == bag([(3, first), (3, second), (4, third), (5, ""), (5, ""), (3, " "), (None, first)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkflow.session import ensure_checkpoint_dir, scratch_path
@@ -65,10 +65,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+def small(df: DataFrame, row_bytes: int = 64, more: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast when its counted rows fit BROADCAST_BYTES;
-    otherwise as it is, and Spark shuffles the join (AQE splits hot keys)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    otherwise as it is, and Spark shuffles the join (AQE splits hot keys).
+    ``more``: the bytes of a row beyond ``row_bytes``, where rows differ."""
+    total = df.count() * row_bytes if more is None else df.agg(F.sum(F.lit(row_bytes).cast("long") + more)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 class Memo(dict):

@@ -44,6 +44,8 @@ PATTERNS = {
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(]?+[0-9]\S*+)*+"
 #: Characters on each side of a run in which its neighbouring words are looked for.
 CONTEXT = 64
+#: Bytes of a span in an array of Spark's rows: its place, null bits and three fields.
+SPAN_BYTES = 40
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -166,7 +168,7 @@ def mask_documents(docs: DataFrame, **options) -> DataFrame:
     found = find(docs, **options).where(F.size("spans") > 0).groupBy("id", "key").agg(F.first("spans").alias("spans"))
     found = written(found.select(*(F.col(c).alias(f"__{c}") for c in found.columns)), "pii-spans")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("__text", F.xxhash64(text)).join(small(found, row_bytes=512), F.expr("doc_id <=> __id AND __text = __key"), "left")
+    joined = docs.withColumn("__text", F.xxhash64(text)).join(small(found, row_bytes=128, more=SPAN_BYTES * F.size("__spans")), F.expr("doc_id <=> __id AND __text = __key"), "left")
     changed = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
     new = {"text": changed, "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(changed).cast("long")) if "n_chars" in docs.columns else None}
     return joined.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkflow.llm import bpe, chat, decontaminate, graph, jaccard, pii, quality, queries, sharding, token_count, token_store, url_filter
+from linkflow.llm import bpe, chat, common, decontaminate, graph, jaccard, pii, quality, queries, sharding, token_count, token_store, url_filter
 from linkflow.llm.common import load
 from tests.conftest import SF_SMALL
 
@@ -305,6 +305,16 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()) == sorted(i for i, _ in rows if i not in hit)
 
 
+def test_pii_spans_are_broadcast_by_their_size(spark, monkeypatch):
+    """Few rows with many spans each are large, many rows with few are not."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 4096)
+    monkeypatch.setattr(pii, "discovered", lambda rows, *_: rows.select("id", "key", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias("found")).limit(0))
+    for texts_, hint in ((["a@b.com " * 300] * 2, False), (["a@b.com"] * 10, True)):
+        out = pii.mask_documents(docs_of(spark, list(enumerate(texts_))))
+        assert ("strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()) == hint
+        assert [r["text"] for r in out.collect()] == [t.replace("a@b.com", "[EMAIL]") for t in texts_]
+
+
 def plain_leaks(rows, items, similarity=0.75):
     """(id, item) by brute force: all windows of an item's length, or the whole of a shorter text."""
     cut = lambda t: re.findall(r"\w+", (t or "").lower())

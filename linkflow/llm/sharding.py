@@ -78,5 +78,5 @@ def shard(docs: DataFrame, shards: int = 40, split_above: float = 0.5, alone_abo
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
     order = Window.partitionBy("shard", "slice").orderBy(F.col("id").asc_nulls_first(), "text_key")
     numbered = dealt.withColumn("place", F.row_number().over(order)).join(F.broadcast(before.drop("count")), ["shard", "slice"])
-    slot = (F.col("place") - 1 + F.coalesce("before", F.lit(0))).cast("int")
+    slot = (F.col("place") - 1 + F.coalesce("before", F.lit(0))).cast("long")
     return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

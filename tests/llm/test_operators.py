@@ -200,6 +200,10 @@ def test_sharding_balances_and_numbers(spark, odd):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_sharding_slots_are_long(odd):
+    assert dict(sharding.shard(odd, shards=2).dtypes)["slot"] == "bigint"
+
+
 def test_url_rules_and_trees(spark):
     pages = load(spark, SF_SMALL.replace("0.001", "0.1"), "pages").select("page_id", "url")
     more = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "HTTP://A.Com?x=/"), (-4, "x://com/"), (-5, "http://www.example.com/en/a://b/"), (-6, "http://EXAMPLE.net/es/1"), (-7, "http://notcom/"), (-7, "http://notcom/")], "page_id long, url string")

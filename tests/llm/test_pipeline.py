@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -15,7 +16,7 @@ import corpus_pipeline
 from linkflow.llm import quality
 from linkflow.llm.common import load
 from tests.conftest import SF_SMALL
-from tests.llm.test_operators import plain_groups
+from tests.llm.test_operators import BASE, plain_base, plain_groups, plain_leaks
 
 
 def test_every_operator_has_a_query():
@@ -64,6 +65,67 @@ def test_pipeline_equals_its_stages(spark):
             assert i in private or got[i]["text"] == t
 
 
+def plain_masked(rows, rounds=2, min_support=5, min_confidence=0.8):
+    """The texts of (id, text) with base and discovered spans masked, in plain Python."""
+    kinds, run = [k for k, _ in BASE], re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: [(]?[0-9]\S*)*", re.ASCII)
+    base, runs, edges = [], [], {}
+    for _, t in rows:
+        spans = [x.split(":") for x in plain_base(t).split(",") if x]
+        base.append([(int(s), kinds.index(k), int(e)) for k, s, e in spans])
+        own = []
+        for m in run.finditer(t):
+            seed = next((k for s, k, e in base[-1] if s < m.end() and e > m.start()), -1)
+            value = "".join(c for c in m[0] if c.isalpha() or c.isnumeric() or c in "@.").lower()
+            left = re.search(r"([^\s0-9]+)\s*$", t[max(m.start() - 64, 0):m.start()], re.ASCII)
+            right = re.match(r"\s*([^\s0-9]+)", t[m.end():m.end() + 64], re.ASCII)
+            for side, x in (("L", left), ("R", right)):
+                if x:
+                    edge = (side + x[1].lower(), value)
+                    edges[edge] = max(edges.get(edge, -1), seed)
+            own.append((m.start(), m.end(), value, seed))
+        runs.append(own)
+    seeds = {(v, k): 1.0 for (_, v), k in edges.items() if k >= 0}
+    degree, score = Counter(p for p, _ in edges), dict(seeds)
+    for _ in range(rounds):
+        found, best = defaultdict(list), dict(seeds)
+        for p, v in edges:
+            for k in range(len(kinds)):
+                if (v, k) in score:
+                    found[p, k].append(score[v, k])
+        for (p, v), seed in edges.items():
+            for k in range(len(kinds)):
+                x = found.get((p, k), [])
+                if seed < 0 and len(x) >= min_support and sum(x) / (degree[p] + 1) >= min_confidence:
+                    best[v, k] = max(best.get((v, k), 0), sum(x) / (degree[p] + 1))
+        score = best
+    kind = {}
+    for (v, k), x in score.items():
+        if x >= min_confidence:
+            kind[v] = max(kind.get(v, (0, 0)), (x, -k))
+    out = []
+    for (_, t), spans, own in zip(rows, base, runs):
+        at, parts = 0, []
+        for s, k, e in sorted(spans + [(s, -kind[v][1], e) for s, e, v, seed in own if seed < 0 and v in kind]):
+            if s >= at:
+                parts += [t[at:s], f"[{kinds[k].upper()}]"]
+            at = max(at, e)
+        out.append("".join(parts) + t[at:])
+    return out
+
+
+def test_pipeline_texts_equal_plain_python(spark):
+    """Leaks and spans of each stage's own input, none from the operators."""
+    rules = {"min_words": 50, "max_lost": 0.5, "max_symbol_share": 0.25, "nav_items": 4, "nav_words": 3}
+    judged = [(r["doc_id"], quality.judge(r["text"], **rules)) for r in load(spark, SF_SMALL, "documents").collect()]
+    kept = [(i, j[-1]) for i, j in judged if j[-2]]
+    single = [x for x, (i, n, c) in zip(kept, plain_groups(kept)) if not n or i == c]
+    items = [(r["item_id"], r["text"]) for r in load(spark, SF_SMALL, "benchmark").collect()]
+    leaks = {i for i, _ in plain_leaks(single, items)}
+    clean = [(i, t) for i, t in single if i not in leaks]
+    want = dict(zip((i for i, _ in clean), plain_masked(clean)))
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, SF_SMALL).collect()} == want and any(t != want[i] for i, t in clean)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = load(spark, SF_SMALL, "documents").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkflow.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, token_count, token_store, url_filter
+from linkflow.llm import bpe, chat, decontaminate, jaccard, pii, quality, repair, sharding, simhash, spelling, token_count, token_store, url_filter
 from linkflow.llm.common import load, written
 from linkflow.session import ensure_checkpoint_dir, scratch_path
 
@@ -70,7 +70,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(written(chat.format_chat(messages), "chat"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(load(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(load(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_url_filter, op2_jaccard, op3_token_store, op4_pii, op5_bpe, op6_decontaminate, op7_sharding, op8_quality, op9_token_counts, op10_chat,
+    op11_simhash, op12_repair, op13_spelling,
 )}
 ORACLE: dict[str, str] = {}

@@ -17,11 +17,12 @@ from linkflow.llm import quality
 from linkflow.llm.common import load
 from tests.conftest import SF_SMALL
 from tests.llm.test_operators import BASE, plain_base, plain_groups, plain_leaks
+from tests.llm.test_spelling import plain_forms, plain_words
 
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_the_rest_works_without_the_package(monkeypatch):
@@ -38,10 +39,12 @@ def test_no_python_in_the_native_plan(spark):
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op")])
 def test_query_runs(spark, name):
-    table = {"op1_url_filter": "pages", "op10_chat": "conversations"}.get(name, "documents")
+    table = {"op1_url_filter": "pages", "op10_chat": "conversations", "op12_repair": "conversations"}.get(name, "documents")
     rows = load(spark, SF_SMALL, table)
-    want = rows.select("conv_id").distinct().count() + 1 if table == "conversations" else rows.count()
+    want = rows.select("conv_id").distinct().count() + (name == "op10_chat") if table == "conversations" else rows.count()
     got = entry.queries()[name](spark, SF_SMALL).count()
+    if name == "op13_spelling":
+        want = len(plain_forms(plain_words((r["doc_id"], r["text"]) for r in rows.collect())))
     assert 0 < got < want if name == "op6_decontaminate" else got == want
 
 

@@ -47,7 +47,7 @@ WORDS, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: (lowest bit, bits) of the segments; the ring goes on from the last to the first.
 RING = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 WIDTH = 13
-HOT, SLICE = 128, 4096
+HOT, SLICE = 16, 4096
 #: Shingles whose bits are counted at once; pairs that a worker compares at once.
 COUNTED, COMPARED = 1 << 16, 1 << 20
 

@@ -46,11 +46,12 @@ from linkflow.llm.common import hold, mapped, sliced, small, utf8, written
 
 LETTERS, LEAST_LETTERS, LEAST_COUNT, DAMAGED, RATIO = r"A-Za-zÀ-ÿ", 7, 2, 31, 10
 #: Letter groups of the trie (code point modulo), coarse groups of the shuffle key, words of a leaf.
-GROUPS, COARSE, LEAF = 32, 4, 4
+GROUPS, COARSE, LEAF = 32, 4, 8
 #: Words of a path's slice; queries that go down together; pairs verified at once.
 SLICE, ASKING, VERIFIED = 1 << 16, 1 << 14, 1 << 18
 #: Words up to this length are verified as rows of a matrix, longer ones alone.
 ROW = 32
+ANY, NONE = COARSE, COARSE + 1
 #: What a coarse count of one adds to a path, modulo 2 ** 64.
 UNIT = [1 << (64 // COARSE * k) for k in range(COARSE)]
 ROWS = "path long, slice int, asks boolean, word binary, n long"
@@ -94,28 +95,28 @@ def letters(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(raw: list[bytes], groups: int) -> np.ndarray:
-    """Numbers of letters by group, modulo 256: differences of one stay."""
+    """Numbers of letters by group."""
     word, letter = letters(raw)
-    return np.bincount(word * groups + letter % groups, minlength=len(raw) * groups).reshape(len(raw), groups).astype(np.uint8)
+    return np.bincount(word * groups + letter % groups, minlength=len(raw) * groups).reshape(len(raw), groups)
 
 
 def paths(raw: list[bytes]) -> np.ndarray:
     """The coarse path of each word (Latin-1 bytes)."""
-    word, letter = letters(raw)
-    counts = np.bincount(word * COARSE + letter % COARSE, minlength=len(raw) * COARSE).reshape(len(raw), COARSE).astype(np.uint64)
-    return (counts * np.array(UNIT, np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (vectors(raw, COARSE).astype(np.uint64) * np.array(UNIT, np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def steps() -> np.ndarray:
-    """What leads from a path to those that it asks: none, one more letter, a
-    letter of a group replaced by one of a later group."""
-    replaced = [UNIT[j] - UNIT[i] for i in range(COARSE) for j in range(i + 1, COARSE)]
-    return np.array([x % (1 << 64) for x in (0, *UNIT, *replaced)], np.uint64)
+def steps() -> list[tuple[int, int, int]]:
+    """(change of the path, surplus, deficit) of what a word asks: its own path,
+    that of one more letter in a coarse group, that of a letter of a coarse group
+    replaced by one of a later group."""
+    more = [(UNIT[j], j, NONE) for j in range(COARSE)]
+    replaced = [((UNIT[j] - UNIT[i]) % (1 << 64), j, i) for i in range(COARSE) for j in range(i + 1, COARSE)]
+    return [(0, ANY, NONE), *more, *replaced]
 
 
 def placed(words: DataFrame, slice_words: int = SLICE) -> DataFrame:
     """ROWS of each word: one to be found, one for each path it asks."""
-    to = steps()
+    to = np.array([change for change, _, _ in steps()], np.uint64)
 
     def run(batches):
         hold()
@@ -141,70 +142,84 @@ class Trie:
     """Words by bundle (their path and slice) and then by letter groups.
 
     Words are sorted, so a node is a stretch of them; ``levels`` has, for each
-    level, the sorted keys (parent * 256 + count) of its nodes and where they begin."""
+    level, the sorted keys (parent, count) of its nodes and where they begin."""
 
     def __init__(self, bundle: np.ndarray, raw: list[bytes]):
         vector = vectors(raw, GROUPS)
-        order = np.lexsort([*vector.T[::-1], bundle])
-        self.order, self.vector = order, vector[order]
-        self.bundles, first = np.unique(bundle[order], return_index=True)
+        self.order = np.lexsort([*vector.T[::-1], bundle])
+        self.vector = vector = vector[self.order].astype(np.int32)
+        self.packed = packed(vector)
+        self.bundles, first = np.unique(bundle[self.order], return_index=True)
         self.starts, self.levels = np.append(first, len(raw)), []
         node = np.repeat(np.arange(len(first)), np.diff(self.starts))
         starts = self.starts
         for g in range(GROUPS):
-            if len(starts) < 2 or np.diff(starts).max() <= LEAF:
+            if np.diff(starts).max() <= LEAF:
                 break
-            key = node << 8 | self.vector[:, g]
+            key = node << 32 | vector[:, g].astype(np.int64)
             new = np.append(True, np.diff(key) != 0)
             node, first = np.cumsum(new) - 1, np.flatnonzero(new)
             starts = np.append(first, len(raw))
             self.levels.append((key[first], starts))
 
-    def search(self, bundle: np.ndarray, vector: np.ndarray):
-        """Blocks (query, word) whose vectors differ by the budget at most;
-        ``word`` counts in the order of ``Trie.order``."""
-        root = np.searchsorted(self.bundles, bundle)
-        at = np.flatnonzero(self.bundles[np.minimum(root, len(self.bundles) - 1)] == bundle) if len(self.bundles) else np.array([], int)
+    def search(self, bundle: np.ndarray, vector: np.ndarray, up: np.ndarray, down: np.ndarray):
+        """Blocks (query, word) whose vectors differ in two groups at most.
+        ``up``, ``down``: the coarse group in which the query may spend its
+        surplus and its deficit, ANY or NONE. A surplus spent on ANY has its deficit
+        in the same coarse group, later on: the other word finds the reverse."""
+        root, flat = np.searchsorted(self.bundles, bundle), packed(vector)
+        at = np.flatnonzero(self.bundles[np.minimum(root, len(self.bundles) - 1)] == bundle)
         for k in range(0, len(at), ASKING):
             q = at[k:k + ASKING]
-            stack = [(0, q, root[q], np.zeros((2, len(q)), bool))]  # spent: surplus, deficit
+            stack = [(0, q, root[q], up[q], down[q])]
             while stack:
-                level, q, node, spent = stack.pop()
+                level, q, node, up_, down_ = stack.pop()
                 starts = self.levels[level - 1][1] if level else self.starts
                 size = starts[node + 1] - starts[node]
                 leaf = size <= (LEAF if level < len(self.levels) else len(self.order))
-                yield from self._leaves(q[leaf], starts[node[leaf]], size[leaf], vector)
+                yield from self._leaves(q[leaf], starts[node[leaf]], size[leaf], flat)
                 if leaf.all():
                     continue
-                q, node, spent = q[~leaf], node[~leaf], spent[:, ~leaf]
-                keys, below = self.levels[level][0], []
-                own = vector[q, level]
-                for change, free in ((0, None), (1, ~spent[0]), (-1, ~spent[1])):
-                    key = node << 8 | (own + np.uint8(change % 256))
-                    child = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    goes = keys[child] == key
-                    if free is not None:
-                        goes &= free
-                    now = spent[:, goes]
-                    if change:
-                        now[0 if change > 0 else 1] = True
-                    below.append((q[goes], child[goes], now))
-                q, node, spent = (np.concatenate(x, axis=-1) for x in zip(*below))
-                for s in range(0, len(q), 4 * ASKING):
-                    part = slice(s, s + 4 * ASKING)
-                    stack.append((level + 1, q[part], node[part], spent[:, part]))
-
-    def _leaves(self, q: np.ndarray, start: np.ndarray, size: np.ndarray, vector: np.ndarray):
+                q, node, up_, down_ = (x[~leaf] for x in (q, node, up_, down_))
+                keys, group = self.levels[level][0], level % COARSE
+                key = node << 32 | vector[q, level]
+                child = np.searchsorted(keys, key)  # children are in a row: one less is the one before, one more after it
+                equal = np.take(keys, child, mode="clip") == key
+                goes = [(equal, child, up_, down_)]
+                may = np.flatnonzero((up_ == group) | (up_ == ANY))
+                more = child[may] + equal[may]
+                may, more = (x[np.take(keys, more, mode="clip") == key[may] + 1] for x in (may, more))
+                goes.append((may, more, np.full(len(may), NONE, np.int8), np.where(up_[may] == ANY, group, down_[may]).astype(np.int8)))
+                may = np.flatnonzero(down_ == group)
+                less = child[may] - 1
+                hit = (less >= 0) & (np.take(keys, less, mode="clip") == key[may] - 1)
+                goes.append((may[hit], less[hit], up_[may[hit]], np.full(hit.sum(), NONE, np.int8)))
+                below = [np.concatenate(x) for x in zip(*((q[w], c if k else c[w], u if k else u[w], d if k else d[w]) for k, (w, c, u, d) in enumerate(goes)))]
+                for s in range(0, len(below[0]), 4 * ASKING):
+                    stack.append((level + 1, *(x[s:s + 4 * ASKING] for x in below)))
+
+    def _leaves(self, q: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray):
         ends = np.cumsum(size)
         for s in range(0, len(q), step := max(1, VERIFIED // max(1, int(size.max(initial=1))))):
-            n = size[s:s + step]
-            query = np.repeat(q[s:s + step], n)
-            word = np.repeat(start[s:s + step] - (ends[s:s + step] - n), n) + np.arange(ends[s] - n[0], ends[s] - n[0] + n.sum())
-            differ = (self.vector[word] - vector[query]).view(np.int8)
-            near = ((differ > 0).sum(axis=1) <= 1) & ((differ < 0).sum(axis=1) <= 1) & (np.abs(differ).max(axis=1) <= 1)
+            n, end = size[s:s + step], ends[s:s + step]
+            query, first = np.repeat(q[s:s + step], n), end[0] - n[0]
+            word = np.repeat(start[s:s + step] - (end - n), n) + np.arange(first, end[-1])
+            near = groups_that_differ(self.packed[word], flat[query]) <= 2
             yield query[near], word[near]
 
 
+def packed(vector: np.ndarray) -> np.ndarray:
+    """Counts modulo 256, eight to an integer."""
+    return np.ascontiguousarray(vector.astype(np.uint8)).view(np.uint64)
+
+
+def groups_that_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bytes in which rows differ: each is made one high bit."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    differ = a ^ b
+    return np.bitwise_count((((differ & low) + low) | differ) & ~low).sum(axis=1)
+
+
 def matrices(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lengths, letters from the left, letters from the right), ROW wide."""
     pad = b"\0" * ROW
@@ -238,6 +253,10 @@ def verified(a: int | np.ndarray, b: np.ndarray, of_a, of_b, raw_a: list[bytes],
 
 def near_pairs(rows: DataFrame) -> DataFrame:
     """(word, near, near_n): each pair of near words, both ways round."""
+    changes = np.array([c for c, _, _ in steps()], np.uint64)
+    order = np.argsort(changes)
+    ways = np.array([(u, d) for _, u, d in steps()], np.int8)[order]
+
     def run(batches):
         hold()
         held: tuple[list, list, list] = ([], [], [])  # the index rows of the last bundle so far
@@ -259,12 +278,15 @@ def near_pairs(rows: DataFrame) -> DataFrame:
                     continue
                 own = [raw[k] for k in query]
                 trie, of_own, of_words = Trie(where, words), matrices(own), matrices(words)
-                own_path = paths(own).view(np.int64)
-                for q, w in trie.search(bundle[query], vectors(own, GROUPS)):
-                    w = trie.order[w]
-                    near = verified(q, w, of_own, of_words, own, words)
-                    q, w = q[near].tolist(), w[near].tolist()
-                    pairs = [(k, j) for k, j in zip(q, w) if own_path[k] != path[query[k]] or own[k] < words[j]]
+                way = np.searchsorted(changes[order], path[query].view(np.uint64) - paths(own))
+                vector = vectors(own, GROUPS)
+                for q, w in trie.search(bundle[query], vector, *ways[way].T):
+                    near = verified(q, trie.order[w], of_own, of_words, own, words)
+                    q, w = q[near], w[near]
+                    change = trie.vector[w] - vector[q]
+                    first = np.take_along_axis(change, (change != 0).argmax(axis=1)[:, None], axis=1)[:, 0]
+                    first[ways[way[q], 0] != ANY] = 1  # found from this side only
+                    pairs = [(k, j) for k, j, sign in zip(q.tolist(), trie.order[w].tolist(), first.tolist()) if sign > 0 or not sign and own[k] < words[j]]
                     a, c = [own[k] for k, _ in pairs], [words[j] for _, j in pairs]
                     na, nc = [n[query[k]] for k, _ in pairs], [counts[j] for _, j in pairs]
                     texts = [x.decode("latin-1") for x in a], [x.decode("latin-1") for x in c]

@@ -293,7 +293,7 @@ def near_pairs(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(texts[0] + texts[1], pa.string()), pa.array(texts[1] + texts[0], pa.string()), pa.array(nc + na, pa.int64())], ["word", "near", "near_n"])
 
     dealt = rows.repartition("path", "slice").sortWithinPartitions("path", "slice", "asks")
-    return dealt.select("path", "slice", "asks", "word", "n").mapInArrow(run, "word string, near string, near_n long")
+    return mapped(dealt.select("path", "slice", "asks", "word", "n"), run, "word string, near string, near_n long", rows=SLICE)
 
 
 def forms(words: DataFrame, slice_words: int = SLICE, ratio: int = RATIO) -> DataFrame:

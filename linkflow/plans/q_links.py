@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkflow.functions.links import (
-    ANCHOR_TAG_PLAIN, ATTRIBUTE, LINE_LINK_PATTERN, SKIPPED_MARKUP,
+    ATTRIBUTE, LINE_LINK_PATTERN, MARKUP_PLAIN,
 )
 from linkflow.operators import linkgraph as lg
 from linkflow.operators.pagerank import pagerank
@@ -20,7 +20,8 @@ LINKS_REGEX_SQL = (
     "SELECT file_name AS source, unnest(regexp_extract_all(line, "
     f"{sql_str(LINE_LINK_PATTERN)}, 1)) AS target FROM html_lines")
 
-# Entity decoding over column u, '&amp;' last (as in the Spark expression).
+# Named references over column u (those of the driver's pages; links_references
+# has the others), '&amp;' last, which one pass from left to right amounts to.
 _ENTITY_DECODE = ("replace(replace(replace(replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), "
                   "'&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')")
 
@@ -46,10 +47,9 @@ SELECT source, target FROM (
                  regexp_extract_all(substr(tag, 3), {sql_str(ATTRIBUTE)}, 2) AS vals
           FROM (
             SELECT file_name,
-                   unnest(regexp_extract_all(
-                       regexp_replace(content, {sql_str(SKIPPED_MARKUP)}, '', 'g'),
-                       {sql_str(ANCHOR_TAG_PLAIN)}, 0)) AS tag
-            FROM files)))
+                   unnest(regexp_extract_all(content, {sql_str(MARKUP_PLAIN)}, 1)) AS tag
+            FROM files)
+          WHERE tag <> ''))
       WHERE len(hs) > 0)))
 WHERE target <> ''
 """
@@ -69,6 +69,24 @@ def links_html(spark, sf_dir):
     return lg.links_from_documents(T.files(spark, sf_dir), suffix=None)
 
 
+# Markup that holds no link, and a link written with every kind of reference to
+# characters that follow from the row's numbers.
+_REFERENCE_DOC = """'<!-- <a href="no.html"> --><![CDATA[<a href="no.html">]]><? <a href="no.html">'
+    || '<b title="<a href=no.html>"><a class=x href="&#' || CAST(200 + l_partkey % 40000 AS STRING)
+    || ';&#x' || hex(161 + l_suppkey % 500) || ';&eacute;&ampq&notit;&amp;lt;' || CAST(l_linenumber AS STRING) || '">'"""
+
+
+@register("links_references", """SELECT CAST(l_orderkey AS VARCHAR) AS source,
+       chr(CAST(200 + l_partkey % 40000 AS INTEGER)) || chr(CAST(161 + l_suppkey % 500 AS INTEGER))
+         || 'é&q¬it;&lt;' || CAST(l_linenumber AS VARCHAR) AS target
+FROM lineitem""")
+def links_references(spark, sf_dir):
+    """Links whose targets are written with character references."""
+    docs = T.table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) || '.html' AS file_name", f"{_REFERENCE_DOC} AS content")
+    return lg.links_from_documents(docs, suffix=None)
+
+
 # --- counts on the regex links (line-based link counter) --------------------
 
 _LK = [("lk", LINKS_REGEX_SQL)]

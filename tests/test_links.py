@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkflow.functions.links import LINE_LINK_PATTERN
+from linkflow.functions.links import LINE_LINK_PATTERN, decode_references
 from linkflow.operators import linkgraph as lg
 from linkflow.sources import tables as T
 from tests.conftest import SF_SMALL
@@ -85,6 +88,18 @@ HTML_CASES = [
     '<a title=Bob\'s href="q.html">',
     '<a/href="s.html">',
     '<a href="14.html"><!-- <a href="15.html">',
+    # character references
+    '<a href="n&#49;.html">', '<a href="x&#x2e;html">', '<a href="a&eacute;.html">',
+    '<a href="p&ampq.html">', '<a href="a&nbsp;b.html">', '<a href="&notit;&NotEqualTilde;">',
+    '<A HREF="&amp;lt;">', '<a href="&#128;&#x9f;&#0;&#xD800;&#1114112;&#1;z">',
+    # markup in which a tag is none
+    '<![CDATA[<a href="cd.html">]]><a href="1">', '<? <a href="pi.html"><a href="2">',
+    '<b title="<a href=1>"><a href=3>', '<!doctype html><a href=4>', '</x <a href="5"><a href=6>',
+    '<script/><a href=9>', '<style><a href=10>', '<![if IE]><a href=12><![endif]>', '<!-- x -- ><a href=15>',
+    "<a href = '11' title=\"<!--\">", '<title><!--</title><a href="--><a href=x>',
+    # attributes
+    '<a href="x" href>', '<a hrefx=1 href=13>', '<a data-x href="14"id=3>', '<a/>', '<a href=a/b/>',
+    '<a title="a href=1" href=2>', '<a href="a&b=c&d">',
 ]
 
 
@@ -95,6 +110,28 @@ def test_html_links_match_parser(spark, doc):
     assert got == _parser_links(doc)
 
 
+def test_references_match_the_library(spark):
+    """Random mixes of references, names without semicolons and loose characters."""
+    rng = random.Random(1)
+    names = [*html5]
+    parts = lambda: [*"&;#xX019aA <\t", "&#", "&#x", "&" + rng.choice(names), rng.choice(names), "&amp",
+                     f"&#{rng.randrange(1_200_000)}", f"&#x{rng.randrange(0x120000):x}", "&#" + "9" * 30]
+    values = ["".join(rng.choice(parts()) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    values += [f"&#{n};" for n in [*range(0, 0x200), 0xD7FF, 0xD800, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000]]
+    values += [f"&{n}" for n in names]
+    df = spark.createDataFrame([(v,) for v in [*values, "", None]], "v STRING")
+    got = df.select("v", decode_references(F.col("v")).alias("d")).collect()
+    assert [(r.v, r.d) for r in got if r.d != (r.v and unescape(r.v))] == []
+
+
+def test_long_documents_are_cut_in_linear_time(spark):
+    """Megabytes of unclosed markup, of links and of references in one row."""
+    docs = ['<a href="' + "&eacute;" * 50_000 + '">', '<a href="x.html">' * 50_000, "<!-" * 300_000, "<a href='" * 100_000, "<" * 500_000, "&" * 500_000]
+    df = spark.createDataFrame([(str(k), d) for k, d in enumerate(docs)], "file_name STRING, content STRING")
+    got = lg.links_from_documents(df, suffix=None).groupBy("source").agg(F.count("*"), F.max(F.length("target"))).collect()
+    assert {tuple(r) for r in got} == {("0", 1, 50_000), ("1", 50_000, 6)}
+
+
 def test_html_links_on_driver_pages_match_parser(spark):
     files = T.files(spark, SF_SMALL)
     got = Counter((r.source, r.target) for r in lg.links_from_documents(files, suffix=None).collect())

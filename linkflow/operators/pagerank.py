@@ -19,35 +19,44 @@ Stop rules:
 
 Plan at scale:
 
-* Edges are reduced once to ``(src, dst, links)`` and carry ``share =
-  links / outdeg(src)``. A source with many distinct targets is split into
-  ``ceil(targets / split_rows)`` salted slices: edges get ``salt =
-  md5(dst) mod slices`` and the rank of that source is replicated once per
-  slice, so a hub source is spread over many tasks instead of one.
-* The weighted edges are checkpointed once, hash-partitioned and sorted by
-  ``(src, salt)``, and the loop runs without AQE (a checkpoint taken under AQE
+* Edges are reduced once to ``(src, dst, links)``, then joined to the degrees of
+  their sources while AQE is on: it splits a hub source's partition. A source with
+  many distinct targets is split into ``ceil(targets / split_rows)`` salted
+  slices: edges get ``salt = md5(dst) mod slices`` and the rank of that source is
+  replicated once per slice, so a hub source is spread over many tasks.
+* The weighted edges are written, then checkpointed hash-partitioned and sorted by
+  ``(src, salt)``, and the rounds run without AQE (a checkpoint taken under AQE
   forgets its partitioning): per round only the rank side (one row per node
-  and slice) moves to them. Contributions are summed per target with a map-side partial
-  aggregate, so hub targets are reduced before the shuffle.
-* Each round's state is checkpointed to ``spark.checkpoint.dir`` (reliable),
-  which cuts the lineage and survives lost executors. The round's total is
-  one scalar brought to the driver.
+  and slice) moves to them. Contributions are summed per target with a map-side
+  partial aggregate, so hub targets are reduced before the shuffle.
+* A round writes ``rounds/<n>`` (page, slices, raw, prev) as Parquet and then, as
+  the mark that it is complete, one row in ``history/<n>`` (round, total,
+  difference). Both totals are scalars brought to the driver.
+
+A run with a ``folder`` of its own can be resumed: called again with it after a lost
+driver, it reads the written edges and goes on from the newest complete round.
+Rounds n - 2 and older are deleted once round n is complete. Without a folder a
+fresh one in the shared storage is used, whose edges are deleted at the end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkflow.plans.joins import split_join
-from linkflow.session import checkpoint_root
+from linkflow.session import scratch_path
+from linkflow.sources import storage
 
 DAMPING = 0.85
 BASE = 0.15
 # Distinct targets per salted slice of one source.
 SPLIT_ROWS = 100_000
+STATE = "page STRING, slices BIGINT, raw DOUBLE, prev DOUBLE"
+HISTORY = "round INT, total DOUBLE, difference DOUBLE"
+EDGES = "src STRING, salt BIGINT, dst STRING, share DOUBLE"
 
 
 @dataclass
@@ -56,6 +65,7 @@ class PageRankResult:
     rounds: int
     last_difference: float
     converged: bool           # False: ``max_iter`` ended the run
+    history: DataFrame        # (round, total, difference) of every round
 
 
 def _slice_of(dst, slices):
@@ -63,16 +73,19 @@ def _slice_of(dst, slices):
     return F.pmod(head, slices)
 
 
-def salted_edges(pairs: DataFrame, per_src: DataFrame, partitions: int) -> DataFrame:
-    """Weighted edges ``(src, salt, dst, share)``, written once,
-    hash-partitioned and sorted by ``(src, salt)``: the edges of a hub source
-    are spread over its slices, hence over many partitions, and each round's
-    merge join reads them as they lie (no shuffle, no sort of the edges)."""
-    # A hub source's pairs must not meet its degree row in one task.
+def weighted_edges(pairs: DataFrame, per_src: DataFrame) -> DataFrame:
+    """``(src, salt, dst, share)``: a hub source's pairs must not meet its
+    degree row in one task, so this join is planned under AQE."""
     return (split_join(pairs, per_src, "src", "inner")
             .select("src", _slice_of(F.col("dst"), F.col("slices")).alias("salt"), "dst",
-                    (F.col("links") / F.col("outdeg")).alias("share"))
-            .repartition(partitions, "src", "salt")
+                    (F.col("links") / F.col("outdeg")).alias("share")))
+
+
+def laid_out(weighted: DataFrame, partitions: int) -> DataFrame:
+    """The weighted edges hash-partitioned and sorted by ``(src, salt)``: the
+    edges of a hub source are spread over its slices, hence over many partitions,
+    and each round's merge join reads them as they lie (no shuffle, no sort)."""
+    return (weighted.repartition(partitions, "src", "salt")
             .sortWithinPartitions("src", "salt")
             .checkpoint())
 
@@ -84,37 +97,85 @@ def source_degrees(pairs: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / F.lit(split_rows)).cast("bigint").alias("slices"))
 
 
+def _prepare(edges: DataFrame, crawled: DataFrame | None, initial: float, split_rows: int, folder: str) -> None:
+    """Writes ``folder``/edges and round 0, whose history row comes last."""
+    # The edge input (often a link extraction over the whole corpus) is read
+    # once: everything below derives from the written (src, dst, links) table.
+    pairs = (edges.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"))
+             .agg(F.count(F.lit(1)).alias("links")))
+    pairs.write.mode("overwrite").parquet(f"{folder}/pairs")
+    pairs = edges.sparkSession.read.schema(pairs.schema).parquet(f"{folder}/pairs")
+    per_src = source_degrees(pairs, split_rows)
+    weighted_edges(pairs, per_src).write.mode("overwrite").parquet(f"{folder}/edges")
+    # Every crawled page and every endpoint once, with its slice count: one aggregate.
+    none = F.lit(None).cast("bigint")
+    rows = (per_src.select(F.col("src").alias("page"), "slices", F.lit(crawled is None).alias("starts"))
+            .unionByName(pairs.select(F.col("dst").alias("page"), none.alias("slices"), F.lit(False).alias("starts"))))
+    if crawled is not None:
+        rows = rows.unionByName(crawled.select("page", none.alias("slices"), F.lit(True).alias("starts")))
+    nodes = rows.groupBy("page").agg(
+        F.coalesce(F.max("slices"), F.lit(0)).alias("slices"),
+        F.when(F.max("starts"), F.lit(initial)).otherwise(F.lit(0.0)).alias("raw"), F.lit(0.0).alias("prev"))
+    nodes.write.mode("overwrite").parquet(f"{folder}/rounds/0")
+    storage.delete(edges.sparkSession, f"{folder}/pairs")
+    _finish(edges.sparkSession, folder, 0, 1.0, float("inf"))
+
+
+def _finish(spark: SparkSession, folder: str, n: int, total: float, difference: float) -> None:
+    """Marks round ``n`` complete and deletes rounds ``n - 2`` and older."""
+    row = spark.createDataFrame([(n, float(total), float(difference))], HISTORY)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/history/{n}")
+    for name in storage.children(spark, f"{folder}/rounds"):
+        if int(name) <= n - 2:
+            storage.delete(spark, f"{folder}/rounds/{name}")
+
+
+def complete_rounds(spark: SparkSession, folder: str) -> list[int]:
+    """The rounds of a run whose history row was committed, ascending."""
+    names = storage.children(spark, f"{folder}/history")
+    return sorted(int(n) for n in names if storage.exists(spark, f"{folder}/history/{n}/_SUCCESS"))
+
+
+def _history(spark: SparkSession, folder: str, rounds: list[int]) -> DataFrame:
+    return spark.read.schema(HISTORY).parquet(*(f"{folder}/history/{n}" for n in rounds))
+
+
+def _state(spark: SparkSession, folder: str, n: int, total: float) -> DataFrame:
+    """(page, slices, rank) after round ``n``."""
+    state = spark.read.schema(STATE).parquet(f"{folder}/rounds/{n}")
+    rank = F.col("raw") / F.lit(total) if total else F.lit(0.0)
+    return state.select("page", "slices", rank.alias("rank"), "prev")
+
+
 def pagerank_run(edges: DataFrame, crawled: DataFrame | None = None, *,
                  threshold: float = 0.005, stop: str = "sum", max_iter: int = 100,
                  initial: float = 0.01, split_rows: int = SPLIT_ROWS,
-                 partitions: int | None = None) -> PageRankResult:
+                 partitions: int | None = None, folder: str | None = None) -> PageRankResult:
     """Run PageRank over ``edges(source, target)``.
 
     ``crawled`` (column ``page``) is the set of pages that start at
-    ``initial``; by default every page with out-links.
+    ``initial``; by default every page with out-links. ``folder``: where the
+    rounds are kept, in shared storage; a run found there is resumed (its edges
+    and start ranks are those that it was begun with).
     """
     if stop not in ("sum", "l1"):
         raise ValueError("stop must be 'sum' or 'l1'")
     spark = edges.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    checkpoint_root(spark)  # fail early when no shared folder is configured
+    own = folder is None
+    folder = (folder or scratch_path(spark, "pagerank")).rstrip("/")
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not complete_rounds(spark, folder):
+        _prepare(edges, crawled, initial, split_rows, folder)
 
-    # The edge input (often a link extraction over the whole corpus) is read
-    # once: everything below derives from the written (src, dst, links) table.
-    pairs = (edges.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"))
-             .agg(F.count(F.lit(1)).alias("links"))
-             .checkpoint())
-    per_src = source_degrees(pairs, split_rows)
-    if crawled is None:
-        crawled = pairs.select(F.col("src").alias("page"))
-    crawled = crawled.select("page").distinct().withColumn("crawled", F.lit(True))
-
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return _rounds(pairs, per_src, crawled, threshold, stop, max_iter, initial, n_part)
+        result = _rounds(spark, folder, threshold, stop, max_iter, n_part)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    if own:
+        storage.delete(spark, f"{folder}/edges")
+    return result
 
 
 def round_inflow(weighted: DataFrame, state: DataFrame) -> DataFrame:
@@ -127,54 +188,39 @@ def round_inflow(weighted: DataFrame, state: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("rank") * F.col("share")).alias("inflow")))
 
 
-def _rounds(pairs: DataFrame, per_src: DataFrame, crawled: DataFrame, threshold: float, stop: str,
-            max_iter: int, initial: float, n_part: int) -> PageRankResult:
-    weighted = salted_edges(pairs, per_src, n_part)
-
-    # Node table: every crawled page and every endpoint, with its slice count.
-    ids = (pairs.select(F.col("src").alias("page"))
-           .unionByName(pairs.select(F.col("dst").alias("page")))
-           .unionByName(crawled.select("page"))
-           .distinct())
-    nodes = (ids.join(crawled, "page", "left")
-             .join(per_src.withColumnRenamed("src", "page"), "page", "left")
-             .select("page",
-                     F.coalesce("slices", F.lit(0)).alias("slices"),
-                     F.when(F.col("crawled"), F.lit(initial)).otherwise(F.lit(0.0)).alias("rank"))
-             .repartition(n_part, "page")
-             .checkpoint())
-
-    state = nodes                       # (page, slices, rank): ranks of the previous round
-    prev_sum = state.agg(F.sum("rank")).first()[0] or 0.0
-    rounds, diff, converged = 0, float("inf"), True
-    while True:
-        rounds += 1
-        contrib = round_inflow(weighted, state)
-        raw = (nodes.select("page", "slices").join(contrib, "page", "left")
-               .select("page", "slices",
-                       (F.lit(BASE) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))).alias("raw"))
-               .checkpoint())
-        total = raw.agg(F.sum("raw")).first()[0]
+def _rounds(spark: SparkSession, folder: str, threshold: float, stop: str, max_iter: int, n_part: int) -> PageRankResult:
+    n = complete_rounds(spark, folder)[-1]
+    last = _history(spark, folder, [n]).first()
+    total, diff = last["total"], last["difference"]
+    weighted = None
+    while not _stops(n, diff, threshold, stop, max_iter):
+        if weighted is None:
+            weighted = laid_out(spark.read.schema(EDGES).parquet(f"{folder}/edges"), n_part)
+        state = _state(spark, folder, n, total)
+        inflow = round_inflow(weighted, state)
+        raw = F.lit(BASE) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))
+        new = state.select("page", "slices", F.col("rank").alias("prev")).join(inflow, "page", "left").select("page", "slices", raw.alias("raw"), "prev")
+        n += 1
+        new.write.mode("overwrite").parquet(f"{folder}/rounds/{n}")
+        written = spark.read.schema(STATE).parquet(f"{folder}/rounds/{n}")
+        sums = written.agg(F.sum("raw"), F.sum("prev")).first()
+        total = sums[0] or 0.0
         if not total:
-            state = raw.select("page", "slices", F.lit(0.0).alias("rank"))
             diff = 0.0
-            break
-        new_state = raw.select("page", "slices", (F.col("raw") / F.lit(total)).alias("rank"))
-        if stop == "sum":
-            curr_sum = 1.0  # sum(raw / total)
-            diff = curr_sum - prev_sum
-            prev_sum = curr_sum
-            state = new_state
-            if abs(diff) < threshold:
-                break
+        elif stop == "sum":
+            diff = 1.0 - sums[1]  # ranks sum to 1 after every round
         else:
-            diff = (new_state.alias("n").join(state.alias("o"), "page")
-                    .agg(F.sum(F.abs(F.col("n.rank") - F.col("o.rank")))).first()[0] or 0.0)
-            state = new_state
-            if diff < threshold or rounds >= max_iter:
-                converged = diff < threshold
-                break
-    return PageRankResult(state.select("page", "rank"), rounds, float(diff), converged)
+            diff = _state(spark, folder, n, total).agg(F.sum(F.abs(F.col("rank") - F.col("prev")))).first()[0]
+        _finish(spark, folder, n, total, diff)
+    rounds = [k for k in complete_rounds(spark, folder) if k]
+    history = _history(spark, folder, rounds) if rounds else spark.createDataFrame([], HISTORY)
+    ranks = _state(spark, folder, n, total).select("page", "rank")
+    return PageRankResult(ranks, n, float(diff), abs(diff) < threshold or not total, history)
+
+
+def _stops(n: int, diff: float, threshold: float, stop: str, max_iter: int) -> bool:
+    """Whether a run ends after round ``n`` (an empty graph's first round has no difference)."""
+    return n > 0 and (abs(diff) < threshold or diff == 0.0 or stop == "l1" and n >= max_iter)
 
 
 def pagerank(edges: DataFrame, crawled: DataFrame | None = None, **kwargs) -> DataFrame:

@@ -8,9 +8,10 @@ from linkflow.functions.links import (
     ATTRIBUTE, LINE_LINK_PATTERN, MARKUP_PLAIN,
 )
 from linkflow.operators import linkgraph as lg
-from linkflow.operators.pagerank import pagerank
+from linkflow.operators.pagerank import pagerank, pagerank_run
 from linkflow.operators.stats import degree_stats
 from linkflow.plans.catalog import register, sql_str
+from linkflow.session import scratch_path
 from linkflow.sources import tables as T
 from linkflow.sources.sinks import write_json_rows
 
@@ -254,3 +255,16 @@ FROM (SELECT page, round(rank, 9) AS rank FROM r2) ORDER BY rank DESC, page LIMI
 def pagerank_top5(spark, sf_dir):
     ranks = pagerank(T.links(spark, sf_dir), threshold=0.005, stop="sum")
     return lg.top_k(ranks.select("page", _rank_rounded()), "rank", "page", 5)
+
+
+@register("pagerank_convergence", PAGERANK_CTES + """
+SELECT CAST(1 AS INTEGER) AS round, round(sum(abs(r1.rank - r0.rank)), 6) AS difference FROM r1 JOIN r0 USING (page)
+UNION ALL
+SELECT CAST(2 AS INTEGER), round(sum(abs(r2.rank - r1.rank)), 6) FROM r2 JOIN r1 USING (page)""")
+def pagerank_convergence(spark, sf_dir):
+    """The L1 difference of each round, from a run that is stopped after one
+    round and resumed in the same folder."""
+    links, folder = T.links(spark, sf_dir), scratch_path(spark, "pagerank")
+    pagerank_run(links, stop="l1", threshold=0.0, max_iter=1, folder=folder)
+    run = pagerank_run(links, stop="l1", threshold=0.0, max_iter=2, folder=folder)
+    return run.history.select("round", F.round("difference", 6).alias("difference"))

@@ -9,11 +9,12 @@ from linkflow.functions.links import (
 )
 from linkflow.operators import linkgraph as lg
 from linkflow.operators.pagerank import pagerank, pagerank_run
+from linkflow.operators import sketches as SK
 from linkflow.operators.stats import degree_stats
 from linkflow.plans.catalog import register, sql_str
 from linkflow.session import scratch_path
 from linkflow.sources import tables as T
-from linkflow.sources.sinks import write_json_rows
+from linkflow.sources.sinks import read_table, write_json_rows, write_table
 
 # --- SQL building blocks for the oracles ------------------------------------
 
@@ -216,6 +217,34 @@ def out_degree_stats(spark, sf_dir):
     return degree_stats(lg.out_degree(T.links(spark, sf_dir)), "out_degree")
 
 
+def _sketched(spark, sf_dir):
+    """Sketches of the in-degrees by slices of the pages, written and read back
+    (as a job that adds slice to slice would find them)."""
+    degrees = lg.in_degree(T.links(spark, sf_dir))
+    parts = degrees.withColumn("part", F.pmod(F.xxhash64("page"), F.lit(32)))
+    path = write_table(SK.degree_sketches(parts, "in_degree", ["part"]), scratch_path(spark, "degree-sketches"))
+    return degrees, read_table(spark, path)
+
+
+_EXACT = ["pages", "avg", "max", "min"]
+
+
+@register("degree_sketch_stats", T.with_views(
+    """SELECT unnest(['pages', 'avg', 'max', 'min', 'median', 'p20', 'p40', 'p60', 'p80']) AS statistic,
+              unnest([CAST(count(*) AS DOUBLE), avg(d), max(d), min(d), NULL, NULL, NULL, NULL, NULL]) AS value,
+              TRUE AS within
+       FROM (SELECT count(*) AS d FROM links GROUP BY target)""", "links"))
+def degree_sketch_stats(spark, sf_dir):
+    """The exact figures of the merged sketches, and for each percentile whether
+    its true rank is within the stated error."""
+    degrees, sketches = _sketched(spark, sf_dir)
+    stats = SK.sketch_stats(sketches)
+    exact = stats.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in _EXACT))).alias("at", "value"))
+    exact = exact.select(F.array(*map(F.lit, _EXACT))[F.col("at")].alias("statistic"), "value", F.lit(True).alias("within"))
+    within = SK.within_error(stats, degrees, "in_degree", SK.rank_error())
+    return exact.unionByName(within.withColumn("value", F.lit(None).cast("double")))
+
+
 # --- PageRank (two unrolled rounds = the 'sum' stop rule on this data) ------
 
 def _round_sql(prev: str, name: str) -> str:

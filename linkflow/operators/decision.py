@@ -16,8 +16,8 @@ records and the served content.
 The lookup joins request file names to the corpus *names*; contents are joined
 only for the 200 rows. It is a plain join without counts or hints: Spark
 broadcasts a listing whose bytes are small, and otherwise AQE splits the
-partitions of files that many requests ask for. A stream joins the listing as
-it is at each micro-batch.
+partitions of files that many requests ask for. A stream judges each
+micro-batch against a written listing (:mod:`linkflow.streaming.listing`).
 """
 
 from __future__ import annotations
@@ -62,19 +62,20 @@ def reason_column(status: Column) -> Column:
 
 
 def decide(requests: DataFrame, corpus_names: DataFrame, *,
-           missing_country: str = "allow", health: bool = False) -> DataFrame:
+           missing_country: str = "allow", health: bool = False,
+           listed: bool = False) -> DataFrame:
     """Judge raw requests against the corpus listing.
 
     ``requests`` has ``request_id, method, path, x_country, ...``;
-    ``corpus_names`` has one row per stored file, column ``file_name``.
-    Returns the request columns plus ``file_name, country, status, reason``.
+    ``corpus_names`` has one row per stored file, column ``file_name``;
+    ``listed``: it is a written listing that has each name once. Returns the request columns plus ``file_name, country, status, reason``.
     """
-    # distinct(): a name listed twice must not duplicate requests.
-    names = corpus_names.select("file_name").distinct().withColumn("found", F.lit(True))
-    prepared = prepare_requests(requests)
-    if requests.isStreaming:
-        joined = prepared.join(names, "file_name", "left")
+    prepared, found = prepare_requests(requests), F.lit(True).alias("found")
+    if listed:
+        joined = prepared.join(corpus_names.select("file_name", found), "file_name", "left")
     else:
+        # distinct(): a name listed twice must not duplicate requests.
+        names = corpus_names.select("file_name").distinct().select("file_name", found)
         joined = split_join(prepared, names, "file_name")
     status = status_column(missing_country, health)
     return (joined.withColumn("status", status)

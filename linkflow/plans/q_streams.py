@@ -10,7 +10,9 @@ from linkflow.plans.catalog import register
 from linkflow.plans.q_requests import FACT_REQUESTS_SQL, dec_sql
 from linkflow.session import scratch_path
 from linkflow.sources import tables as T
+from linkflow.sources.sinks import read_log_records
 from linkflow.streaming import requests_stream as S
+from linkflow.streaming.subscriber import decoded_writer, receive
 
 
 def _requests(spark, sf_dir):
@@ -31,7 +33,7 @@ def stream_decision(spark, sf_dir):
     base = scratch_path(spark, "stream-decision")
     S.wait(S.decision_stream(_requests(spark, sf_dir), T.files(spark, sf_dir),
                              f"{base}/out", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
 @register("stream_facts", FACT_REQUESTS_SQL)
@@ -45,7 +47,7 @@ def stream_facts(spark, sf_dir):
 def _fan_out(spark, sf_dir):
     base = scratch_path(spark, "stream-fan-out")
     S.wait(S.facts_stream(_requests(spark, sf_dir), T.files(spark, sf_dir), f"{base}/requests",
-                          f"{base}/failed_requests", f"{base}/checkpoint", topic_path=f"{base}/topic"))
+                          f"{base}/failed_requests", f"{base}/checkpoint", topic_path=f"{base}/topic", log_path=f"{base}/log"))
     return base
 
 
@@ -66,6 +68,34 @@ def stream_topic(spark, sf_dir):
     return topic.select("request_id", R.from_utf8(F.col("value")).alias("country"))
 
 
+@register("stream_log", _with_dec(
+    """SELECT request_id, CASE WHEN status IN (501, 400) THEN 'ERROR' ELSE 'WARNING' END AS severity, status
+       FROM dec WHERE status <> 200""", strict=True))
+def stream_log(spark, sf_dir):
+    """The log records of the fan-out, read back by severity."""
+    log = f"{_fan_out(spark, sf_dir)}/log"
+    return read_log_records(spark, log).select("request_id", "severity", "status")
+
+
+@register("subscribe_redelivered", _with_dec("SELECT request_id, country FROM dec WHERE status = 400"))
+def subscribe_redelivered(spark, sf_dir):
+    """A subscriber whose first delivery fails after it has written: the batch
+    is delivered again and replaces its rows."""
+    base = scratch_path(spark, "stream-subscriber")
+    S.wait(S.publish_banned(_requests(spark, sf_dir), T.files(spark, sf_dir),
+                            f"{base}/topic", f"{base}/publisher"))
+    write, failures = decoded_writer(f"{base}/received", f"{base}/dead"), [True]
+
+    def fails_once(batch, batch_id):
+        write(batch, batch_id)
+        if failures:
+            failures.pop()
+            raise ConnectionError("the first delivery is not acknowledged")
+
+    receive(spark, f"{base}/topic", fails_once, f"{base}/subscriber", available_now=True)
+    return spark.read.parquet(f"{base}/received").drop("batch_id")
+
+
 @register("stream_banned", _with_dec("SELECT request_id, country FROM dec WHERE status = 400"))
 def stream_banned(spark, sf_dir):
     base = scratch_path(spark, "stream-topic")

@@ -57,8 +57,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+LOG_SCHEMA = "request_id BIGINT, severity STRING, status INT, message STRING, batch_id BIGINT"
+
+
 def write_log_records(records: DataFrame, path: str) -> str:
     """Append log records ``(request_id, severity, status, message)`` as JSON
     lines, one folder per severity, for a log collector to pick up."""
     records.write.mode("append").partitionBy("severity").json(path)
     return path
+
+
+def write_log_batch(records: DataFrame, path: str, batch_id: int) -> str:
+    """One micro-batch's log records as JSON lines, a folder for each batch and
+    severity: ``batch_id=<id>/severity=<name>``. The batch's folder is replaced as
+    a whole, so a replay leaves no row twice, also of a severity that the replay
+    no longer has."""
+    (records.write.mode("overwrite").partitionBy("severity").json(f"{path}/batch_id={int(batch_id)}"))
+    return path
+
+
+def read_log_records(spark: SparkSession, path: str, severity: str | None = None) -> DataFrame:
+    """The written log records; of one severity, only its folders are listed."""
+    records = spark.read.schema(LOG_SCHEMA).option("basePath", path).json(path)
+    return records if severity is None else records.where(F.col("severity") == severity)

@@ -1,17 +1,17 @@
 """Request handling as Structured Streaming queries.
 
-* :func:`decision_stream` - requests judged as they arrive (stream-static join
-  against the corpus listing), appended to a Parquet file sink. The file sink
-  and the checkpoint make the output exactly-once across restarts.
+* :func:`decision_stream` - requests judged as they arrive, inside
+  ``foreachBatch``: a batch joins the newest version of the written corpus listing
+  under AQE, so a file that many requests ask for is split, and a new
+  version is seen without a restart. Each batch is written to partition
+  ``batch_id=<id>`` with dynamic overwrite, so a replayed batch replaces its rows.
 * :func:`facts_stream` - one query fans each micro-batch out to the
-  ``requests`` and ``failed_requests`` tables and, if given, the topic, with
-  ``foreachBatch``. The batch is persisted once and each table is written to
-  partition ``batch_id=<id>`` with dynamic overwrite, so a replayed batch
-  replaces its own rows.
+  ``requests`` and ``failed_requests`` tables and, if given, the topic and the
+  log. The judged batch is persisted once.
 * :func:`publish_banned` / :func:`subscribe_banned` - the topic: banned
   countries as UTF-8 bytes in an append-only file sink; the subscriber reads
-  only committed topic files and decodes them. ``timeout`` plays the
-  subscriber's listening time-out.
+  only committed topic files and decodes them. :mod:`linkflow.streaming.subscriber`
+  has the subscriber with time-outs, acknowledgement and redelivery.
 * :func:`vm_counts_stream` - running responses per VM (``complete`` mode);
   each trigger writes a snapshot of its own, partition ``batch_id=<id>``, which
   appears when its job commits; :func:`latest_snapshot` reads the newest.
@@ -28,10 +28,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkflow.functions import requests as R
 from linkflow.operators import decision as D
-from linkflow.sources.sinks import write_batch
+from linkflow.sources.sinks import write_batch, write_log_batch
 from linkflow.sources.tables import VIEWS
-
-TOPIC_SCHEMA = "request_id BIGINT, value BINARY"
+from linkflow.streaming.listing import Listing, listing_of
+from linkflow.streaming.subscriber import TOPIC_SCHEMA
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema,
@@ -66,36 +66,53 @@ def wait(query: StreamingQuery, timeout: float | None = None) -> StreamingQuery:
     return query
 
 
-def decision_stream(requests: DataFrame, corpus_names: DataFrame, out_path: str,
+def judged_batch(batch: DataFrame, listing: Listing, missing_country: str = "allow") -> DataFrame:
+    """The decisions of one micro-batch. Streams run with AQE off; a batch
+    here holds no state between batches, so its join is planned adaptively."""
+    spark = batch.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "true")  # of the query's own session
+    return D.decide(batch, listing.current(spark), missing_country=missing_country, listed=True)
+
+
+def decision_stream(requests: DataFrame, corpus_names: DataFrame | Listing, out_path: str,
                     checkpoint: str, missing_country: str = "allow",
                     available_now: bool = True) -> StreamingQuery:
-    decided = D.decision_view(D.decide(requests, corpus_names, missing_country=missing_country))
-    writer = decided.writeStream.format("parquet").outputMode("append")
-    return _start(writer, checkpoint, available_now, out_path)
+    listing = listing_of(corpus_names, f"{checkpoint.rstrip('/')}-listing")
 
+    def write_decisions(batch: DataFrame, batch_id: int) -> None:
+        write_batch(D.decision_view(judged_batch(batch, listing, missing_country)), out_path, batch_id)
 
-def facts_stream(requests: DataFrame, corpus_names: DataFrame, requests_path: str,
+    return _start(requests.writeStream.foreachBatch(write_decisions), checkpoint, available_now)
+
+
+def facts_stream(requests: DataFrame, corpus_names: DataFrame | Listing, requests_path: str,
                  failed_path: str, checkpoint: str, missing_country: str = "not_found",
-                 available_now: bool = True, topic_path: str | None = None) -> StreamingQuery:
-    decided = D.decide(requests, corpus_names, missing_country=missing_country)
+                 available_now: bool = True, topic_path: str | None = None,
+                 log_path: str | None = None) -> StreamingQuery:
+    listing = listing_of(corpus_names, f"{checkpoint.rstrip('/')}-listing")
 
     def write_facts(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        decided = judged_batch(batch, listing, missing_country).persist()
         try:
-            write_batch(D.fact_requests(batch), requests_path, batch_id)
-            write_batch(D.fact_failed_requests(batch), failed_path, batch_id)
+            write_batch(D.fact_requests(decided), requests_path, batch_id)
+            write_batch(D.fact_failed_requests(decided), failed_path, batch_id)
             if topic_path:
-                write_batch(D.banned_messages(batch), topic_path, batch_id)
+                write_batch(D.banned_messages(decided), topic_path, batch_id)
+            if log_path:
+                write_log_batch(D.log_records(decided), log_path, batch_id)
         finally:
-            batch.unpersist()
+            decided.unpersist()
 
-    writer = decided.writeStream.foreachBatch(write_facts)
-    return _start(writer, checkpoint, available_now)
+    return _start(requests.writeStream.foreachBatch(write_facts), checkpoint, available_now)
 
 
-def publish_banned(requests: DataFrame, corpus_names: DataFrame, topic_path: str,
+def publish_banned(requests: DataFrame, corpus_names: DataFrame | Listing, topic_path: str,
                    checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    messages = D.banned_messages(D.decide(requests, corpus_names))
+    """The topic is a file sink, so each message appears once; the listing's
+    version is that of the query's start (the ban list needs no file lookup)."""
+    listing = listing_of(corpus_names, f"{checkpoint.rstrip('/')}-listing")
+    names = listing.current(requests.sparkSession)
+    messages = D.banned_messages(D.decide(requests, names, listed=True))
     writer = messages.writeStream.format("parquet").outputMode("append")
     return _start(writer, checkpoint, available_now, topic_path)
 

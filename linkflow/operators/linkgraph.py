@@ -148,6 +148,22 @@ def adjacency(links: DataFrame, pages: DataFrame | None = None,
         "page", "direction", F.lit(0).cast("bigint").alias("chunk"), empty.alias("neighbours")))
 
 
+def link_graph(links: DataFrame, pages: DataFrame | None = None,
+               chunk_size: int = ADJACENCY_CHUNK) -> DataFrame:
+    """Both lists of each page side by side: ``(page, chunk, outgoing, incoming)``.
+
+    The merge of the out-lists and the in-lists, as a full outer join would
+    give it, with NULL pages kept: a side that a page (or a chunk of it) lacks is
+    an empty list, so every page of ``pages`` and every endpoint has a row. It is an
+    aggregate by (page, chunk) over lists of at most about ``chunk_size``
+    neighbours: a hub's chunks are merged in different tasks.
+    """
+    lists = adjacency(links, pages, chunk_size)
+    empty = F.array().cast(lists.schema["neighbours"].dataType)
+    side = lambda d: F.coalesce(F.first(F.when(F.col("direction") == d, F.col("neighbours")), ignorenulls=True), empty)
+    return lists.groupBy("page", "chunk").agg(side("out").alias("outgoing"), side("in").alias("incoming"))
+
+
 def render_neighbours(neighbours: Column) -> Column:
     """``'a*2,b*1'`` text form of a neighbour list (for reports and checks)."""
     return F.array_join(F.transform(

@@ -77,3 +77,27 @@ WHERE href LIKE '%.html'""", "html_lines"))
 def links_page_suffix(spark, sf_dir):
     """Page links of HTML text: only targets with the page suffix, without it."""
     return lg.links_from_documents(T.html_lines(spark, sf_dir), content_col="line")
+
+
+_LIST = """string_agg(nb || '*' || CAST(links AS VARCHAR), ',' ORDER BY nb)"""
+
+
+@register("link_graph", _sql(f"""SELECT page, chunk,
+       coalesce({_LIST} FILTER (WHERE direction = 'out'), '') AS outgoing,
+       coalesce({_LIST} FILTER (WHERE direction = 'in'), '') AS incoming
+FROM (
+  SELECT page, direction, nb, links,
+         CAST(('0x' || substr(md5(nb), 1, 8)) AS BIGINT)
+           % CAST(ceil(count(*) OVER (PARTITION BY page, direction) / {lg.ADJACENCY_CHUNK}.0) AS BIGINT) AS chunk
+  FROM (SELECT source AS page, 'out' AS direction, target AS nb, count(*) AS links FROM links GROUP BY ALL
+        UNION ALL
+        SELECT target, 'in', source, count(*) FROM links GROUP BY ALL)
+  UNION ALL
+  SELECT page, 'none', NULL, NULL, 0 FROM crawled WHERE page NOT IN (SELECT source FROM links) AND page NOT IN (SELECT target FROM links))
+GROUP BY page, chunk"""))
+def link_graph(spark, sf_dir):
+    """Out- and in-lists of every page, crawled pages without links included."""
+    crawled, links = _crawl(spark, sf_dir)
+    graph = lg.link_graph(links, crawled)
+    return graph.select("page", "chunk", lg.render_neighbours(F.col("outgoing")).alias("outgoing"),
+                        lg.render_neighbours(F.col("incoming")).alias("incoming"))

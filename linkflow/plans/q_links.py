@@ -14,7 +14,7 @@ from linkflow.operators.stats import degree_stats
 from linkflow.plans.catalog import register, sql_str
 from linkflow.session import scratch_path
 from linkflow.sources import tables as T
-from linkflow.sources.sinks import read_table, write_json_rows, write_table
+from linkflow.sources.sinks import read_table, write_report, write_table
 
 # --- SQL building blocks for the oracles ------------------------------------
 
@@ -158,7 +158,7 @@ def sink_top(spark, sf_dir):
                                 F.col("sources").alias("n"), "position")
                 .unionByName(outgoing.select(F.lit("top_outgoing").alias("list"), "target",
                                              F.col("occurrences").alias("n"), "position")))
-        path = write_json_rows(rows, spark, "top_lists")
+        path = write_report(rows, scratch_path(spark, "top-lists"), ["list", "position"])
     finally:
         counts.unpersist()
     return spark.read.schema("list STRING, target STRING, n BIGINT, position BIGINT").json(path)

@@ -1,55 +1,125 @@
 """Corpus sources: whole HTML files, lines with their file, the requests table.
 
+* :func:`write_corpus` - documents as a folder of files, one a document.
+* :func:`list_corpus` - the files' names, sizes and times, no content read.
 * :func:`read_corpus` - one row per file ``(file_name, content)``, the text read
-  whole (``wholetext``); only names matching ``*.html`` are listed, so other
-  objects are pruned at listing time, not after reading.
+  whole; only names that end in ``.html`` are listed, so other objects are pruned
+  at listing time, not after reading. Many small files are packed into one task.
 * :func:`read_corpus_lines` - one row per line ``(file_path, line)``.
+* :func:`bad_files` - the files that a reader of whole texts has trouble with.
 * :func:`corpus_from_table` / :func:`lines_of` - the same shapes from a table
   that already holds documents (the driver's ``pages``).
 * :func:`first_n` - the first ``n`` files in name order.
 * :func:`read_requests` - the ``requests`` table from JDBC (partitioned by id
   range), a Parquet path or a catalog table; only the asked-for columns.
+
+Files of no bytes are passed over by Spark's file scans: neither listed nor read
+(:func:`write_corpus` writes none). Two layouts are read: a folder of files (``dir/12.html``), and what Spark writes
+when every document is a partition (``dir/file_name=12.html/part-...``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from linkflow.functions.links import PAGE_SUFFIX, base_name
+from linkflow.sources import storage
 
-CORPUS_SCHEMA = "file_name STRING, content STRING"
-LINES_SCHEMA = "file_path STRING, line STRING"
 REQUEST_COLUMNS = ["request_id", "gender", "age", "income", "time", "ip_address",
                    "file_name", "country", "is_banned"]
+NAMED = "file_name="
+# Bytes of files that one task reads; a whole text beyond LARGE is reported.
+PACKED_BYTES = 128 << 20
+LARGE = 64 << 20
+
+
+def write_corpus(docs: DataFrame, path: str, name_col: str = "file_name", content_col: str = "content") -> str:
+    """Writes each document as a file of its own, ended by a line break, under a
+    folder of its name (null names or texts are no documents). Documents are
+    dealt out by name, so a file is written by one task, and a lost task's files
+    are written again by the committer."""
+    named = docs.select(F.col(name_col).alias("file_name"), F.col(content_col).alias("value")).dropna()
+    named.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(path)
+    return path
+
+
+def _reader(spark: SparkSession, path: str, suffix: str, recursive: bool):
+    """(reader, what to load, whether each document is a partition)."""
+    path = path.rstrip("/")
+    if any(n.startswith(NAMED) for n in storage.children(spark, path)):
+        return spark.read.option("basePath", path), f"{path}/{NAMED}*{suffix}", True
+    return spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive), path, False
+
 
+def _missing(spark: SparkSession, path: str, missing_ok: bool) -> bool:
+    """Whether there is nothing to read and that is allowed. Every other
+    trouble, and a missing path that is not allowed, is an error of the reader."""
+    return missing_ok and not storage.exists(spark, path)
 
-def read_corpus(spark: SparkSession, path: str, glob: str = "*" + PAGE_SUFFIX,
-                recursive: bool = False, missing_ok: bool = True) -> DataFrame:
-    """Whole files under ``path`` as ``(file_name, content)``.
 
-    A missing path gives an empty DataFrame when ``missing_ok``.
+def _name(file_path: Column, named: bool) -> Column:
+    return F.col("file_name") if named else base_name(file_path)
+
+
+def list_corpus(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recursive: bool = False) -> DataFrame:
+    """``(file_name, file_path, length, modified)`` of the files under ``path``."""
+    reader, load, named = _reader(spark, path, suffix, recursive)
+    files = reader.format("binaryFile").load(load)
+    return files.select(_name(F.col("path"), named).alias("file_name"), F.col("path").alias("file_path"),
+                        "length", F.col("modificationTime").alias("modified"))
+
+
+def read_corpus(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recursive: bool = False,
+                missing_ok: bool = False, packed_bytes: int = PACKED_BYTES) -> DataFrame:
+    """Whole files under ``path`` as ``(file_name, content)``; the line break at
+    the end of a file that :func:`write_corpus` wrote is not content.
+
+    Files are packed into tasks of about ``packed_bytes``, whatever their
+    number. A missing path is an error, or gives no rows with ``missing_ok``.
     """
+    if _missing(spark, path, missing_ok):
+        return spark.createDataFrame([], "file_name STRING, content STRING")
+    reader, load, named = _reader(spark, path, suffix, recursive)
     # text() has its own wholetext=False default, so the flag goes there.
-    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    try:
-        df = reader.text(path, wholetext=True)
-    except AnalysisException:
-        if not missing_ok:
-            raise
-        return spark.createDataFrame([], CORPUS_SCHEMA)
-    return df.select(base_name(F.col("_metadata.file_path")).alias("file_name"),
-                     F.col("value").alias("content"))
-
-
-def read_corpus_lines(spark: SparkSession, path: str, glob: str = "*" + PAGE_SUFFIX,
-                      recursive: bool = False) -> DataFrame:
-    """Lines of the files under ``path`` as ``(file_path, line)`` (full URI)."""
-    return (spark.read.option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", recursive).text(path)
-            .select(F.col("_metadata.file_path").alias("file_path"),
-                    F.col("value").alias("line")))
+    df = reader.text(load, wholetext=True)
+    content = F.regexp_replace("value", r"\n\z", "") if named else F.col("value")
+    total = list_corpus(spark, path, suffix, recursive).agg(F.sum("length")).first()[0] or 0
+    # Spark counts each file's opening as 4 MB, so it would make a task of 32 small ones.
+    return df.select(_name(F.col("_metadata.file_path"), named).alias("file_name"),
+                     content.alias("content")).coalesce(max(1, spark.sparkContext.defaultParallelism, -(-total // packed_bytes)))
+
+
+def read_corpus_lines(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX,
+                      recursive: bool = False, missing_ok: bool = False, names: bool = False) -> DataFrame:
+    """Lines of the files under ``path`` as ``(file_path, line)``, the path as
+    a full URI; with ``names`` also ``file_name``."""
+    if _missing(spark, path, missing_ok):
+        return spark.createDataFrame([], "file_path STRING" + ", file_name STRING" * names + ", line STRING")
+    reader, load, named = _reader(spark, path, suffix, recursive)
+    path_col = F.col("_metadata.file_path")
+    name = [_name(path_col, named).alias("file_name")] if names else []
+    return reader.text(load).select(path_col.alias("file_path"), *name, F.col("value").alias("line"))
+
+
+def bad_files(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recursive: bool = False,
+              large: int = LARGE) -> DataFrame:
+    """``(file_name, file_path, reason)`` of the files that whole-text jobs
+    should not take as they are, by the first reason that fits: ``too_large``
+    (over ``large`` bytes; not read), ``empty`` (white space alone),
+    ``not_utf8``, ``repeated_name`` (of several with a name, all but the first path)."""
+    reader, load, named = _reader(spark, path, suffix, recursive)
+    files = reader.format("binaryFile").load(load)
+    ident = [_name(F.col("path"), named).alias("file_name"), F.col("path").alias("file_path")]
+    over = files.where(F.col("length") > large).select(*ident, F.lit("too_large").alias("reason"))
+    text = F.col("content").cast("string")
+    reason = F.when(F.trim(F.translate(text, "\t\n\r", "   ")) == "", "empty").when(~F.is_valid_utf8(text), "not_utf8")
+    read = files.where(F.col("length") <= large).select(*ident, reason.alias("reason")).where("reason IS NOT NULL")
+    first = files.select(*ident).groupBy("file_name").agg(F.min("file_path").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = files.select(*ident).join(first, "file_name").where(F.col("file_path") > F.col("first")).select("file_name", "file_path", F.lit("repeated_name").alias("reason"))
+    found = over.unionByName(read).unionByName(again)
+    rank = F.create_map(*(F.lit(x) for k, r in enumerate(("too_large", "empty", "not_utf8", "repeated_name")) for x in (r, k)))
+    return found.groupBy("file_name", "file_path").agg(F.min_by("reason", rank[F.col("reason")]).alias("reason"))
 
 
 def corpus_from_table(docs: DataFrame, name_col: str = "file_name",
@@ -98,7 +168,3 @@ def read_requests(spark: SparkSession, source: str, columns: list[str] | None =
         df = spark.table(source)
     return df.select(*columns)
 
-
-def is_empty(df: DataFrame) -> bool:
-    """True when ``df`` has no rows (reads at most one row)."""
-    return df.isEmpty()

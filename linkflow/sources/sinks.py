@@ -1,16 +1,11 @@
-"""Sinks: fact tables, JSON result rows, idempotent micro-batch writes.
-
-All written data goes under the shared folder named by
-``spark.checkpoint.dir`` unless the caller passes its own path.
-"""
+"""Sinks: fact tables, ordered JSON reports, log records, idempotent
+micro-batch writes. The caller names the path, in shared storage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkflow.session import scratch_path
-
 
 def write_table(df: DataFrame, path: str, mode: str = "append",
                 partition_by: list[str] | None = None) -> str:
@@ -36,20 +31,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
     return path
 
 
-# Results up to this many rows are written as one file.
-SINGLE_FILE_ROWS = 10_000
-
-
-def write_json_rows(df: DataFrame, spark: SparkSession, name: str,
-                    path: str | None = None) -> str:
-    """Result rows as JSON lines (one object per row) in a new folder.
-
-    A small result (a bounded count proves it) goes to one file, as a report
-    would; anything larger is written by every task in parallel.
-    """
-    path = path or scratch_path(spark, name)
-    small = df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS
-    (df.coalesce(1) if small else df).write.mode("overwrite").json(path)
+def write_report(df: DataFrame, path: str, order: list[str], rows_per_file: int = 100_000) -> str:
+    """``df`` as JSON lines in the order of ``order``: files in name order, rows
+    in file order, whatever the size. Sorted by ranges, so no task holds the
+    report; ``rows_per_file`` cuts its files, and a short report is one file."""
+    ordered = df.orderBy(*order)
+    ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
     return path
 
 

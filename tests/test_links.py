@@ -204,3 +204,20 @@ def test_adjacency_lists_pages_without_links(spark):
     pages = spark.createDataFrame([("a",), ("alone",)], "page STRING")
     adj = {(r.page, r.direction): len(r.neighbours) for r in lg.adjacency(_edges(spark, [("a", "b")]), pages).collect()}
     assert adj == {("a", "out"): 1, ("a", "in"): 0, ("b", "in"): 1, ("alone", "out"): 0, ("alone", "in"): 0}
+
+
+def test_link_graph_merges_both_sides(spark):
+    """Pages without links, NULL pages, one-sided pages and a hub's chunks."""
+    edges = [("a", "b"), ("a", "b"), ("b", None), (None, "c"), *(("hub", f"t{k}") for k in range(500))]
+    pages = spark.createDataFrame([("a",), ("alone",), (None,), ("alone",)], "page STRING")
+    got = lg.link_graph(_edges(spark, edges), pages, chunk_size=100).collect()
+    sides = {}
+    for r in got:
+        out, into = sides.setdefault(r.page, ([], []))
+        out += [(n.page, n.links) for n in r.outgoing]
+        into += [(n.page, n.links) for n in r.incoming]
+    assert len(sides) == 506 and len(got) == len({(r.page, r.chunk) for r in got})
+    assert sides["alone"] == ([], []) and sides["a"] == ([("b", 2)], []) and sides["c"] == ([], [(None, 1)])
+    assert sides[None] == ([("c", 1)], [("b", 1)]) and sides["b"] == ([(None, 1)], [("a", 2)])
+    assert sorted(sides["hub"][0]) == sorted((f"t{k}", 1) for k in range(500))
+    assert max(len(r.outgoing) for r in got) < 200

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from linkflow.operators import generate as G
 from linkflow.operators import linkgraph as lg
 from linkflow.sources import corpus as C
-from linkflow.sources.sinks import write_batch, write_table
+from linkflow.sources.sinks import write_batch, write_report, write_table
 
 
 def _write(folder, name, text):
@@ -37,8 +40,56 @@ def test_read_corpus_whole_and_lines(spark, tmp_dir):
     assert [r.target for r in edges.collect()] == ["2.html"]
 
 
-def test_missing_corpus_is_empty(spark, tmp_dir):
-    assert C.read_corpus(spark, os.path.join(tmp_dir, "absent")).count() == 0
+def test_missing_corpus_is_an_error_unless_allowed(spark, tmp_dir):
+    absent = os.path.join(tmp_dir, "absent")
+    for read in (C.read_corpus, C.read_corpus_lines):
+        with pytest.raises(AnalysisException):
+            read(spark, absent).count()
+        assert read(spark, absent, missing_ok=True).count() == 0
+
+
+def test_other_errors_are_not_an_empty_corpus(spark, tmp_dir):
+    with pytest.raises(Exception):
+        C.read_corpus(spark, "nosuchscheme://x/y", missing_ok=True).count()
+
+
+def test_written_corpus_is_read_back(spark, tmp_dir):
+    """Names that need escaping, texts of several lines, blank ones, line ends kept."""
+    rows = [("1.html", "a\nb\r\nc"), ("2.html", ""), ("3.html", "ends\n"), ("a=b%c d.html", "é"), ("skip.txt", "x"), (None, "x"), ("4.html", None)]
+    path = C.write_corpus(spark.createDataFrame(rows, "file_name STRING, content STRING"), os.path.join(tmp_dir, "c"))
+    want = {n: t for n, t in rows if n and t is not None and n.endswith(".html")}
+    assert {r.file_name: r.content for r in C.read_corpus(spark, path).collect()} == want
+    lines = C.read_corpus_lines(spark, path, names=True).where("file_name = '1.html'").collect()
+    assert [r.line for r in lines] == ["a", "b", "c"]
+    assert {r.file_name: r.length for r in C.list_corpus(spark, path).collect()}["1.html"] == 7
+
+
+def test_small_files_are_packed(spark, tmp_dir):
+    """500 small files take as few tasks as their bytes need, and listing reads no content."""
+    for i in range(500):
+        with open(os.path.join(tmp_dir, f"{i}.html"), "w") as f:
+            f.write(f"page {i}")
+    corpus = C.read_corpus(spark, tmp_dir)
+    assert corpus.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and corpus.count() == 500
+    plan = C.list_corpus(spark, tmp_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan[plan.index("ReadSchema"):], plan
+
+
+def test_bad_files_are_reported_by_their_first_reason(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "sub"))
+    for name, data in {"1.html": b"good", "2.html": b" \n\t", "3.html": b"caf\xe9", "4.html": b"x" * 200, "sub/1.html": b"good too", "sub/2.html": b"\n", "6.html": b"", "5.txt": b"\xff"}.items():
+        with open(os.path.join(tmp_dir, name), "wb") as f:
+            f.write(data)
+    got = {r.file_path.split(os.path.basename(tmp_dir) + "/")[-1]: r.reason for r in C.bad_files(spark, tmp_dir, recursive=True, large=100).collect()}
+    assert got == {"2.html": "empty", "3.html": "not_utf8", "4.html": "too_large", "sub/1.html": "repeated_name", "sub/2.html": "empty"}
+
+
+def test_report_is_ordered_over_its_files(spark, tmp_dir):
+    df = spark.range(25_000, numPartitions=7).selectExpr("25000 - id AS n", "md5(cast(id AS string)) AS text")
+    path = write_report(df, os.path.join(tmp_dir, "r"), ["n"], rows_per_file=4000)
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    rows = [json.loads(line)["n"] for f in files for line in open(os.path.join(path, f))]
+    assert rows == [*range(1, 25_001)] and len(files) > 6
 
 
 def test_first_n_in_name_order(spark):

@@ -10,19 +10,23 @@ Steps, in this order:
    encoded as ``<col>_<value>`` booleans, values sorted; NULL gives all false.
 
 Codes: one aggregate over all coded columns gives each distinct value its
-first id; the values are then numbered in that order (:func:`dense_index`,
-distributed past a size bound) and joined back; AQE picks the join from the
-code tables' bytes and splits hot values.
+first id; the values of all columns are numbered at once in that order
+(:func:`dense_index`), written, and joined back; AQE picks the join from the
+code table's bytes and splits hot values.
+
+Columns with many values: :func:`onehot_vectors` makes one sparse vector a column
+from a written level table; no value reaches the driver or the schema.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from linkflow.plans.indexing import SMALL_ROWS, dense_index
-from linkflow.plans.joins import split_join
+from linkflow.plans.indexing import dense_index
 
 CODED_COLUMNS = ("country", "file_name", "time", "income")
 
@@ -31,35 +35,35 @@ def factorize(df: DataFrame, cols=CODED_COLUMNS, order_col: str = "request_id")
     """Replace each of ``cols`` by its first-appearance code (BIGINT).
 
     One aggregate over the input finds the first id of every value of every
-    column (values compared as text, NULL kept); the result is written once.
-    Its per-column sizes decide how each column is numbered (one window per
-    column when small, :func:`dense_index` when large).
+    column (values compared as text, NULL kept), one numbering their codes.
     """
     cols = list(cols)
+    firsts = (_values(df, cols, order_col)
+              .groupBy("_c", "_v").agg(F.min(order_col).alias("_first")))
+    return _coded(df, cols, level_codes(firsts, ["_first", "_v"]))
+
+
+def _values(df: DataFrame, cols: list[str], *others: str) -> DataFrame:
+    """``(_c, _v)`` for each row and column: the column's place, the value as text."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v"))
         for i, c in enumerate(cols)]))
-    firsts = (df.select(order_col, pairs.alias("_p"))
-              .groupBy(F.col("_p._c").alias("_c"), F.col("_p._v").alias("_v"))
-              .agg(F.min(order_col).alias("_first"))
-              .checkpoint())
-    sizes = {r["_c"]: r["n"] for r in firsts.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [i for i in range(len(cols)) if sizes.get(i, 0) <= SMALL_ROWS]
-    numbered = {}
-    if small:
-        by_col = Window.partitionBy("_c").orderBy("_first")
-        codes = firsts.where(F.col("_c").isin(small)).withColumn(
-            "_code", (F.row_number().over(by_col) - 1).cast("bigint"))
-        for i in small:
-            numbered[i] = codes.where(F.col("_c") == i)
-    for i in range(len(cols)):
-        if i not in numbered:
-            numbered[i] = dense_index(firsts.where(F.col("_c") == i), "_first", "_code")
+    return df.select(*others, pairs.alias("_p")).select(*others, "_p._c", "_p._v")
+
+
+def level_codes(levels: DataFrame, order: list[str]) -> DataFrame:
+    """``(_c, _k, _code)``, written: the distinct values of each column numbered
+    in the order of ``order``."""
+    numbered = dense_index(levels, order, "_code", "_c")
+    return numbered.select("_c", _text_key(F.col("_v")).alias("_k"), "_code").checkpoint()
+
+
+def _coded(df: DataFrame, cols: list[str], codes: DataFrame) -> DataFrame:
+    """``df`` with each of ``cols`` replaced by its code."""
     out = df
     for i, c in enumerate(cols):
-        table = numbered[i].select("_v", "_code")
-        coded = split_join(out.withColumn("_k", _text_key(F.col(c))),
-                           table.select(_text_key(F.col("_v")).alias("_k"), "_code"), "_k")
+        table = codes.where(F.col("_c") == i).select("_k", "_code")
+        coded = out.withColumn("_k", _text_key(F.col(c))).join(table, "_k", "left")
         out = coded.drop(c, "_k").withColumnRenamed("_code", c)
     return out
 
@@ -97,30 +101,57 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def onehot(df: DataFrame, cols: list[str] | None = None,
-           levels_from: DataFrame | None = None) -> DataFrame:
+           levels_from: DataFrame | None = None,
+           levels: dict[str, list[str]] | None = None) -> DataFrame:
     """One boolean column per distinct value of each of ``cols``; drops ``cols``.
 
-    The value lists define the output schema, so they are read to the driver:
-    one distinct pass over all columns, of the size of the output's header.
-    ``levels_from`` reads the values from another frame with the same columns
-    (e.g. the input before expensive joins).
+    With ``levels`` (column -> values) the output columns are those the caller
+    names, in that order, and nothing is read. Otherwise the value lists, which
+    define the output schema, are read to the driver: for few values only;
+    :func:`onehot_vectors` is the form for any number. ``levels_from`` reads them from
+    another frame with the same columns (e.g. the input before expensive joins).
     """
-    cols = string_columns(df) if cols is None else list(cols)
+    cols = list(levels or (string_columns(df) if cols is None else cols))
     if not cols:
         return df
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))
-    source = df if levels_from is None else levels_from
-    found = (source.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
-             .distinct().collect())
-    levels: dict[str, list[str]] = {c: [] for c in cols}
-    for row in found:
-        levels[row["c"]].append(row["v"])
+    if levels is None:
+        source = df if levels_from is None else levels_from
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))
+        found = (source.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+                 .distinct().collect())
+        levels = {c: sorted(row["v"] for row in found if row["c"] == c) for c in cols}
     dummies = [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")
-               for c in cols for v in sorted(levels[c])]
+               for c in cols for v in levels[c]]
     return df.select("*", *dummies).drop(*cols)
 
 
+def onehot_vectors(df: DataFrame, cols: list[str], levels_from: DataFrame | None = None) -> DataFrame:
+    """Each of ``cols`` replaced by a sparse vector ``<col>_vec`` with a one at
+    the value's place among the sorted values; NULL, and a value that
+    ``levels_from`` lacks, give all zeros.
+
+    The values are numbered in a written level table and joined to the rows;
+    the driver sees the number of levels of each column, no level.
+    """
+    source = df if levels_from is None else levels_from
+    levels = _values(source, cols).where(F.col("_v").isNotNull()).distinct()
+    codes = level_codes(levels, ["_v"])
+    sizes = {r["_c"]: r["n"] for r in codes.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = _coded(df, cols, codes)
+    for i, c in enumerate(cols):
+        n = sizes.get(i, 0)
+        if not n:
+            out = out.withColumn(f"{c}_vec", array_to_vector(F.array().cast("array<double>"))).drop(c)
+            continue
+        # a code beyond the levels is what the encoder drops: all zeros
+        out = out.withColumn(c, F.coalesce(c, F.lit(n)))
+        nominal = out.sparkSession.createDataFrame([(float(n - 1),)], f"`{c}` double")
+        encoder = OneHotEncoder(inputCols=[c], outputCols=[f"{c}_vec"], handleInvalid="keep", dropLast=True).fit(nominal)
+        out = encoder.transform(out).drop(c)
+    return out
+
+
 def prepare_features(requests: DataFrame, order_col: str = "request_id") -> DataFrame:
     """The model frame: codes, IP octets, one-hot columns."""
     coded = factorize(requests, CODED_COLUMNS, order_col)

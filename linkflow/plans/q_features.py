@@ -57,7 +57,19 @@ def factorize(spark, sf_dir):
 
 @register("onehot_features", _req_sql(f"SELECT r.request_id, {_ONEHOT} FROM req r"))
 def onehot_features(spark, sf_dir):
-    return FT.onehot(_facts(spark, sf_dir, "request_id", "gender", "age"))
+    return FT.onehot(_facts(spark, sf_dir, "request_id", "gender", "age"), levels={"gender": _GENDERS, "age": _AGES})
+
+
+@register("onehot_wide", _req_sql("""SELECT r.request_id, f.n AS size, f.k AS place FROM req r JOIN (
+  SELECT file_name, CAST(row_number() OVER (ORDER BY file_name) - 1 AS INTEGER) AS k, CAST(count(*) OVER () AS INTEGER) AS n
+  FROM (SELECT DISTINCT file_name FROM req)) f ON r.file_name = f.file_name"""))
+def onehot_wide(spark, sf_dir):
+    """File names, a domain that grows with the requests, as sparse vectors:
+    their size and the place of the one."""
+    vectors = FT.onehot_vectors(_facts(spark, sf_dir, "request_id", "file_name").checkpoint(), ["file_name"])
+    ones = F.get_json_object(F.to_json(F.struct(F.col("file_name_vec").alias("v"))), "$.v")
+    return vectors.select("request_id", F.get_json_object(ones, "$.size").cast("int").alias("size"),
+                          F.get_json_object(ones, "$.indices[0]").cast("int").alias("place"))
 
 
 MODEL_FEATURES_SQL = _req_sql(

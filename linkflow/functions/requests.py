@@ -53,9 +53,14 @@ def request_path(bucket: str, directory: str, index: Column) -> Column:
     return F.concat(F.lit(prefix + "/"), index.cast("string"), F.lit(".html"))
 
 
+def hour_text(day: Column, hour: Column) -> Column:
+    """The time header ``yyyy-MM-dd HH:00:00`` of a date and an hour."""
+    return F.format_string("%s %02d:00:00", day.cast("string"), hour)
+
+
 def hour_time(day: Column, hour: Column) -> Column:
-    """Timestamp ``yyyy-MM-dd HH:00:00`` from a date and an hour."""
-    return F.to_timestamp(F.format_string("%s %02d:00:00", day.cast("string"), hour))
+    """The header's time as a timestamp."""
+    return F.to_timestamp(hour_text(day, hour))
 
 
 def utf8(value: Column) -> Column:

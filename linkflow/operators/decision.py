@@ -45,8 +45,7 @@ def status_column(missing_country: str = "allow", health: bool = False) -> Colum
         found = found & F.col("country").isNotNull()
     status = F.when(F.coalesce(F.col("method"), F.lit("")) != "GET", F.lit(501))
     if health:
-        status = F.when((F.col("path") == "/health") & (F.col("method") == "GET"),
-                        F.lit(200)).otherwise(
+        status = F.when(is_health_check(), F.lit(200)).otherwise(
             status.when(R.is_banned(F.col("country")), F.lit(400))
             .when(found, F.lit(200)).otherwise(F.lit(404)))
         return status
@@ -54,11 +53,22 @@ def status_column(missing_country: str = "allow", health: bool = False) -> Colum
         found, F.lit(200)).otherwise(F.lit(404))
 
 
-def reason_column(status: Column) -> Column:
-    return (F.when(status == 501, F.lit(R.TEXT_NOT_IMPLEMENTED))
-            .when(status == 400, F.lit(R.TEXT_PERMISSION_DENIED))
-            .when(status == 404, F.concat(F.lit("No such object: "), F.col("file_name")))
-            .otherwise(F.lit("OK")))
+HEALTH_PATH = "/health"
+
+
+def is_health_check() -> Column:
+    return (F.col("path") == HEALTH_PATH) & (F.col("method") == "GET")
+
+
+def reason_column(status: Column, health: bool = False) -> Column:
+    reason = (F.when(status == 501, F.lit(R.TEXT_NOT_IMPLEMENTED))
+              .when(status == 400, F.lit(R.TEXT_PERMISSION_DENIED))
+              .when(status == 404, F.concat(F.lit("No such object: "), F.col("file_name")))
+              .otherwise(F.lit("OK")))
+    if not health:
+        return reason
+    # A health check is answered by the machine with its name.
+    return F.when(is_health_check(), F.concat(F.lit("OK: "), F.coalesce(F.col("vm_name"), F.lit("Unknown")))).otherwise(reason)
 
 
 def decide(requests: DataFrame, corpus_names: DataFrame, *,
@@ -68,7 +78,9 @@ def decide(requests: DataFrame, corpus_names: DataFrame, *,
 
     ``requests`` has ``request_id, method, path, x_country, ...``;
     ``corpus_names`` has one row per stored file, column ``file_name``;
-    ``listed``: it is a written listing that has each name once. Returns the request columns plus ``file_name, country, status, reason``.
+    ``listed``: it is a written listing that has each name once. With
+    ``health``, a GET of ``/health`` is answered by the machine (``vm_name``)
+    that it reached, whatever its country. Returns the request columns plus ``file_name, country, status, reason``.
     """
     prepared, found = prepare_requests(requests), F.lit(True).alias("found")
     if listed:
@@ -79,7 +91,7 @@ def decide(requests: DataFrame, corpus_names: DataFrame, *,
         joined = split_join(prepared, names, "file_name")
     status = status_column(missing_country, health)
     return (joined.withColumn("status", status)
-            .withColumn("reason", reason_column(F.col("status")))
+            .withColumn("reason", reason_column(F.col("status"), health))
             .drop("found"))
 
 

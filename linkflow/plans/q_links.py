@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkflow.functions.format import rank_report, stats_report
 from linkflow.functions.links import (
     ATTRIBUTE, LINE_LINK_PATTERN, MARKUP_PLAIN,
 )
@@ -226,6 +227,24 @@ def _sketched(spark, sf_dir):
     return degrees, read_table(spark, path)
 
 
+def _report_sql(value: str, label: str) -> str:
+    return f"""SELECT unnest([
+         printf('Average {label} Links: %.4f', avg), 'Max {label}: ' || max, 'Min {label}: ' || min, 'Median {label}: ' || median,
+         printf('20th Percentile: %.4f', p20), printf('40th Percentile: %.4f', p40),
+         printf('60th Percentile: %.4f', p60), printf('80th Percentile: %.4f', p80)]) AS line
+       FROM ({STATS_SQL.format(inner=f"SELECT count(*) AS d FROM links GROUP BY {value}")})"""
+
+
+@register("degree_report", T.with_views(
+    f"SELECT 'in' AS list, line FROM ({_report_sql('target', 'Incoming')}) "
+    f"UNION ALL SELECT 'out', line FROM ({_report_sql('source', 'Outgoing')})", "links"))
+def degree_report(spark, sf_dir):
+    """Both degree statistics as report lines with fixed decimals."""
+    lines = lambda stats, label, name: stats_report(stats, label).select(F.lit(name).alias("list"), "line")
+    return lines(in_degree_stats(spark, sf_dir), "Incoming", "in").unionByName(
+        lines(out_degree_stats(spark, sf_dir), "Outgoing", "out"))
+
+
 _EXACT = ["pages", "avg", "max", "min"]
 
 
@@ -297,3 +316,12 @@ def pagerank_convergence(spark, sf_dir):
     pagerank_run(links, stop="l1", threshold=0.0, max_iter=1, folder=folder)
     run = pagerank_run(links, stop="l1", threshold=0.0, max_iter=2, folder=folder)
     return run.history.select("round", F.round("difference", 6).alias("difference"))
+
+
+@register("rank_report", PAGERANK_CTES + """
+SELECT printf('Rank %d: %s, Score %.12f', position, page, rank) AS line
+FROM (SELECT page, rank, CAST(row_number() OVER (ORDER BY rank DESC, page) AS INTEGER) AS position
+      FROM (SELECT page, round(rank, 9) AS rank FROM r2)) WHERE position <= 5""")
+def rank_report_query(spark, sf_dir):
+    """The top five as report lines."""
+    return rank_report(pagerank_top5(spark, sf_dir))

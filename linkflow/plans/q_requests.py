@@ -146,3 +146,27 @@ def log_records(spark, sf_dir):
     "FROM requests_raw GROUP BY 1", "requests_raw"))
 def responses_by_vm(spark, sf_dir):
     return D.responses_by_vm(T.requests_raw(spark, sf_dir))
+
+
+@register("request_health", T.with_views(
+    f"""SELECT request_id, CASE WHEN health THEN 200 ELSE status END AS status,
+               CASE WHEN health THEN 'OK: ' || coalesce(vm_name, 'Unknown') ELSE {_REASON_SQL} END AS reason
+        FROM (SELECT *, path = '/health' AND method = 'GET' AS health FROM dec)""",
+    "requests_raw", "files", ctes=[
+        ("checked", "SELECT * REPLACE (CASE WHEN request_id % 10 = 3 THEN '/health' ELSE path END AS path) FROM requests_raw"),
+        ("dec", dec_sql(False).replace("FROM requests_raw", "FROM checked"))]))
+def request_health(spark, sf_dir):
+    """Decisions where every tenth request is a health check."""
+    raw = T.requests_raw(spark, sf_dir).withColumn(
+        "path", F.when(F.col("request_id") % 10 == 3, D.HEALTH_PATH).otherwise(F.col("path")))
+    decided = D.decide(raw, T.files(spark, sf_dir), health=True)
+    return decided.select("request_id", "status", "reason")
+
+
+@register("request_hour", """SELECT event_id AS request_id, strftime(ts, '%Y-%m-%d %H:00:00') AS time_text,
+       CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time FROM events""")
+def request_hour(spark, sf_dir):
+    """The time header of each request and the time it stands for."""
+    day, hour = F.to_date("ts"), F.hour("ts")
+    return T.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), R.hour_text(day, hour).alias("time_text"), R.hour_time(day, hour).alias("time"))

@@ -51,6 +51,8 @@ def test_decision_precedence(reqs, names):
 def test_health_branch(spark, names):
     df = spark.createDataFrame([_req(1, "GET", "/health", None)], SCHEMA)
     assert D.decide(df, names, health=True).first().status == 200
+    both = D.decide(df.withColumn("vm_name", F.lit("www1")).unionByName(df.withColumn("vm_name", F.lit(None).cast("string"))), names, health=True)
+    assert sorted(r.reason for r in both.collect()) == ["OK: Unknown", "OK: www1"]
     assert D.decide(df, names).first().status == 404
 
 

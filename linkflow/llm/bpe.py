@@ -68,6 +68,25 @@ class Compatible(Memo):
                 j += 1
 
 
+class Recent(Memo):
+    """A memo in two halves: when the newer one is full, the older one goes and
+    what is asked for again moves on, so words in use are not made anew."""
+
+    def __init__(self, make, longest: int = 64, entries: int = MEMO_ENTRIES):
+        super().__init__(make, longest, entries // 2)
+        self.older: dict = {}
+
+    def __missing__(self, word):
+        if (value := self.older.get(word)) is None:
+            value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes texts; words seen before are looked up."""
 
@@ -80,7 +99,17 @@ class Encoder:
             if token and i not in special and (len(token) == 1 or i in v.parts):
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
+        self.tokens = pa.array(v.tokens, pa.binary())
         self.pieces = ByPiece(lambda w: pack(f"<{len(ids := self.word_ids(w.encode()))}i", *ids), b"".join, MEMO_ENTRIES // 3)
+        self.pieces.later = Recent(self._later, entries=MEMO_ENTRIES // 3)
+
+    def _later(self, piece: str) -> bytes:
+        """The ids of a piece and the space before it; one of ASCII letters is
+        one word, and is remembered as a piece only."""
+        if piece.isascii() and piece.isalpha():
+            ids = self.word_ids(b" " + piece.encode())
+            return pack(f"<{len(ids)}i", *ids)
+        return self.pieces.whole(" " + piece)
 
     def word_ids(self, word: bytes) -> list[int]:
         n = len(word)
@@ -105,9 +134,17 @@ class Encoder:
             out += [np.array([self.v.special[run]], "<i4").tobytes()] if k % 2 else self.pieces.values(run)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ``ids``, special tokens as their strings."""
-        return b"".join(map(self.v.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ``ids`` cut at ``ends``, special tokens as their
+        strings: the tokens' bytes are gathered in one buffer, cut by document."""
+        parts = self.tokens.take(pa.array(ids))
+        at = np.frombuffer(parts.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        whole = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(at[ends].astype(np.int32)), parts.buffers()[2] or pa.py_buffer(b""))
+        try:
+            whole.validate(full=True)
+        except pa.ArrowInvalid:  # ids that stand for no UTF-8
+            return pa.array([t.decode("utf-8", "replace") for t in whole.cast(pa.binary()).to_pylist()], pa.string())
+        return whole
 
 
 def encoder(path: str) -> Encoder:
@@ -123,8 +160,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             raw = [e.encode(t or "") for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
             ids = np.frombuffer(b"".join(raw), "<i4")
-            texts = [e.decode(ids[s:t]) for s, t in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), e.decode(ids, ends)], ["id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = mapped(slim, run, f"id {slim.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -79,8 +79,11 @@ class ByPiece:
 
     def __init__(self, of_word: Callable, add: Callable, pieces: int = MEMO_ENTRIES):
         self.by_word = Memo(of_word, entries=pieces // 4)
-        whole = lambda t: add(map(self.by_word.__getitem__, words(t)))
-        self.first, self.later = Memo(whole, entries=pieces // 8), Memo(lambda p: whole(" " + p), entries=pieces)
+        self.add = add
+        self.first, self.later = Memo(self.whole, entries=pieces // 8), Memo(lambda p: self.whole(" " + p), entries=pieces)
+
+    def whole(self, text: str):
+        return self.add(map(self.by_word.__getitem__, words(text)))
 
     def values(self, text: str) -> list:
         if _adjacent.search(text):

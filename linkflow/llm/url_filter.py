@@ -6,7 +6,9 @@ digit ratio, character entropy, parameter count, host labels, and statistics
 of the host's suffix (its last two labels): how many URLs of the table have it and the
 smoothed share of its ruled URLs that are blocked. The labels are the verdicts
 of the rules; the trees are fitted on the ``fit_rows`` labelled URLs of smallest
-hash (a bounded sample), the suffix statistics cover the whole table.
+hash (a bounded sample), the suffix statistics cover the whole table. A ruled URL's
+share is that of the other FOLDS - 1 folds (by the URL's hash), so no label is
+seen in its own feature.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 no rule, and the features of an empty text; when fewer than two verdicts occur
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from linkflow.llm.common import written
 
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "params", "host_labels", "suffix_log_urls", "suffix_blocked"]
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,11 +97,18 @@ def judge(pages: DataFrame, rules: list[Rule], fit_rows: int = 20_000, trees: in
     rows = written(features(parsed.withColumns({"rule": text, "ruled": ruled})), "url-features")
 
     blocked = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0)
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    of_fold = lambda f: F.when(fold == f, blocked)
     suffixes = rows.groupBy("suffix").agg(
         F.log1p(F.count("*")).alias("suffix_log_urls"),
-        ((F.coalesce(F.sum(blocked), F.lit(0.0)) + 1) / (F.count("ruled") + 2)).alias("suffix_blocked"),
+        F.array(*(F.coalesce(F.sum(of_fold(f)), F.lit(0.0)) for f in range(FOLDS))).alias("blocked_by_fold"),
+        F.array(*(F.count(of_fold(f)) for f in range(FOLDS))).alias("labels_by_fold"),
     )
-    full = rows.join(suffixes, "suffix").withColumn("label", blocked)
+    # written: Spark can split a hot suffix's rows only where both sides are plain
+    suffixes = written(suffixes, "url-suffixes").withColumnRenamed("suffix", "of_suffix")
+    others = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - F.when(blocked.isNotNull(), c[fold]).otherwise(0.0)
+    share = (others(F.col("blocked_by_fold")) + 1) / (others(F.col("labels_by_fold")) + 2)
+    full = rows.join(suffixes, F.col("suffix").eqNullSafe(F.col("of_suffix"))).withColumns({"suffix_blocked": share, "label": blocked}).drop("of_suffix", "blocked_by_fold", "labels_by_fold")
     labels = {r["ruled"]: r["count"] for r in rows.where("ruled is not null").groupBy("ruled").count().collect()}  # two verdicts
     if len(labels) < 2:
         score = F.lit(1.0 if "block" in labels else 0.0)

@@ -241,6 +241,35 @@ def test_url_trees_on_held_out_labels(spark):
     assert sum((r["blocked_score"] >= 0.5) == (r["verdict"] == "block") for r in out) > 0.97 * len(out)
 
 
+def test_url_trees_on_urls_outside_the_fit(spark):
+    """The same kinds of URLs on hosts that no rule fits: judged by the trees alone."""
+    rng = random.Random(4)
+    good = lambda host, i: f"http://site{i % 7}.{host}/docs/page-{rng.choice('abcdef')}"
+    bad = lambda host, i: f"http://x{rng.randint(10**6, 10**9)}.{host}/a/b/c?u={i}&v=1&w={rng.randint(0, 10**9)}"
+    rows = [(i, (bad if i % 2 else good)("example.org" if i < 600 else "example.net", i)) for i in range(1000)]
+    rules = [url_filter.rule("block", "example.org/a/"), url_filter.rule("allow", "example.org/docs/")]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(out) == 400 and sum((r["verdict"] == "block") == r["page_id"] % 2 for r in out) > 380
+
+
+@pytest.mark.parametrize("suffixes", [1500, 30])
+def test_url_trees_do_not_read_labels_from_the_suffix(spark, suffixes):
+    """Coin-flip labels: nothing can be learnt, also on the rows of the fit."""
+    rng = random.Random(6)
+    coin = [rng.random() < 0.5 for _ in range(1500)]
+    rows = [(i, f"http://h{i}.s{i % suffixes}.org/{'b' if c else 'a'}/{'x' * (i % 9)}") for i, c in enumerate(coin)]
+    rules = [url_filter.rule("block" if v == "b" else "allow", f"s{k}.org/{v}/") for k in range(suffixes) for v in "ab"] if suffixes < 100 else [url_filter.rule("block", "org/b/"), url_filter.rule("allow", "org/a/")]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    right = sum((r["blocked_score"] >= 0.5) == coin[r["page_id"]] for r in out) / len(out)
+    assert 0.4 < right < 0.72, right
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://com/" + "a" * 200_000), (2, "http://x.net/es/" + "%20" * 100_000), (3, "x" * 300_000), (4, "http://example.com/en/?" + "&".join(f"k{i}=v" for i in range(50_000)))]
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert got[1][:2] == ("com", "com/") and got[2] == ("x.net", "net/es/", "block") and got[3][:2] == ("", None) and got[4] == ("example.com", "example.com/en/", "block")
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -334,6 +363,29 @@ def plain_leaks(rows, items, similarity=0.75):
     return out
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "long", "struct<a:int,b:string>"])
+def test_decontamination_with_item_ids_of_any_type(spark, kind):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    make = {"string": lambda k: f"item {k}", "int": lambda k: k, "long": lambda k: k, "struct<a:int,b:string>": lambda k: (k, "b")}[kind]
+    bench = spark.createDataFrame([(None, text(0)), (make(1), text(1)), (make(1), text(1)), (make(2), None)], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([("d0", f"before {text(0)} after"), ("d1", text(1)), (None, text(1)), ("d3", "other")], "doc_id string, text string")
+    got = Counter((r["doc_id"], r["item_id"] if not isinstance(r["item_id"], tuple) else tuple(r["item_id"])) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == {("d0", None): 1, ("d1", make(1)): 2, (None, make(1)): 2}
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == ["d3"]
+
+
+def test_share_of_unrelated_prints_that_the_blocks_pass():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 16, (600, decontaminate.BLOCKS), dtype=np.uint16) for _ in range(2))
+    passed = np.zeros((600, 600), bool)
+    for k in range(decontaminate.BLOCKS):
+        passed |= np.bitwise_count(a[:, k, None] ^ b[:, k]) <= decontaminate.RADIUS // decontaminate.BLOCKS
+    assert 0.5 < passed.mean() < 0.65
+    w, i, far = decontaminate.within_radius(a, b)
+    want = np.bitwise_count(a[:, None] ^ b).sum(axis=2) <= decontaminate.RADIUS
+    assert sorted(zip(w.tolist(), i.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(want)))) and (far <= decontaminate.RADIUS).all()
+
+
 def test_decontamination_of_documents_shorter_than_the_item(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))

@@ -12,11 +12,12 @@ span touches and that accepted patterns score highly enough are added as spans
 of their kind.
 
 The graph has a row for each pattern and distinct instance (sums made before
-the shuffle); a pattern as frequent as any word is a hot key only of joins,
-which AQE splits.
+the shuffle); a pattern or value as frequent as any word is a hot key only of joins
+with written tables, which AQE splits.
 
 Spans are code points, end exclusive. They come from what ``split`` leaves
-between the matches, so each pattern is matched twice and no text is moved.
+between the matches, so each pattern is matched twice and no text is moved; the
+work on a text grows in proportion to it, however many matches it has.
 Atomic groups keep the matching linear; where a greedy loop could never give
 back characters with success, they match the same. An email may start only
 where a run of its characters starts or the last match ended.
@@ -42,8 +43,8 @@ PATTERNS = {
 }
 #: What an identifier-like run is: a word with a digit or @, and the groups of digits after it.
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(]?+[0-9]\S*+)*+"
-#: Characters on each side of a run in which its neighbouring words are looked for.
-CONTEXT = 64
+#: Items of an array that are appended to at once; characters of a block that a part of a text is taken from.
+SCANNED, BLOCK = 128, 4096
 #: Bytes of a span in an array of Spark's rows: its place, null bits and three fields.
 SPAN_BYTES = 40
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -73,14 +74,44 @@ def valid(kind: str, match: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once (lambdas evaluate what they name each time)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(items: Column, element: str, step) -> Column:
+    """struct(at, out): ``step(at, item)`` gives the next ``at`` (from 0) and an
+    array of ``element`` to append. Arrays are appended to in slices of SCANNED
+    items and then slice by slice, as each append copies the array."""
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def inner(acc, x):
+        to, more = step(acc["at"], x)
+        return F.struct(to.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def outer(acc, part):
+        own = F.aggregate(part, F.struct(acc["at"].alias("at"), empty(element).alias("out")), inner)
+        return bind(own, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def whole(all_items):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(SCANNED))
+        parts = F.transform(starts, lambda i: F.slice(all_items, i, F.lit(SCANNED)))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty(f"array<{element}>").alias("outs")), outer)
+
+    return bind(bind(items, whole), lambda r: F.struct(r["at"].alias("at"), F.flatten(r["outs"]).alias("out")))
+
+
 def placed(text: Column, pattern: str, match: Column) -> Column:
     """array<struct(value, start, end)> of the matches (an array column)."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    lengths = F.transform(match, lambda m: F.char_length(m))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    spans = F.aggregate(steps, zero, lambda acc, s: F.struct((acc["at"] + s["gap"] + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["n"]).alias("end")))).alias("out")))["out"]
-    return F.when(F.size(match) > 0, F.zip_with(match, spans, lambda m, s: F.struct(m.alias("value"), s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(match)), match, lambda g, m: F.struct(g.alias("gap"), m.alias("value"), F.char_length(m).alias("n")))
+
+    def step(at, s):
+        end = at + s["gap"] + s["n"]
+        return end, F.array(F.struct(s["value"].alias("value"), (at + s["gap"]).alias("start"), end.alias("end")))
+
+    kind = "struct<value:string,start:int,end:int>"
+    return F.when(F.size(match) > 0, scan(steps, kind, step)["out"]).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def checked(kind: str):
@@ -107,19 +138,43 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def seed_of(run: Column, base: list[Column], powers: list[Column]) -> Column:
+    """The kind of the first base span that touches the run, else -1. A kind's
+    spans don't overlap, so a binary search (by falling powers of two) finds the
+    first one that ends behind the run's start."""
+    def of_kind(k):
+        own = base[k]
+        ends_before = lambda at, p: F.get(own, at + p - 1)["end"] <= run["start"]
+        first = F.aggregate(powers[k], F.lit(0), lambda at, p: F.when(F.coalesce(ends_before(at, p), F.lit(False)), at + p).otherwise(at))
+        return bind(F.get(own, first), lambda b: F.when(b["start"] < run["end"], F.struct(b["start"].alias("start"), F.lit(k).alias("kind"))))
+
+    touching = F.array(*(of_kind(k) for k in range(len(KINDS))))
+    return F.coalesce(F.array_min(touching)["kind"], F.lit(-1))
+
+
 def instances(text: Column, base: Column, found: Column) -> Column:
-    """The identifier-like runs with their neighbouring words and seed kind."""
-    runs = placed(text, RUN, found)
-    left = lambda r: F.substring(text, F.greatest(r["start"] - CONTEXT, F.lit(0)) + 1, F.least(r["start"], F.lit(CONTEXT)))
-    right = lambda r: F.substring(text, r["end"] + 1, F.lit(CONTEXT))
-    seed = lambda r: F.filter(base, lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-    return F.transform(runs, lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"),
-        F.lower(F.regexp_replace(r["value"], r"[^\p{L}\p{N}@.]", "")).alias("value"),
-        F.concat(F.lit("L:"), F.lower(F.regexp_extract(left(r), r"([^\s0-9]+)\s*$", 1))).alias("left"),
-        F.concat(F.lit("R:"), F.lower(F.regexp_extract(right(r), r"^\s*([^\s0-9]+)", 1))).alias("right"),
-        F.element_at(F.concat(F.transform(seed(r), lambda b: b["kind"]), F.array(F.lit(-1))), 1).alias("seed"),
-    ))
+    """The identifier-like runs with their neighbouring words and seed kind.
+    The words come from the gaps that ``split`` leaves; where a gap is blank, from the
+    run beyond it (its part up to a digit)."""
+    words = F.transform(F.split(text, RUN, -1), lambda g: bind(F.filter(F.split(g, r"\s++"), lambda w: w != ""), lambda w: F.struct(F.get(w, F.lit(0)).alias("first"), F.get(w, F.size(w) - 1).alias("last"))))
+    of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
+    own = [of_kind(k) for k in range(len(KINDS))]
+    powers = lambda n: F.transform(F.sequence(F.floor(F.log2(n + 1)).cast("int"), F.lit(0)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    held = F.struct(placed(text, RUN, found).alias("runs"), words.alias("words"), *(c.alias(f"own{k}") for k, c in enumerate(own)), *(powers(F.size(c)).alias(f"powers{k}") for k, c in enumerate(own)))
+    tail = lambda r: F.regexp_extract(r["value"], r"(?s)^(?:.*[\s0-9])?+([^\s0-9]*+)$", 1)
+    head = lambda r: F.regexp_extract(r["value"], r"^([^\s0-9]*+)", 1)
+
+    def of_text(h):
+        base_of, powers_of = [h[f"own{k}"] for k in range(len(KINDS))], [h[f"powers{k}"] for k in range(len(KINDS))]
+        left = lambda i: F.coalesce(F.get(h["words"], i)["last"], F.when(i > 0, tail(F.get(h["runs"], i - 1))), F.lit(""))
+        right = lambda i: F.coalesce(F.get(h["words"], i + 1)["first"], head(F.get(h["runs"], i + 1)), F.lit(""))
+        return F.transform(h["runs"], lambda r, i: F.struct(
+            r["start"].alias("start"), r["end"].alias("end"),
+            F.lower(F.regexp_replace(r["value"], r"[^\p{L}\p{N}@.]", "")).alias("value"),
+            F.concat(F.lit("L:"), F.lower(left(i))).alias("left"), F.concat(F.lit("R:"), F.lower(right(i))).alias("right"),
+            seed_of(r, base_of, powers_of).alias("seed")))
+
+    return bind(held, of_text)
 
 
 def discovered(rows: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
@@ -127,16 +182,17 @@ def discovered(rows: DataFrame, rounds: int, min_support: int, min_confidence: f
     runs = rows.select("id", "key", F.explode("runs").alias("r")).select("id", "key", "r.*")
     edges = written(runs.select("value", "seed", F.explode(F.array("left", "right")).alias("pattern")).where(F.length("pattern") > 2)
                     .groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    score = edges.select("value", "seed").where("seed >= 0").distinct().select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = written(edges.where("seed >= 0").select("value", "seed").distinct().select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")), "pii-seeds")
+    score = seeds
+    degree = written(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-degrees")
     for step in range(rounds):
         of_kind = edges.select("pattern", "value").join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.count("*").alias("support")).where(F.col("support") >= min_support)
         accepted = of_kind.join(degree, "pattern").withColumn("confidence", F.col("total") / (F.col("n") + 1)).where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
+        accepted = written(accepted, f"pii-accepted-{step}")
         reached = edges.where("seed < 0").join(accepted, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        seeds = edges.select("value", "seed").where("seed >= 0").distinct().select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
         score = written(seeds.unionByName(reached).groupBy("value", "kind").agg(F.max("score").alias("score")), f"pii-scores-{step}")
     best = score.where(F.col("score") >= min_confidence).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k")))["k"].alias("k")).select("value", (-F.col("k")).alias("kind"))
-    added = runs.where("seed < 0").join(best, "value")
+    added = runs.where("seed < 0").join(written(best, "pii-best"), "value")
     return added.groupBy("id", "key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("found"))
 
 
@@ -155,12 +211,25 @@ def find(docs: DataFrame, rounds: int = 2, min_support: int = 5, min_confidence:
     return joined.withColumn("spans", F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "found")))).drop("found")
 
 
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, taken from the blocks that hold it."""
+    first = F.floor(start / BLOCK).cast("int")
+    own = F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+    return F.when(end > start, F.substr(F.array_join(own, ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span (overlapping ones as one, named after the first) as ``[KIND]``."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = F.aggregate(spans, zero, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
-    return F.concat(F.array_join(end["out"], ""), F.substring(text, end["at"] + 1, F.char_length(text)))
+
+    def of_blocks(blocks):
+        def step(at, s):
+            new = F.array(part(blocks, at, s["start"]), F.element_at(names, s["kind"] + 1))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, new).otherwise(F.array().cast("array<string>"))
+
+        return bind(scan(spans, "string", step), lambda r: F.concat(F.array_join(r["out"], ""), part(blocks, r["at"], F.char_length(text))))
+
+    return bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), of_blocks)
 
 
 def mask_documents(docs: DataFrame, **options) -> DataFrame:
@@ -169,6 +238,6 @@ def mask_documents(docs: DataFrame, **options) -> DataFrame:
     found = written(found.select(*(F.col(c).alias(f"__{c}") for c in found.columns)), "pii-spans")
     text = F.coalesce("text", F.lit(""))
     joined = docs.withColumn("__text", F.xxhash64(text)).join(small(found, row_bytes=128, more=SPAN_BYTES * F.size("__spans")), F.expr("doc_id <=> __id AND __text = __key"), "left")
-    changed = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
-    new = {"text": changed, "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(changed).cast("long")) if "n_chars" in docs.columns else None}
+    joined = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), masked(F.col("text"), F.col("__spans"))))
+    new = {"text": F.coalesce("__new", "text"), "n_chars": F.coalesce(F.char_length("__new").cast("long"), "n_chars") if "n_chars" in docs.columns else None}
     return joined.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))

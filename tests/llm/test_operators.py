@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -305,6 +306,34 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert masked[50] == "please call [PHONE] today" and masked[3] == "some words then call [PHONE] today ok 3 pages"
 
 
+def test_pii_takes_texts_of_many_matches(spark):
+    """20,000 runs in one text, with and without runs between: seconds, spans and masks right."""
+    many = " ".join(f"u{i}@mail{i % 7}.org, 10.0.{i % 300}.{i % 256}" if i % 2 else f"word {i}" for i in range(20_000))
+    docs = docs_of(spark, [(1, many), (2, "x" * 10_000 + "@" + "a.b")])
+    began = time.monotonic()
+    got = {r["id"]: r for r in pii.find(docs).select("id", pii.shown(F.col("base")).alias("base"), F.size("spans").alias("n")).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_documents(docs).collect()}
+    assert time.monotonic() - began < 120
+    assert got[1]["base"] == plain_base(many) and masked[2] == "[EMAIL]"
+    spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in plain_base(many).split(","))]
+    want, at = [], 0
+    for s, e, k in spans:
+        if s >= at:
+            want += [many[at:s], f"[{k.upper()}]"]
+        at = max(at, e)
+    assert masked[1] == "".join(want) + many[at:]
+
+
+def test_mask_documents_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, null ids; clashing columns come back as they were."""
+    rows = [(1, None), (2, ""), (3, "call a@b.com é🤖 a@b.com"), (3, "call a@b.com é🤖 a@b.com"), (None, "10.0.0.1"), (4, "🤖" * 5000 + " 10.0.0.1 " + "🤖" * 5000)]
+    docs = spark.createDataFrame([(i, t, "s", 7, 9) for i, t in rows], "doc_id long, text string, base string, spans int, n_chars int")
+    got = bag(pii.mask_documents(docs).collect())
+    swap = lambda t: t and t.replace("a@b.com", "[EMAIL]").replace("10.0.0.1", "[IP]")
+    assert got == bag((i, swap(t), "s", 7, len(swap(t)) if t and swap(t) != t else 9) for i, t in rows)
+    assert pii.mask_documents(docs.limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))

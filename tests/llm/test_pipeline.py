@@ -79,8 +79,8 @@ def plain_masked(rows, rounds=2, min_support=5, min_confidence=0.8):
         for m in run.finditer(t):
             seed = next((k for s, k, e in base[-1] if s < m.end() and e > m.start()), -1)
             value = "".join(c for c in m[0] if c.isalpha() or c.isnumeric() or c in "@.").lower()
-            left = re.search(r"([^\s0-9]+)\s*$", t[max(m.start() - 64, 0):m.start()], re.ASCII)
-            right = re.match(r"\s*([^\s0-9]+)", t[m.end():m.end() + 64], re.ASCII)
+            left = re.search(r"([^\s0-9]+)\s*$", t[:m.start()], re.ASCII)
+            right = re.match(r"\s*([^\s0-9]+)", t[m.end():], re.ASCII)
             for side, x in (("L", left), ("R", right)):
                 if x:
                     edge = (side + x[1].lower(), value)

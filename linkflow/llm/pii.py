@@ -101,10 +101,10 @@ def scan(items: Column, element: str, step) -> Column:
     return bind(bind(items, whole), lambda r: F.struct(r["at"].alias("at"), F.flatten(r["outs"]).alias("out")))
 
 
-def placed(text: Column, pattern: str, match: Column) -> Column:
-    """array<struct(value, start, end)> of the matches (an array column)."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(match)), match, lambda g, m: F.struct(g.alias("gap"), m.alias("value"), F.char_length(m).alias("n")))
+def placed(gaps: Column, match: Column) -> Column:
+    """array<struct(value, start, end)> of the matches and the gaps around them
+    (array columns); without matches the gaps are not looked at."""
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(match)), match, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("value"), F.char_length(m).alias("n")))
 
     def step(at, s):
         end = at + s["gap"] + s["n"]
@@ -128,7 +128,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def base_spans(text: Column, found: list[Column]) -> Column:
     """The base spans in order of start and kind; ``found``: each kind's matches."""
-    each = [F.transform(F.filter(placed(text, PATTERNS[kind], m), checked(kind)), numbered(k)) for k, (kind, m) in enumerate(zip(KINDS, found))]
+    each = [F.transform(F.filter(placed(F.split(text, PATTERNS[kind], -1), m), checked(kind)), numbered(k)) for k, (kind, m) in enumerate(zip(KINDS, found))]
     return F.array_sort(F.concat(*each))
 
 
@@ -156,11 +156,12 @@ def instances(text: Column, base: Column, found: Column) -> Column:
     """The identifier-like runs with their neighbouring words and seed kind.
     The words come from the gaps that ``split`` leaves; where a gap is blank, from the
     run beyond it (its part up to a digit)."""
-    words = F.transform(F.split(text, RUN, -1), lambda g: bind(F.filter(F.split(g, r"\s++"), lambda w: w != ""), lambda w: F.struct(F.get(w, F.lit(0)).alias("first"), F.get(w, F.size(w) - 1).alias("last"))))
+    words = lambda gaps: F.transform(gaps, lambda g: bind(F.filter(F.split(g, r"\s++"), lambda w: w != ""), lambda w: F.struct(F.get(w, F.lit(0)).alias("first"), F.get(w, F.size(w) - 1).alias("last"))))
     of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
     own = [of_kind(k) for k in range(len(KINDS))]
     powers = lambda n: F.transform(F.sequence(F.floor(F.log2(n + 1)).cast("int"), F.lit(0)), lambda e: F.pow(F.lit(2), e).cast("int"))
-    held = F.struct(placed(text, RUN, found).alias("runs"), words.alias("words"), *(c.alias(f"own{k}") for k, c in enumerate(own)), *(powers(F.size(c)).alias(f"powers{k}") for k, c in enumerate(own)))
+    held = lambda gaps: F.struct(placed(gaps, found).alias("runs"), words(gaps).alias("words"), *(
+        c.alias(f"own{k}") for k, c in enumerate(own)), *(powers(F.size(c)).alias(f"powers{k}") for k, c in enumerate(own)))
     tail = lambda r: F.regexp_extract(r["value"], r"(?s)^(?:.*[\s0-9])?+([^\s0-9]*+)$", 1)
     head = lambda r: F.regexp_extract(r["value"], r"^([^\s0-9]*+)", 1)
 
@@ -174,7 +175,8 @@ def instances(text: Column, base: Column, found: Column) -> Column:
             F.concat(F.lit("L:"), F.lower(left(i))).alias("left"), F.concat(F.lit("R:"), F.lower(right(i))).alias("right"),
             seed_of(r, base_of, powers_of).alias("seed")))
 
-    return bind(held, of_text)
+    whole = bind(bind(F.split(text, RUN, -1), held), of_text)
+    return F.when(F.size(found) > 0, whole).otherwise(F.array())
 
 
 def discovered(rows: DataFrame, rounds: int, min_support: int, min_confidence: float) -> DataFrame:

@@ -74,7 +74,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     master = spark.sparkContext.master if _has_context(spark) else ""
-    if not master.startswith("local"):
+    if not master.startswith("local") or master.startswith("local-cluster"):
         # On a cluster a machine-local folder would lose checkpoints with the
         # machine; the shared folder has to be configured.
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")

@@ -19,8 +19,8 @@ still lacks chances is found while signing, and its band is signed again finer.
 set has cost nothing, so a set spends its spare chances on skipping its most
 frequent ones; it probes only the cheapest of the rest, and a set whose unshared
 signatures suffice probes none: ordinary texts, also those with a passage in
-common, end here. A signature that many sets of one slice have is known to
-be shared, so those rows are salted and only one is counted with the others.
+common, end here. A signature that HOT sets of one task have is known to be
+shared, so further rows are salted and a task counts few with the others'.
 
 *Verification.* The sets of the probing documents and their partners are cut
 to single shingles, the finest universe partition, with the same allocation:
@@ -34,7 +34,13 @@ These pairs are verified exactly too.
 So a group of many copies costs links to its hub, not all its pairs, and no link between
 different components is lost.
 
-Exact copies of a text are one node throughout (its 64-bit hash).
+Exact copies of a text are one node throughout: its 64-bit hash, or, where
+texts that an independent second hash tells apart have that in common, a third
+hash for all but the first of them.
+
+*Hot keys.* Counts by signature or shingle are aggregates, combined before
+the shuffle and written before they are joined, so that AQE can split a
+signature, shingle or component that many rows have.
 
 Defined results: null, empty and blank texts have no shingles and are linked
 with nothing, each a component of its own; repeated ids and rows keep their
@@ -49,7 +55,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkflow.llm.common import hold, mapped, sliced, small, utf8, written
@@ -57,10 +63,12 @@ from linkflow.llm.decontaminate import hashed, mix, shingles
 from linkflow.llm.graph import components
 
 SIZE = 5
-#: Rows of a slice that share a signature before they are salted; rows of a slice; salts.
-HOT, SLICE, SALTS = 32, 1024, 64
+#: Rows of a signature that a task sends before it salts the rest; rows of a slice.
+HOT, SLICE = 16, 1024
+#: Repeated signatures that a task remembers before it starts anew.
+WARM = 1 << 18
 OWN, MUST, INDEX, META, SHORT, GHOST = range(6)
-ROWS = "sig long, node long, info int, kind byte, salt byte"
+ROWS = "sig long, node long, info int, kind byte, salt int"
 
 
 def text_set(text: bytes) -> np.ndarray:
@@ -118,10 +126,36 @@ def signatures(h: np.ndarray, band: int, finer: int = 0) -> tuple[np.ndarray, np
     return np.concatenate([whole, rest]), np.concatenate([must, np.ones(len(rest), bool)]), chances
 
 
+class Warm:
+    """The signatures that a task met more than once in a slice, with its rows of each."""
+
+    def __init__(self):
+        self.sig, self.rows = np.array([], np.uint64), np.array([], np.int64)
+
+    def add(self, sig: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows of each of ``sig`` (sorted, distinct) before; ``count`` more are noted."""
+        at = np.searchsorted(self.sig, sig)
+        met = np.zeros(len(sig), bool)
+        inside = at < len(self.sig)
+        met[inside] = self.sig[at[inside]] == sig[inside]
+        before = np.zeros(len(sig), np.int64)
+        before[met] = self.rows[at[met]]
+        self.rows[at[met]] += count[met]
+        new = ~met & (count > 1)
+        if new.any():
+            both = np.concatenate([self.sig, sig[new]])
+            order = np.argsort(both, kind="stable")
+            self.sig, self.rows = both[order], np.concatenate([self.rows, count[new]])[order]
+        if len(self.sig) > WARM:
+            self.__init__()
+        return before
+
+
 def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
     """ROWS of each (node, text). ``finer``: only these bands, so much finer."""
     def run(batches):
         hold()
+        warm, salted = Warm(), 0
         for b in sliced(batches, SLICE):
             parts = []
             for node, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
@@ -146,15 +180,17 @@ def signed(texts: DataFrame, finer: dict[int, int] | None = None) -> DataFrame:
             node = np.repeat(np.array([p[1] for p in parts], np.int64), many)
             info = np.repeat(np.array([p[2] for p in parts], np.int32), many)
             kind = np.concatenate([p[3] for p in parts] or [[]]).astype(np.int8)
-            salt = np.zeros(len(sig), np.int8)
-            _, first, inverse, count = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
-            if (count >= HOT).any():
-                often = count[inverse] >= HOT
-                salt[often] = 1 + np.flatnonzero(often) % SALTS
-                lead = first[count >= HOT]
-                salt[lead] = 0
+            salt = np.zeros(len(sig), np.int32)
+            values, first, inverse, count = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+            before = warm.add(values, count)
+            often = before + count >= HOT
+            if often.any():
+                rows = np.flatnonzero(often[inverse])
+                salt[rows] = 1 + (salted + np.arange(len(rows))) % (1 << 30)
+                salted += len(rows)
+                lead = first[often & (before == 0)]  # of the others, earlier rows were counted
                 sig, node, info = (np.append(x, x[lead]) for x in (sig, node, info))
-                kind, salt = np.append(kind, np.full(len(lead), GHOST, np.int8)), np.append(salt, np.zeros(len(lead), np.int8))
+                kind, salt = np.append(kind, np.full(len(lead), GHOST, np.int8)), np.append(salt, np.zeros(len(lead), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(info), pa.array(kind), pa.array(salt)], ["sig", "node", "info", "kind", "salt"])
 
     return mapped(texts.select("node", "text"), run, ROWS)
@@ -192,7 +228,7 @@ def candidates(shared: DataFrame) -> DataFrame:
     spare = own.groupBy("node").agg(F.count(F.when(F.col("kind") == OWN, 1)).alias("open"), F.count(F.when(F.col("kind") == MUST, 1)).alias("must"), F.max("info").alias("slack")).where("must > 0 OR open > slack")
     cheapest = F.row_number().over(Window.partitionBy("node", "kind").orderBy("cnt", "sig"))
     probes = own.join(spare, "node").withColumn("rank", cheapest).where(f"kind = {MUST} OR rank <= open - slack")
-    sigs = probes.select("sig").distinct()
+    sigs = written(probes.select("sig").distinct(), "jaccard-probed")
     return shared.where(f"kind <= {INDEX}").join(sigs, "sig", "left_semi").select("node").distinct()
 
 
@@ -209,19 +245,22 @@ def similar(counted: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): verified links that connect all that is connected among ``sets``."""
+    df = sets.select(F.explode("set").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     single = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("gram"))
-    grams = written(single.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1"), "jaccard-grams")
+    grams = written(single.join(written(df, "jaccard-df"), "gram"), "jaccard-grams")
     full = grams.groupBy("node").agg(F.count("*").alias("avail"), F.first("n").alias("n")).where("avail >= ceil(0.75 * n)")
     full = written(full, "jaccard-full")
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "gram"))
     probing = full.where("n - avail <= n div 7")
     probes = grams.drop("n").join(probing, "node").withColumn("rank", rarest).where("rank <= n div 7 + 1 - (n - avail)").select("gram", "node", "n", "avail")
     probes = written(probes, "jaccard-probes")
-    index = grams.drop("n").join(full, "node").join(probes.select("gram").distinct(), "gram", "left_semi").select("gram", "node", "n", "avail")
+    probed = written(probes.select("gram").distinct(), "jaccard-probed")
+    index = grams.drop("n").join(full, "node").join(probed, "gram", "left_semi").select("gram", "node", "n", "avail")
     index = written(index, "jaccard-index")
 
     share = F.struct((F.col("avail") / F.col("n")).alias("share"), "node")
-    index = written(index.join(index.groupBy("gram").agg(F.max(share)["node"].alias("hub")), "gram"), "jaccard-index")
+    hubs = written(index.groupBy("gram").agg(F.max(share)["node"].alias("hub")), "jaccard-hub")
+    index = written(index.join(hubs, "gram"), "jaccard-index")
     to_hub = written(counted_pairs(index.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "jaccard-hubs")
     first = similar(to_hub).where("a <> b")
 
@@ -229,8 +268,8 @@ def links(sets: DataFrame) -> DataFrame:
     common = to_hub.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("inside"))
     members = index.join(common, ["node", "hub"]).join(comp, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "outside": F.col("avail") - F.col("inside")})
     members = written(members, "jaccard-members")
-    mixed = members.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    members = members.join(mixed, "gram", "left_semi")
+    mixed = written(members.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram"), "jaccard-mixed")
+    members = written(members.join(mixed, "gram", "left_semi"), "jaccard-members")
     p = members.join(probes.select("gram", "node"), ["gram", "node"], "left_semi").alias("p")
     larger = "struct(m.n, m.avail, m.node) > struct(p.n, p.avail, p.node)"  # of equal sizes the one with fewer probes probes
     possible = "7 * (least(p.inside, m.inside) + least(p.outside, m.outside)) >= 3 * (p.n + m.n)"
@@ -239,15 +278,38 @@ def links(sets: DataFrame) -> DataFrame:
     return first.unionByName(written(similar(counted_pairs(rest, sets)), "jaccard-links"))
 
 
+def text_hash(text: Column, which: int = 0) -> Column:
+    """One of several independent 64-bit hashes of a text (null: empty)."""
+    return F.xxhash64(F.lit(which), F.coalesce(text, F.lit("")))
+
+
+def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, node, check, text) of each row, the same without texts, written, and
+    (node, lead) of the nodes of several rows, with their least id."""
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("node"), text_hash(text, 1).alias("check"), text.alias("text"))
+
+    def copies_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = written(texts.drop("text"), "jaccard-rows")
+        per = rows.groupBy("node").agg(F.min("id").alias("lead"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        return rows, written(per.where("n > 1").select("node", "lead", "low", (F.col("low") != F.col("high")).alias("clash")), "jaccard-copies")
+
+    rows, copies = copies_of(texts)
+    clash = copies.where("clash").select("node", "low")
+    if not clash.isEmpty():
+        other = F.when(F.col("check") > F.col("low"), text_hash(F.col("text"), 2)).otherwise(F.col("node"))
+        texts = texts.join(small(clash), "node", "left").select("id", other.alias("node"), "check", "text")
+        rows, copies = copies_of(texts)
+    return texts, rows, copies.select("node", "lead")
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, n_shingles, component_id, node, comp) of each row of ``docs``;
-    ``comp`` tells components apart, which ``component_id`` does not when an id
-    is the least of several."""
+    """(id_col, n_shingles, component_id, node, check, comp) of each row of
+    ``docs``; ``check`` is the second hash of its text, ``comp`` tells components
+    apart, which ``component_id`` does not when an id is the least of several."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step's shuffle files go with it
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("node"), F.col(text_col).alias("text"))
-    rows = written(texts.select("id", "node"), "jaccard-rows")
-    copies = written(rows.groupBy("node").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "jaccard-copies")
+    texts, rows, copies = nodes_of(docs, id_col, text_col)
     single = texts.join(small(copies), "node", "left").where("lead IS NULL OR id = lead").select("node", "text")
 
     shared = shared_signatures(single)
@@ -258,26 +320,25 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     nodes = rows.groupBy("node").agg(F.min("id").alias("least")).join(sizes, "node", "left").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     nodes = written(nodes, "jaccard-nodes")
-    lead = nodes.groupBy("comp").agg(F.min("least").alias("component"))
+    lead = written(nodes.groupBy("comp").agg(F.min("least").alias("component")), "jaccard-leads")
     of_node = nodes.join(lead, "comp").select("node", "n_shingles", "component", "comp")
     out = rows.join(of_node, "node")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"), "node", "comp")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"), "node", "check", "comp")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, node) of each row of ``docs``."""
-    return grouped(docs, id_col, text_col).drop("comp")
+    return grouped(docs, id_col, text_col).drop("check", "comp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: that of the least doc_id (one
     of several rows with it). Rows without an id stay."""
     found = written(grouped(docs, "doc_id", "text"), "jaccard-groups")
-    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.expr("doc_id = __id AND __key = __node")
-    left = docs.withColumn("__key", node).join(small(out), same, "left_anti")
-    leads = found.where("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check")).distinct()
+    same = F.expr("doc_id = __id AND __key = __check")
+    left = docs.withColumn("__key", text_hash(F.col("text"), 1)).join(small(out), same, "left_anti")
+    leads = found.where("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("comp").alias("__comp"))
     again = written(leads.groupBy("__comp").count().where("count > 1").drop("count"), "jaccard-again")
     if again.isEmpty():
         return left.drop("__key")

@@ -86,4 +86,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_url_filter, op2_jaccard, op3_token_store, op4_pii, op5_bpe, op6_decontaminate, op7_sharding, op8_quality, op9_token_counts, op10_chat,
     op11_simhash, op12_repair, op13_spelling,
 )}
-ORACLE: dict[str, str] = {}
+
+#: Every pair of different word sequences that share a shingle, compared whole; components by reachability.
+JACCARD_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+node AS (
+  SELECT row_number() OVER (ORDER BY w) AS node, w, min(doc_id) AS least FROM cut GROUP BY w),
+grams AS (
+  SELECT DISTINCT node, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM node),
+sized AS (SELECT node, count(*) AS n FROM grams GROUP BY node),
+links AS (
+  SELECT x.node AS a, y.node AS b FROM grams x JOIN grams y USING (gram) JOIN sized s ON s.node = x.node JOIN sized t ON t.node = y.node
+  WHERE x.node <> y.node GROUP BY x.node, y.node, s.n, t.n HAVING 100 * count(*) >= 75 * (s.n + t.n - count(*))),
+reach AS (
+  SELECT node AS a, node AS b FROM node UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a AS node, min(least) AS least FROM reach JOIN node ON node.node = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component.least END AS component_id
+FROM cut JOIN node USING (w) JOIN component USING (node) LEFT JOIN sized USING (node)
+"""
+
+#: The template and its digests as string functions.
+CHAT_SQL = rf"""
+WITH said AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{QUOTED}' UNION ALL SELECT -1, 1, 'assistant', '{QUOTED}'),
+piece AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+    '{chat.START}' || replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\p') || chr(10)
+      || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '{chat.END}' || chr(10) AS piece FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, piece)) AS turns_sha256,
+  CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, piece)) AS loss_sha256,
+  CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+FROM piece GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op2_jaccard": JACCARD_SQL, "op10_chat": CHAT_SQL}

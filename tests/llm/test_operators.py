@@ -492,63 +492,6 @@ def test_jaccard_salted_signatures(spark):
     assert bag((r["sig"], r["node"]) for r in got) == bag(want)
 
 
-def test_jaccard_salted_signatures_over_slices(spark):
-    """A signature that is rare in each slice is salted once the task has sent HOT rows of it."""
-    n = 4 * jaccard.SLICE
-    rows = [(i, "one two three four five" if i % 100 == 0 else f"a{i} b{i} c{i}") for i in range(n)]
-    df = spark.createDataFrame(rows, "node long, text string").coalesce(1)
-    signed = jaccard.signed(df).where(f"kind <= {jaccard.INDEX}").select("sig", "node", "salt").collect()
-    often = Counter(r["sig"] for r in signed)
-    hot = [r for r in signed if often[r["sig"]] > 1]
-    assert len(hot) == n // 100 + 1 and sum(r["salt"] == 0 for r in hot) < jaccard.HOT
-    assert len({r["salt"] for r in hot if r["salt"]}) == sum(r["salt"] > 0 for r in hot)  # no group of salted rows
-    got = jaccard.shared_signatures(df).where(f"kind <= {jaccard.INDEX}").select("sig", "node").collect()
-    assert bag(got) == bag((r["sig"], r["node"]) for r in hot)
-
-
-def test_jaccard_warm_signatures(monkeypatch):
-    warm, of = jaccard.Warm(), lambda *x: np.array(x, np.uint64)
-    assert warm.add(of(3, 5, 9), np.array([1, 2, 4])).tolist() == [0, 0, 0]
-    assert warm.add(of(1, 5, 9, 12), np.array([1, 1, 1, 3])).tolist() == [0, 2, 4, 0]
-    assert warm.add(of(3, 5, 9, 12), np.array([1, 1, 1, 1])).tolist() == [0, 3, 5, 3]
-    monkeypatch.setattr(jaccard, "WARM", 3)
-    warm.add(of(20), np.array([2]))
-    assert len(warm.sig) == 0 and warm.add(of(5), np.array([1])).tolist() == [0]
-
-
-def test_jaccard_texts_of_one_hash_stay_apart(spark, monkeypatch):
-    """All texts share one of three first hashes; the second tells them apart."""
-    plain = jaccard.text_hash
-    monkeypatch.setattr(jaccard, "text_hash", lambda text, which=0: plain(text, which) if which else plain(text) % 2)
-    rows = near_rows(4, 80) + [(500, None), (501, ""), (3, "Same ID other text"), (3, "same id  OTHER text"), (7, "twice here"), (7, "twice here")]
-    assert bag(jaccard.groups(docs_of(spark, rows)).drop("node").collect()) == bag(plain_groups(rows))
-    rows = rows[:-4] + [(700, "twice here"), (700, "twice here")]
-    want = [i for i, n, c in dict.fromkeys(plain_groups(rows)) if not n or i == c]
-    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, rows)).collect()) == sorted(want)
-
-
-def skewed_joins(df):
-    """Shuffle joins of the executed plan that AQE split."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().count("skew=true")
-
-
-def test_jaccard_probed_signatures_are_split(spark):
-    """A third of the rows hold one signature: with broadcasts off its join is split."""
-    rows = spark.range(90000).selectExpr("IF(id % 3 = 0, 7, id) AS sig", "id AS node", "0 AS info", f"CAST({jaccard.INDEX} AS byte) AS kind", "2L AS cnt")
-    probing = spark.createDataFrame([(7, 1, 0, jaccard.OWN, 2)], "sig long, node long, info int, kind int, cnt long").withColumn("kind", F.col("kind").cast("byte"))
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        found = jaccard.candidates(jaccard.written(rows.repartition(16).unionByName(probing), "test-shared"))
-        assert skewed_joins(found) >= 1 and found.count() == 30002
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

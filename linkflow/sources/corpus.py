@@ -14,13 +14,20 @@
   range), a Parquet path or a catalog table; only the asked-for columns.
 
 Files of no bytes are passed over by Spark's file scans: neither listed nor read
-(:func:`write_corpus` writes none). Two layouts are read: a folder of files (``dir/12.html``), and what Spark writes
+(:func:`write_corpus` writes none). Three layouts are read: a folder of files (``dir/12.html``), what
+:func:`write_corpus` writes (``dir/task=3/n12.html``: a folder a task, names escaped), and what Spark writes
 when every document is a partition (``dir/file_name=12.html/part-...``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+from itertools import groupby
+from urllib.parse import quote
+
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from linkflow.functions.links import PAGE_SUFFIX, base_name
@@ -29,27 +36,60 @@ from linkflow.sources import storage
 REQUEST_COLUMNS = ["request_id", "gender", "age", "income", "time", "ip_address",
                    "file_name", "country", "is_banned"]
 NAMED = "file_name="
+TASK = "task="
 # Bytes of files that one task reads; a whole text beyond LARGE is reported.
 PACKED_BYTES = 128 << 20
 LARGE = 64 << 20
 
 
+def _escaped(name: str) -> str:
+    """``name`` as part of a file's name: quoted with ``=`` for ``%``, which paths escape again."""
+    return quote(name, safe="").replace("%", "=")
+
+
+def _write_files(rows: Iterable[Row], path: str) -> None:
+    """One task's documents, sorted by name, as files of a folder of the task's own."""
+    store, top = fs.FileSystem.from_uri(path)
+    folder = f"{top}/{TASK}{TaskContext.get().partitionId()}"
+    store.create_dir(folder, recursive=True)
+    for name, docs in groupby(rows, key=lambda r: r.file_name):
+        with store.open_output_stream(f"{folder}/n{_escaped(name)}") as out:  # no name begins with '_' or '.'
+            for doc in docs:
+                out.write(doc.value.encode() + b"\n")
+
+
 def write_corpus(docs: DataFrame, path: str, name_col: str = "file_name", content_col: str = "content") -> str:
-    """Writes each document as a file of its own, ended by a line break, under a
-    folder of its name (null names or texts are no documents). Documents are
-    dealt out by name, so a file is written by one task, and a lost task's files
-    are written again by the committer."""
+    """Writes each document as a file of its own, ended by a line break (null
+    names or texts are no documents). Documents are dealt out by name, so a file
+    is written by one task, and a lost task writes the same files again. Texts
+    of one name follow each other in one file.
+
+    A folder a document, made and moved by Spark's committer, costs many calls of
+    the store for each document; here it is one file, in a folder of its task.
+    Arrow writes to local folders, HDFS, S3 and GCS. On a store that it lacks
+    Spark writes a folder of each document's name."""
+    spark, path = docs.sparkSession, storage.qualified(docs.sparkSession, path)
     named = docs.select(F.col(name_col).alias("file_name"), F.col(content_col).alias("value")).dropna()
-    named.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(path)
+    dealt = named.repartition("file_name")
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError, NotImplementedError):
+        dealt.write.mode("overwrite").partitionBy("file_name").text(path)
+        return path
+    storage.delete(spark, path)
+    dealt.sortWithinPartitions("file_name").foreachPartition(lambda rows: _write_files(rows, path))
     return path
 
 
 def _reader(spark: SparkSession, path: str, suffix: str, recursive: bool):
-    """(reader, what to load, whether each document is a partition)."""
+    """(reader, what to load, the layout: NAMED, TASK or none)."""
     path = path.rstrip("/")
-    if any(n.startswith(NAMED) for n in storage.children(spark, path)):
-        return spark.read.option("basePath", path), f"{path}/{NAMED}*{suffix}", True
-    return spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive), path, False
+    children = storage.children(spark, path)
+    if any(n.startswith(NAMED) for n in children):
+        return spark.read.option("basePath", path), f"{path}/{NAMED}*{suffix}", NAMED
+    if any(n.startswith(TASK) for n in children):
+        return spark.read.option("pathGlobFilter", f"n*{_escaped(suffix)}").option("recursiveFileLookup", True), path, TASK
+    return spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", recursive), path, ""
 
 
 def _missing(spark: SparkSession, path: str, missing_ok: bool) -> bool:
@@ -58,15 +98,17 @@ def _missing(spark: SparkSession, path: str, missing_ok: bool) -> bool:
     return missing_ok and not storage.exists(spark, path)
 
 
-def _name(file_path: Column, named: bool) -> Column:
-    return F.col("file_name") if named else base_name(file_path)
+def _name(file_path: Column, layout: str) -> Column:
+    if layout == TASK:
+        return F.url_decode(F.replace(F.substr(base_name(file_path), F.lit(2)), F.lit("="), F.lit("%")))
+    return F.col("file_name") if layout else base_name(file_path)
 
 
 def list_corpus(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recursive: bool = False) -> DataFrame:
     """``(file_name, file_path, length, modified)`` of the files under ``path``."""
-    reader, load, named = _reader(spark, path, suffix, recursive)
+    reader, load, layout = _reader(spark, path, suffix, recursive)
     files = reader.format("binaryFile").load(load)
-    return files.select(_name(F.col("path"), named).alias("file_name"), F.col("path").alias("file_path"),
+    return files.select(_name(F.col("path"), layout).alias("file_name"), F.col("path").alias("file_path"),
                         "length", F.col("modificationTime").alias("modified"))
 
 
@@ -80,13 +122,14 @@ def read_corpus(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recur
     """
     if _missing(spark, path, missing_ok):
         return spark.createDataFrame([], "file_name STRING, content STRING")
-    reader, load, named = _reader(spark, path, suffix, recursive)
+    reader, load, layout = _reader(spark, path, suffix, recursive)
     # text() has its own wholetext=False default, so the flag goes there.
     df = reader.text(load, wholetext=True)
-    content = F.regexp_replace("value", r"\n\z", "") if named else F.col("value")
-    total = list_corpus(spark, path, suffix, recursive).agg(F.sum("length")).first()[0] or 0
+    content = F.regexp_replace("value", r"\n\z", "") if layout else F.col("value")
+    # The bytes that the listing of this very reader has found: no second one.
+    total = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     # Spark counts each file's opening as 4 MB, so it would make a task of 32 small ones.
-    return df.select(_name(F.col("_metadata.file_path"), named).alias("file_name"),
+    return df.select(_name(F.col("_metadata.file_path"), layout).alias("file_name"),
                      content.alias("content")).coalesce(max(1, spark.sparkContext.defaultParallelism, -(-total // packed_bytes)))
 
 
@@ -96,9 +139,9 @@ def read_corpus_lines(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX,
     a full URI; with ``names`` also ``file_name``."""
     if _missing(spark, path, missing_ok):
         return spark.createDataFrame([], "file_path STRING" + ", file_name STRING" * names + ", line STRING")
-    reader, load, named = _reader(spark, path, suffix, recursive)
+    reader, load, layout = _reader(spark, path, suffix, recursive)
     path_col = F.col("_metadata.file_path")
-    name = [_name(path_col, named).alias("file_name")] if names else []
+    name = [_name(path_col, layout).alias("file_name")] if names else []
     return reader.text(load).select(path_col.alias("file_path"), *name, F.col("value").alias("line"))
 
 
@@ -108,9 +151,9 @@ def bad_files(spark: SparkSession, path: str, suffix: str = PAGE_SUFFIX, recursi
     should not take as they are, by the first reason that fits: ``too_large``
     (over ``large`` bytes; not read), ``empty`` (white space alone),
     ``not_utf8``, ``repeated_name`` (of several with a name, all but the first path)."""
-    reader, load, named = _reader(spark, path, suffix, recursive)
+    reader, load, layout = _reader(spark, path, suffix, recursive)
     files = reader.format("binaryFile").load(load)
-    ident = [_name(F.col("path"), named).alias("file_name"), F.col("path").alias("file_path")]
+    ident = [_name(F.col("path"), layout).alias("file_name"), F.col("path").alias("file_path")]
     over = files.where(F.col("length") > large).select(*ident, F.lit("too_large").alias("reason"))
     text = F.col("content").cast("string")
     reason = F.when(F.trim(F.translate(text, "\t\n\r", "   ")) == "", "empty").when(~F.is_valid_utf8(text), "not_utf8")

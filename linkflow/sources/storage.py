@@ -14,6 +14,12 @@ def _resolved(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as URI."""
+    store, at = _resolved(spark, path)
+    return store.makeQualified(at).toUri().toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, at = _resolved(spark, path)
     return store.exists(at)

@@ -149,3 +149,17 @@ def test_scale_conf_sizes_partitions_from_input():
     assert int(conf["spark.sql.shuffle.partitions"]) == 800 * 1024
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(scale_conf(1024)["spark.sql.shuffle.partitions"]) == 200   # floor for small inputs
+
+
+def test_written_documents_are_files_in_few_folders(spark, tmp_dir):
+    """No folder a document; a name's texts share a file; a second write replaces the first."""
+    names = [f"{i}.html" for i in range(200)] + ["_x/y.html", ".html", "a=b%c +d.html", "7.html"]
+    docs = spark.createDataFrame([(n, f"text of {n}") for n in names], "file_name STRING, content STRING")
+    C.write_corpus(docs.limit(5).selectExpr("concat('old', file_name) AS file_name", "content"), os.path.join(tmp_dir, "c"))
+    path = C.write_corpus(docs, os.path.join(tmp_dir, "c"))
+    assert sum(len(folders) for _, folders, _ in os.walk(os.path.join(tmp_dir, "c"))) <= 8
+    want = {n: f"text of {n}" for n in names} | {"7.html": "text of 7.html\ntext of 7.html"}
+    assert {r.file_name: r.content for r in C.read_corpus(spark, path).collect()} == want
+    assert {r.file_name for r in C.list_corpus(spark, path).collect()} == set(names)
+    assert C.read_corpus_lines(spark, path, names=True).count() == len(names)
+    assert {r.file_name for r in C.bad_files(spark, path, large=20).collect()} == {n for n, t in want.items() if len(t) > 19}

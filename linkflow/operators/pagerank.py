@@ -69,8 +69,9 @@ class PageRankResult:
 
 
 def _slice_of(dst, slices):
+    """The slice of an edge; only the edges of sources with several are hashed."""
     head = F.conv(F.substring(F.md5(dst), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, slices)
+    return F.when(slices > 1, F.pmod(head, slices)).otherwise(F.lit(0).cast("bigint"))
 
 
 def weighted_edges(pairs: DataFrame, per_src: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ shuffle volume. At sf 0.1, 64 bins scored 1.00 (country) and 0.84 (income)
 against 0.99 and 0.85 with 256 bins. Codes are used as plain numbers, so no
 categorical arity limit applies.
 
-Fit and score are sized apart: the fit takes at most ``fit_rows`` training rows
-(by the hash of the id, so the same ones each time; every row if there are
-fewer), cut into partitions of about FIT_BYTES and at least one a core. Every
-row of the test side is scored, once: the predictions are written and the accuracy
-is read from them.
+The fit takes every training row (or, if asked for ``fit_rows``, about that many by
+the hash of the id, so the same ones each time). pyspark.ml keeps all nodes in the
+driver, so it grows the forest where they surely fit DRIVER_BYTES there (rows
+cut into partitions of about FIT_BYTES and at least one a core). Larger ones are grown in
+tasks by the same rules (:mod:`linkflow.operators.forest`). Every row of the test
+side is scored, once: the predictions are written and the accuracy is read from them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkflow.operators import forest as FO
 from linkflow.operators.features import split_flag, train_test_split
 
 COUNTRY_FEATURES = ["ip_1", "ip_2", "ip_3", "ip_4"]
@@ -38,15 +40,15 @@ COUNTRY_FEATURES = ["ip_1", "ip_2", "ip_3", "ip_4"]
 
 @dataclass
 class ModelRun:
-    model: PipelineModel
+    model: PipelineModel | FO.Forest
     predictions: DataFrame   # (request_id, label, prediction) on the test side
     accuracy: float
 
 
 # Bytes of feature values in a partition of the training rows.
 FIT_BYTES = 32 << 20
-# Labelled rows that a fit takes at most (all rows are scored, whatever their number).
-FIT_ROWS = 20_000_000
+# Bytes of nodes up to which a forest is left to pyspark.ml, which keeps them in the driver.
+DRIVER_BYTES = 512 << 20
 MAX_DEPTH = 30   # Spark's limit; the reference's trees have none
 MAX_BINS = 64
 
@@ -77,6 +79,12 @@ def fit_partitions(rows: int, features: int, cores: int) -> int:
     return max(cores, -(-rows * features * 8 // FIT_BYTES))
 
 
+def node_bytes(rows: int, num_trees: int, classes: int) -> int:
+    """Bytes in the driver of a pyspark.ml forest whose rows all end in leaves of their
+    own: two nodes a row, each with counts by class of its own and of both sides."""
+    return 2 * rows * num_trees * (256 + 24 * classes)
+
+
 def fit_sample(train: DataFrame, rows: int, fit_rows: int, id_col: str, seed: int) -> DataFrame:
     """About ``fit_rows`` of ``rows`` training rows by the hash of the id; all
     if there are no more."""
@@ -86,22 +94,27 @@ def fit_sample(train: DataFrame, rows: int, fit_rows: int, id_col: str, seed: in
     return train.where(part)
 
 
-def _run(frame: DataFrame, features: list[str], label: str, num_trees: int,
-         seed: int, id_col: str, fit_rows: int = FIT_ROWS, **kw) -> ModelRun:
+def _run(frame: DataFrame, features: list[str], label: str, num_trees: int, seed: int, id_col: str,
+         fit_rows: int | None = None, driver_bytes: int = DRIVER_BYTES, max_depth: int = MAX_DEPTH,
+         max_bins: int = MAX_BINS, **kw) -> ModelRun:
     # One pass: the class count goes with the label (without it Spark stops at
     # 100 classes), the training rows size the fit.
     seen = frame.agg(F.max(label), F.count_if(split_flag(id_col, seed))).first()
-    classes, rows = int(seen[0] or 0) + 1, min(seen[1], fit_rows)
+    classes, rows = int(seen[0] or 0) + 1, min(seen[1], fit_rows or seen[1])
     nominal = {"ml_attr": {"type": "nominal", "num_vals": classes, "name": label}}
     data = frame.withColumn(label, F.col(label).cast("double")).withMetadata(label, nominal)
     train, test = train_test_split(data, id_col, seed)
+    train = fit_sample(train, seen[1], rows, id_col, seed).select(id_col, label, *features)
+    if node_bytes(rows, num_trees, classes) > driver_bytes:
+        model = FO.fit(train, features, label, num_trees, classes, rows, seed, max_depth, max_bins)
+        scored = model.score(test.withColumn("label", F.col(label)), [id_col, "label"])
+        return ModelRun(model, scored, accuracy(scored))
     # Every level of every tree is one pass over the training rows whose
     # per-node statistics are merged across partitions; hashed and sorted by id
     # so that bagging does not depend on input order.
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    train = fit_sample(train, seen[1], fit_rows, id_col, seed).select(id_col, label, *features)
     train = train.repartition(fit_partitions(rows, len(features), cores), id_col).sortWithinPartitions(id_col)
-    model = fit_forest(train, features, label, num_trees, seed, **kw)
+    model = fit_forest(train, features, label, num_trees, seed, max_depth, max_bins, **kw)
     scored = model.transform(test).select(
         id_col, F.col(label).alias("label"), F.col("prediction")).checkpoint()
     return ModelRun(model, scored, accuracy(scored))

@@ -48,7 +48,7 @@ class ModelRun:
 # Bytes of feature values in a partition of the training rows.
 FIT_BYTES = 32 << 20
 # Bytes of nodes up to which a forest is left to pyspark.ml, which keeps them in the driver.
-DRIVER_BYTES = 512 << 20
+DRIVER_BYTES = 320 << 20
 MAX_DEPTH = 30   # Spark's limit; the reference's trees have none
 MAX_BINS = 64
 

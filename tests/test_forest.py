@@ -95,3 +95,18 @@ def test_country_forest_of_many_rows_is_not_kept_by_the_driver(spark):
     assert run.predictions.select("request_id", "label").exceptAll(test).count() == 0 and run.predictions.count() == test.count()
     few = M.model_country(frame.where("request_id < 3000"))
     assert not isinstance(few.model, FO.Forest)
+
+
+def test_income_forest_of_many_rows_is_not_kept_by_the_driver(spark):
+    """Every feature but the income and the id goes into the trees, booleans as well."""
+    frame = spark.range(20_000).selectExpr("id AS request_id", "id % 12 < 3 AS is_banned", "id % 40 AS file_name", "hash(id) % 1000 AS time",
+                                           "id % 12 AS country", "if(id % 12 < 3, 0, if(id % 2 = 0, 1 + id % 40 div 8, 6)) AS income",
+                                           "id % 2 = 0 AS gender_Male", "id % 2 = 1 AS gender_Female").checkpoint()
+    run = M.model_income(frame)
+    assert isinstance(run.model, FO.Forest) and sum(len(t.feature) for t in run.model.tops) == 55
+    assert run.model.features == ["is_banned", "file_name", "time", "country", "gender_Male", "gender_Female"]
+    test = frame.where(~FT.split_flag()).selectExpr("request_id", "cast(income AS double) AS label")
+    assert run.predictions.select("request_id", "label").exceptAll(test).count() == 0 and run.predictions.count() == test.count()
+    assert run.accuracy > 0.95
+    again = M.model_income(frame.repartition(3))          # the same rows in another order
+    assert again.predictions.exceptAll(run.predictions).count() == 0
